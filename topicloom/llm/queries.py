@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm import chat, embed_dedup, html_extract, langid, media, mixing, packing, sharding, url_filter
+from topicloom.llm import chat, embed_dedup, html_extract, langid, media, minhash, mixing, packing, sharding, url_filter
 from topicloom.llm.common import cut, table
 
 
@@ -58,6 +58,10 @@ def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES = {
         op7_media_sniffing,
         op8_virtual_slots,
         op9_entropy_mixing,
+        op10_order_minhash,
     )
 }
 ORACLES: dict[str, str] = {}
