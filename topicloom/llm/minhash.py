@@ -11,8 +11,8 @@ Texts with equal words are collapsed first and only one of each class goes on.
 members of a bucket (one sketch value) are then verified against the bucket's most
 connected text: one pair each, not all pairs, which joins dense groups.  Where a
 bucket still spans several components, all its pairs between different components
-follow, in tiles, if the lengths and the shingle counts in ``BINS`` bins allow the
-similarity (a bound that loses nothing).  No pair that links is left out for it.
+are looked at in tiles: by length and by shingle counts in ``BINS`` bins (a bound
+that loses nothing), then by the shingles they share, then by alignment.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from topicloom.llm.shingles import SKETCHES, Sketched, label, shingle, word_hash
 SIMILARITY = 0.8
 TILE = 512
 STAR = 256
+#: Ids, 8 bytes each, that are broadcast at most to keep other texts in place.
+ID_SET = 300_000
 CHUNK = 1 << 20
 
 
@@ -80,6 +82,16 @@ def prune(pairs: DataFrame, stats: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "hub").join(two, "rep").select("hub", "rep", "na", "nb", "ba", "bb").mapInArrow(run, "hub long, rep long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (distinct).
+
+    A counted set of few ids goes to the documents, so that other texts never move;
+    a larger one is joined like any table.
+    """
+    ids = cut(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= ID_SET else ids, "id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Pairs ``hub, rep`` -> those whose alignment reaches ``least``, as ``src, dst``.
 
@@ -89,7 +101,8 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("hub").alias("id"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"), F.col("rep").alias("id"))
-    rows = hubs.unionByName(members).join(docs, "id")
+    asked = hubs.unionByName(members)
+    rows = asked.join(texts_of(asked.select("id").distinct(), docs), "id")
     rows = rows.withColumn("member", F.col("id") != F.col("hub")).repartition("hub", "group").sortWithinPartitions("hub", "group", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,27 +128,8 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return rows.select("hub", "group", "id", "text").mapInArrow(run, "src long, dst long").distinct()
 
 
-def _cross(buckets: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members with different labels that counts allow: ``hub, rep``."""
-    tiles = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    x = buckets.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    x = x.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    x = x.withColumn("side", F.when(F.col("a") == F.col("b"), 2).when(F.col("own") == F.col("a"), 0).otherwise(1))
-
-    def block(t: pa.Table) -> pa.RecordBatch:
-        rep, lab, n, side = (t.column(c).to_numpy() for c in ("rep", "label", "n", "side"))
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(t), -1)
-        src, dst = [], []
-        for i in range(len(t) - 1):
-            j = np.arange(i + 1, len(t))
-            j = j[(lab[j] != lab[i]) & ((side[j] == 2) | (side[j] != side[i]))]
-            if len(j):
-                ok = _possible(np.full(len(j), n[i]), n[j], np.broadcast_to(bins[i], (len(j), bins.shape[1])), bins[j], least)
-                src.append(np.full(int(ok.sum()), rep[i]))
-                dst.append(rep[j[ok]])
-        s, d = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (src, dst))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], ["hub", "rep"])
+def _tiled(rows: DataFrame, block, schema: str, *cols: str) -> DataFrame:
+    """Run ``block`` on the rows of each (key, a, b), which meet sorted in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -146,19 +140,100 @@ def _cross(buckets: DataFrame, least: float) -> DataFrame:
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 if tuple(keys[lo]) != last and held:
-                    yield block(pa.Table.from_batches(held))
+                    yield from block(pa.Table.from_batches(held))
                     held = []
                 last = tuple(keys[lo])
                 held.append(b.slice(lo, hi - lo))
         if held:
-            yield block(pa.Table.from_batches(held))
+            yield from block(pa.Table.from_batches(held))
+
+    x = rows.select("key", "a", "b", "side", "rep", "label", "n", *cols)
+    return x.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, schema)
+
+
+def _meets(side: np.ndarray, lab: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of a tile may pair: other labels, the right sides, near enough lengths."""
+    need = np.ceil(least * (n[:, None] + n[None, :]) / (1 + least) - 1e-9)
+    ok = (lab[:, None] != lab[None, :]) & (need <= np.minimum(n[:, None], n[None, :]))
+    return ok & (side[:, None] != side[None, :]) if (side != 2).any() else ok
+
+
+def shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many entries each two lists of distinct values share."""
+    out = np.zeros((len(lists), len(lists)), np.float32)
+    flat = np.concatenate(lists)
+    _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.cumsum(count > 1) - 1
+    keep = count[where] > 1
+    rows, cols = rows[keep], column[where[keep]]
+    for lo in range(0, int((count > 1).sum()), 8192):
+        own = (cols >= lo) & (cols < lo + 8192)
+        m = np.zeros((len(lists), 8192), np.float32)
+        m[rows[own], cols[own] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _cross(buckets: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members with different labels that may link: ``hub, rep``.
+
+    Counts in bins first find the members of each tile that have a possible partner
+    at all; only for these the shingles themselves are compared, in blocks, and pairs
+    that share enough of them are left for alignment.
+    """
+    tiles = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    x = buckets.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    x = x.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    x = x.withColumn("side", F.when(F.col("a") == F.col("b"), 2).when(F.col("own") == F.col("a"), 0).otherwise(1))
+    kept = ["key", "a", "b", "side", "rep", "label", "n"]
+
+    def partners(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lab, n, side = (t.column(c).to_numpy() for c in ("label", "n", "side"))
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(t), -1)
+        may, some = _meets(side, lab, n, least), np.zeros(len(t), bool)
+        for i in range(len(t)):
+            j = np.flatnonzero(may[i] & ~some) if some[i] else np.flatnonzero(may[i])
+            j = j[j > i]
+            if len(j):
+                ok = j[_possible(np.full(len(j), n[i]), n[j], np.broadcast_to(bins[i], (len(j), bins.shape[1])), bins[j], least)]
+                some[ok] = True
+                some[i] |= len(ok) > 0
+        yield from t.select(kept).filter(pa.array(some)).combine_chunks().to_batches()
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, lab, n, side = (t.column(c).to_numpy() for c in ("rep", "label", "n", "side"))
+        count = shared([np.unique(np.frombuffer(v, np.uint32)) for v in t.column("shingles").to_pylist()])
+        need = np.ceil(least * (n[:, None] + n[None, :]) / (1 + least) - 1e-9)
+        # Shingles that fall on one 32-bit value count once there: they may all match.
+        lost = n - np.array([len(np.unique(np.frombuffer(v, np.uint32))) for v in t.column("shingles").to_pylist()])
+        i, j = np.nonzero(np.triu(_meets(side, lab, n, least) & (count + np.minimum(lost[:, None], lost[None, :]) >= need), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["hub", "rep"])
+
+    active = cut(_tiled(x, partners, "key long, a int, b int, side int, rep long, label long, n long", "bins"))
+    lists = shingle_lists(texts_of(active.select(F.col("rep").alias("id")).distinct(), docs))
+    return _tiled(active.join(lists, ["rep", "n"]), pairs, "hub long, rep long", "shingles").distinct()
+
+
+def shingle_lists(docs: DataFrame) -> DataFrame:
+    """``id, text`` -> ``rep, n, shingles``: labelled shingles as packed 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, start = _texts(b.column(1))
+            got = []
+            for i in range(b.num_rows):
+                own = data[start[i] : start[i + 1]]
+                got.append(label(shingle(word_hashes(own, np.array([0, len(own)]))[0])))
+            packed = pa.array([(g >> np.uint64(32)).astype(np.uint32).tobytes() for g in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int64()), packed], ["rep", "n", "shingles"])
 
-    x = x.select("key", "a", "b", "side", "rep", "label", "n", "bins").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return x.mapInArrow(run, "hub long, rep long").distinct()
+    return docs.select("id", "text").mapInArrow(run, "rep long, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id, kept, text_key`` for every row of ``docs``.
+    """``doc_id, component_id, kept`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable by links of similarity ``least``
     or more; ``kept`` marks one id per component.  Texts with fewer than five words are
@@ -169,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    seen = sketches(usable)
+    seen = cut(sketches(usable))
     classes = seen.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
     classes = cut(classes)
     stats = classes.select("rep", "n", "bins")
@@ -187,14 +262,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
     marked = starred.join(labels, "rep", "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("label"))
     rest = marked.filter("rep <> hub")
     open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    crossing = _cross(rest.join(open_, "key").join(stats, "rep"), least)
+    crossing = _cross(rest.join(open_, "key").join(stats, "rep"), texts, least)
     more = cut(verify(cut(crossing), texts, least))
     comps = connected_components(links.unionByName(more))
     members = seen.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(comps, F.col("rep") == F.col("node"), "left")
     members = members.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.select("id", F.xxhash64("text").alias("text_key")).join(members, "id", "left")
+    out = rows.select("id").join(members, "id", "left")
     component: Column = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("doc_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_key")
+    return out.select(F.col("id").alias("doc_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:

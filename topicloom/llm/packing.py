@@ -30,7 +30,7 @@ from topicloom.llm.common import cut
 
 CAPACITY = 1024
 EOS = 2
-SALTS = 256
+SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
