@@ -15,8 +15,8 @@ import numpy as np
 LETTER, NUMBER, SPACE, MARK = 0, 1, 2, 3
 #: Code points below this have had the same class in every Unicode version in use.
 SIMPLE = 0x250
-MAX_CACHED = 1_500_000
-CHUNK = 1 << 20
+MAX_CACHED = 300_000
+CHUNK = 1 << 18
 _SPACES = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0}
 
 

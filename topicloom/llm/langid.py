@@ -23,12 +23,12 @@ ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
 SAMPLE_PER_LANG = 2000
 #: Longest contexts are kept while this many at most; frequent ones first.
-MAX_CONTEXTS = 24_000
+MAX_CONTEXTS = 12_000
 #: Bytes of a cost table at most; more languages mean fewer contexts.
-MAX_TABLE = 96 << 20
+MAX_TABLE = 48 << 20
 MIN_CONTEXT = 4
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def held_out(id_col: Column) -> Column:

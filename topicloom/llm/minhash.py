@@ -34,7 +34,7 @@ TILE = 512
 STAR = 256
 #: Ids, 8 bytes each, that are broadcast at most to keep other texts in place.
 ID_SET = 300_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def sketches(docs: DataFrame) -> DataFrame:
