@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,6 +122,35 @@ BUILD = {
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(State(spark, sf_dir))) for name, f in BUILD.items()}
 
 
+def train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic counts by word after a few iterations (no SQL: iterative sampling)."""
+    from topicloom.plans.train import fit
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fit(docs, replace(CFG, iterations=3)).word_topic()
+
+
+def train_step_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens before and after an iteration: sampling moves tokens, it loses none."""
+    from topicloom.plans.train import fit, unpack
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    m = fit(docs, replace(CFG, iterations=1))
+    return unpack(m.docs).groupBy("word_id").agg(F.count("*").alias("n_tokens"))
+
+
+def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the benchmark passages against a trained model."""
+    from topicloom.plans.train import fit
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    return fit(docs, replace(CFG, iterations=2)).transform(items, 2)
+
+
+QUERIES |= {"train": train, "train_step_conservation": train_step_conservation, "infer": infer}
+
+
 def _llg(x: str) -> str:
     series = " + ".join([repr(M.LANCZOS_BASE), *(f"({c!r}) / (({x}) + {k})" for k, c in enumerate(M.LANCZOS, 1))])
     return f"((({x}) + 0.5) * ln(({x}) + 5.5) - (({x}) + 5.5) + ln({M.ROOT_TWO_PI!r} * ({series}) / ({x})))"
@@ -213,6 +243,7 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "topic_word_prob": "SELECT topic, word, round(prob, 9) AS prob FROM rep",
         "dump_text": "SELECT word_id || ' ' || string_agg(topic || ':' || cnt, ' ' ORDER BY topic) AS line FROM ntw GROUP BY word_id",
         "dump_parse": "SELECT * FROM ntw",
+        "train_step_conservation": "SELECT word_id, count(*) AS n_tokens FROM enc GROUP BY word_id",
     }
     return {n: f"WITH RECURSIVE {mat} {q}" for n, q in ends.items()}
 
