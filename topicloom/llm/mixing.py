@@ -90,7 +90,7 @@ def solve(hist: DataFrame, targets: DataFrame, cap: float, n_sources: int) -> Da
         (F.col("source_size") / F.greatest("n", F.lit(1))).alias("mean"),
         (F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size")).alias("full"),
         # The exact dual of a source whose documents all have its mean size.
-        (2 * F.atanh(F.least(F.col("target") / F.col("source_size"), F.lit(cap * 0.999)) * (2 / cap) - 1)).alias("lam"),
+        (2 * F.atanh(F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(1.0)), F.lit(cap * 0.999)) * (2 / cap) - 1)).alias("lam"),
         F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"),
     )
