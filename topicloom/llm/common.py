@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when a counted number of its rows stays below this.
 BROADCAST_ROWS = 20_000
 
+#: Bytes of an Arrow batch that goes to Python, where the session sets no limit of its own.
+BATCH_BYTES = 8 << 20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +42,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches bounded in bytes.
+
+    The usual bound of 10,000 rows lets long texts make batches of any size, which
+    executor and Python worker hold at once, several times over.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in conf.getAll:
+        conf.set(limit, str(BATCH_BYTES))
+    return df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows are few, else leave the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import bounded_batches
+
 ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
 SAMPLE_PER_LANG = 2000
@@ -182,7 +184,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     ``per_lang`` bounds the sample: in expectation so many texts per language, chosen
     by hash of the id, whole texts; languages with fewer are used whole.
     """
-    x = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
+    x = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))
     )
     have = {r["lang"]: r["n"] for r in x.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -228,7 +230,7 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", car
                 best, score = np.where(letters, first, best), np.where(letters, post, 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score)], [kept, "lang_pred", "score"])
 
-    x = docs.select(head, F.col(text_col).alias("text"))
+    x = bounded_batches(docs).select(head, F.col(text_col).alias("text"))
     kind = x.schema[kept].dataType.simpleString()
     return x.mapInArrow(run, f"{kept} {kind}, lang_pred string, score double")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import cut, small
+from topicloom.llm.common import bounded_batches, cut, small
 from topicloom.llm.graph import connected_components
 from topicloom.llm.langid import _texts
 from topicloom.llm.shingles import SKETCHES, Sketched, label, shingle, word_hashes
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
     component; rows that give one id to several texts join their components.  Other
     columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     seen = cut(sketches(usable))
     classes = seen.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import Encoder
-from topicloom.llm.common import cut
+from topicloom.llm.common import bounded_batches, cut
 
 CAPACITY = 1024
 EOS = 2
@@ -91,7 +91,7 @@ def make_pieces(docs: DataFrame, id_col="doc_id", text_col="text", capacity=CAPA
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = PIECES.replace("doc_id long", f"doc_id {kind}") + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
