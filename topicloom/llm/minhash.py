@@ -280,7 +280,8 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float
     """
     found = near_duplicates(docs, id_col, text_col, least)
     gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(small(gone, gone.count()), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    # Ids that go grow with the corpus: they are joined like any table, at every size.
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     ids = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice")).agg(F.count("*").alias("n"))
     twice = cut(ids.filter("n > 1").select("__twice"))
     n = twice.count()
