@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when a counted number of its rows stays below this.
 BROADCAST_ROWS = 20_000
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of an Arrow batch that goes to Python, where the session sets no limit of its own.
 BATCH_BYTES = 8 << 20
 
@@ -32,9 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage; survives lost executors."""
+    """Materialise ``df`` reliably and cut its lineage; survives lost executors.
+
+    The shuffle files that led to it are removed at once: only the checkpoint is read
+    from then on.  Whether they are is settled when a plan is made, so ``df`` is planned
+    anew here, and other plans of the session keep theirs.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        planned = df.select("*")
+    finally:
+        conf.set(CLEANUP, before)
+    return planned.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
