@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
+@contextlib.contextmanager
+def passing_checkpoints(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints that ``cut`` makes inside are removed at the end, but for kept ones.
+
+    What is returned from inside must rest on kept checkpoints alone.
+    """
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Materialise ``df`` reliably and cut its lineage; survives lost executors.
 
     The shuffle files that led to it are removed at once: only the checkpoint is read
     from then on.  Whether they are is settled when a plan is made, so ``df`` is planned
-    anew here, and other plans of the session keep theirs.
+    anew here, and other plans of the session keep theirs.  ``keep`` spares the result
+    in ``passing_checkpoints``.
     """
     shared_dir(df.sparkSession)
     conf = df.sparkSession.conf
@@ -48,7 +72,10 @@ def cut(df: DataFrame) -> DataFrame:
         planned = df.select("*")
     finally:
         conf.set(CLEANUP, before)
-    return planned.checkpoint(eager=True)
+    done = planned.checkpoint(eager=True)
+    if not keep and (paths := _passing.get()) is not None:
+        paths.append(done._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return done
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, cut, small
+from topicloom.llm.common import bounded_batches, cut, passing_checkpoints, small
 from topicloom.llm.graph import connected_components
 from topicloom.llm.langid import _texts
 from topicloom.llm.shingles import SKETCHES, Sketched, label, shingle, word_hashes
@@ -278,8 +278,9 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float
     Of rows that repeat an id with an equal text one stays; rows with a null id, which
     are in no group, all stay, as do null and empty texts.
     """
-    found = near_duplicates(docs, id_col, text_col, least)
-    gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    with passing_checkpoints(docs.sparkSession):
+        found = near_duplicates(docs, id_col, text_col, least)
+        gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), keep=True)
     # Ids that go grow with the corpus: they are joined like any table, at every size.
     left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     ids = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice")).agg(F.count("*").alias("n"))
