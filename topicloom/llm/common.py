@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,42 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: dict[str, object] = {}
+
+
+def held[T](name: str, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps from task to task, until a task of another kind runs in it."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def _give_back() -> None:
+    """Return free memory of this Python worker to the system; its executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *keeps: str):
+    """``run`` for ``mapInArrow``, in a worker that keeps only what ``keeps`` names.
+
+    Workers are used again by later stages.  Without this each holds, beside what its
+    own stage takes, the largest that any stage before it took.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in set(_held).difference(keeps):
+            del _held[name]
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidy
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows are few, else leave the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches
+from topicloom.llm.common import bounded_batches, lean
 
 ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
@@ -74,7 +74,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"]
                     )
 
-    counted = labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counted = labelled.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", car
 
     x = bounded_batches(docs).select(head, F.col(text_col).alias("text"))
     kind = x.schema[kept].dataType.simpleString()
-    return x.mapInArrow(run, f"{kept} {kind}, lang_pred string, score double")
+    return x.mapInArrow(lean(run), f"{kept} {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **kw) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, cut, passing_checkpoints, small
+from topicloom.llm.common import bounded_batches, cut, lean, passing_checkpoints, small
 from topicloom.llm.graph import connected_components
 from topicloom.llm.langid import _texts
 from topicloom.llm.shingles import SKETCHES, Sketched, label, shingle, word_hashes
@@ -53,7 +53,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["id", "d1", "d2", "n", "keys", "bins"])
                 lo = hi
 
-    return docs.mapInArrow(run, "id long, d1 long, d2 long, n long, keys array<long>, bins binary")
+    return docs.mapInArrow(lean(run), "id long, d1 long, d2 long, n long, keys array<long>, bins binary")
 
 
 def _possible(na: np.ndarray, nb: np.ndarray, ba: np.ndarray, bb: np.ndarray, least: float) -> np.ndarray:
@@ -79,7 +79,7 @@ def prune(pairs: DataFrame, stats: DataFrame, least: float) -> DataFrame:
 
     one = stats.select(F.col("rep").alias("hub"), F.col("n").alias("na"), F.col("bins").alias("ba"))
     two = stats.select("rep", F.col("n").alias("nb"), F.col("bins").alias("bb"))
-    return pairs.join(one, "hub").join(two, "rep").select("hub", "rep", "na", "nb", "ba", "bb").mapInArrow(run, "hub long, rep long")
+    return pairs.join(one, "hub").join(two, "rep").select("hub", "rep", "na", "nb", "ba", "bb").mapInArrow(lean(run), "hub long, rep long")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["src", "dst"])
 
-    return rows.select("hub", "group", "id", "text").mapInArrow(run, "src long, dst long").distinct()
+    return rows.select("hub", "group", "id", "text").mapInArrow(lean(run), "src long, dst long").distinct()
 
 
 def _tiled(rows: DataFrame, block, schema: str, *cols: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _tiled(rows: DataFrame, block, schema: str, *cols: str) -> DataFrame:
             yield from block(pa.Table.from_batches(held))
 
     x = rows.select("key", "a", "b", "side", "rep", "label", "n", *cols)
-    return x.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, schema)
+    return x.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lean(run), schema)
 
 
 def _meets(side: np.ndarray, lab: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
@@ -229,7 +229,7 @@ def shingle_lists(docs: DataFrame) -> DataFrame:
             packed = pa.array([(g >> np.uint64(32)).astype(np.uint32).tobytes() for g in got], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int64()), packed], ["rep", "n", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "rep long, n long, shingles binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "rep long, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import Encoder
-from topicloom.llm.common import bounded_batches, cut
+from topicloom.llm.common import bounded_batches, cut, held, lean
 
 CAPACITY = 1024
 EOS = 2
@@ -40,13 +40,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def cuts(n: int, capacity: int) -> np.ndarray:
@@ -91,7 +86,7 @@ def make_pieces(docs: DataFrame, id_col="doc_id", text_col="text", capacity=CAPA
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = PIECES.replace("doc_id long", f"doc_id {kind}") + (", ids array<int>" if with_ids else "")
-    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run, f"encoder {path}"), schema)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -175,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], [*columns, "sequence_id", "offset"])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, with_ids=False) -> DataFrame:
