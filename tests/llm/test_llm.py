@@ -259,3 +259,13 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == df.columns
     assert F.col("x") is not None
+
+
+def test_lean_worker_keeps_only_what_is_named():
+    from topicloom.llm.common import held, lean
+
+    first, other = object(), object()
+    assert held("first", lambda: first) is first and held("other", lambda: other) is other
+    assert list(lean(lambda b: (x + 1 for x in b), "first")(iter([1, 2]))) == [2, 3]
+    assert held("first", object) is first and held("other", object) is not other
+    assert list(lean(lambda b: b)(iter([]))) == [] and held("first", object) is not first
