@@ -67,6 +67,17 @@ def test_embeddings_against_brute_force(spark):
     assert embed_dedup.near_duplicates(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_embedding_pairs_meet_at_every_table_size(n):
+    words = embed_dedup.codebook_size(n)
+    for dim, cosine in ((64, 0.951), (16, 0.96)):
+        codes = embed_dedup.codes_for(dim, words)
+        x, y = embed_dedup.random_pairs(2000, dim, cosine, 11)
+        p, q = (embed_dedup.decode(v, words, codes)[1].reshape(len(v), -1) for v in (x, y))
+        assert all(np.intersect1d(a, b).size for a, b in zip(p, q, strict=True))
+        assert embed_dedup.miss_rate(dim, words, embed_dedup.COSINE) ** codes <= embed_dedup.MISS
+
+
 def test_language(spark, odd):
     en, de = "the cat and the dog went there with this thing", "der hund und die katze gehen nicht zu einem haus"
     rows = [(i, (en if i % 2 else de) + f" {i}", "en" if i % 2 else "de", "s") for i in range(200)]

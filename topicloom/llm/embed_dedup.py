@@ -2,15 +2,17 @@
 
 Filter directions are words of random product codes: a random rotation, the space
 cut into two halves, a codebook of random unit vectors for each half; a direction is
-a pair of codewords, so C**2 directions cost 2 C inner products.  List decoding gives
-each vector all directions that it exceeds a threshold for; vectors that share a
-direction meet and are verified by their exact cosine.
-
-A vector has about ``HITS`` directions whatever the data, as directions are uniform.
-Two vectors with cosine 0.95 share more than half of them, so that a pair with no
-common direction is very improbable (recall is measured in the tests).  The number of
-directions grows with the number of vectors and keeps buckets small; buckets that are
-large all the same are cut into tiles, and pairs of tiles are verified as blocks.
+a pair of codewords, so C**2 directions cost 2 C inner products.  Each vector has its
+``BEST`` directions of every code; vectors that share a direction meet and are verified
+by their exact cosine.
+
+A code is a random rotation, so every pair of a cosine misses in it, having no common
+direction, with the same probability whatever the data, and codes miss independently.
+That probability grows with the number of directions.  It is measured on random pairs
+(``miss_rate``), and so many codes are taken that a pair at the cosine asked for
+misses in all with probability ``MISS`` at most; more similar pairs miss less.  The
+number of directions grows with the number of vectors and keeps buckets small; buckets
+that are large all the same are cut into tiles, and pairs of tiles are verified as blocks.
 
 Exact copies are collapsed first.  A pair counts once, in the smallest direction it
 shares; tiles emit a count per vector and a local root, never pairs.
@@ -21,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ COSINE = 0.95
 HITS = 32
 BUCKET = 96
 CODES = 4
+BEST = HITS // CODES
+#: Probability at most that a pair at the cosine asked for shares no direction.
+MISS = 1e-6
+PROBES = 2000
 TILE = 512
 
 
@@ -43,7 +48,7 @@ def codebook_size(n: int, hits=HITS, bucket=BUCKET, codes=CODES) -> int:
     return max(24, math.ceil(math.sqrt(max(1, n) * hits / bucket / codes)))
 
 
-@lru_cache(8)
+@lru_cache(16)
 def product_code(code: int, dim: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation and the two codebooks of one code; a fixed seed makes tasks agree."""
     rng = np.random.default_rng([20240607, code, dim, words])
@@ -56,31 +61,57 @@ def product_code(code: int, dim: int, words: int) -> tuple[np.ndarray, np.ndarra
     return turn, books[0], books[1]
 
 
-def decode(x: np.ndarray, words: int, hits=HITS, codes=CODES) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors -> (row, direction) of all directions above the threshold, rows sorted.
+def _largest(x: np.ndarray, k: int) -> np.ndarray:
+    return np.argpartition(x, x.shape[1] - k, axis=1)[:, -k:]
+
+
+def best_directions(x: np.ndarray, code: int, words: int, best=BEST) -> np.ndarray:
+    """Unit vectors -> the ``best`` directions of each in one code.
 
-    The best direction of every code counts in any case, so each vector has some.
+    The best pairs of codewords are among the best codewords of either half.
     """
-    n, dim = x.shape
-    share = min(0.5, hits / (codes * words * words))
-    bound = NormalDist().inv_cdf(1 - share) / math.sqrt(dim) * math.sqrt(2)
-    rows, dirs = [], []
-    for c in range(codes):
-        turn, one, two = product_code(c, dim, words)
-        y = x @ turn
-        a, b = y[:, : one.shape[1]] @ one.T, y[:, one.shape[1] :] @ two.T
-        base = c * words * words
-        rows.append(np.arange(n))
-        dirs.append(base + a.argmax(1) * words + b.argmax(1))
-        v, i = np.nonzero(a + b.max(1, keepdims=True) >= bound)
-        for lo in range(0, len(v), 4096):
-            vv, ii = v[lo : lo + 4096], i[lo : lo + 4096]
-            k, j = np.nonzero(b[vv] + a[vv, ii][:, None] >= bound)
-            rows.append(vv[k])
-            dirs.append(base + ii[k] * words + j)
-    r, d = np.concatenate(rows), np.concatenate(dirs)
-    both = np.unique(np.stack([r, d], 1), axis=0)
-    return both[:, 0], both[:, 1]
+    turn, one, two = product_code(code, x.shape[1], words)
+    y = x @ turn
+    a, b = y[:, : one.shape[1]] @ one.T, y[:, one.shape[1] :] @ two.T
+    i, j = _largest(a, best), _largest(b, best)
+    both = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+    at = _largest(both.reshape(len(x), -1), best)
+    return np.take_along_axis(i, at // best, 1) * words + np.take_along_axis(j, at % best, 1)
+
+
+def random_pairs(n: int, dim: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors at this cosine."""
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z
+
+
+@lru_cache(64)
+def miss_rate(dim: int, words: int, cosine: float) -> float:
+    """Share of random pairs without a common direction in one code, rounded up."""
+    x, y = random_pairs(PROBES, dim, cosine, 5)
+    met = 0
+    for lo in range(0, PROBES, 250):
+        p, q = (best_directions(v[lo : lo + 250], 0, words) for v in (x, y))
+        met += int((p[:, :, None] == q[:, None, :]).any((1, 2)).sum())
+    return (PROBES - met + 1) / (PROBES + 1)
+
+
+def codes_for(dim: int, words: int, cosine: float = COSINE, miss: float = MISS) -> int:
+    """Codes such that a pair at ``cosine`` misses in all with probability ``miss`` at most."""
+    if dim == 1:
+        return CODES  # vectors of one component link when equal, and equal ones share all
+    return max(CODES, math.ceil(math.log(miss) / math.log(min(miss_rate(dim, words, cosine), 1 - 1 / PROBES))))
+
+
+def decode(x: np.ndarray, words: int, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors -> (row, direction) of their best directions in all codes, rows sorted."""
+    found = [c * words * words + best_directions(x, c, words) for c in range(codes)]
+    dirs = np.sort(np.concatenate(found, axis=1), axis=1)
+    return np.repeat(np.arange(len(x)), dirs.shape[1]), dirs.ravel()
 
 
 def _unit(raw: bytes | list, kind: str) -> np.ndarray:
@@ -90,7 +121,7 @@ def _unit(raw: bytes | list, kind: str) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def _meet(classes: DataFrame, words: int, kind: str) -> DataFrame:
+def _meet(classes: DataFrame, words: int, codes: dict[int, int], kind: str) -> DataFrame:
     """``rep, n, vec`` -> ``code, rep, n, codes, vec``, one row per direction of a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +133,7 @@ def _meet(classes: DataFrame, words: int, kind: str) -> DataFrame:
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
                     x = np.stack([_unit(vecs[i], kind) for i in own])
-                    r, d = decode(x, words)
+                    r, d = decode(x, words, codes[x.shape[1]])
                     d = d + (x.shape[1] << 44)
                     ends = np.searchsorted(r, np.arange(len(own) + 1))
                     lists = [d[ends[i] : ends[i + 1]].tobytes() for i in range(len(own))]
@@ -216,9 +247,10 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     size = 4 if kind == "<f4" else 8
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{'float' if size == 4 else 'double'}>").alias("vec_key"))
     classes = cut(classes_of(rows, "vec_id", "vec_key"))
-    n_classes = classes.count()
-    words = codebook_size(n_classes)
-    met = _meet(_packed(classes, kind), words, kind)
+    dims = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vec_key").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    words = codebook_size(sum(dims.values()))
+    codes = {dim: codes_for(dim, words, cosine) for dim in dims}
+    met = _meet(_packed(classes, kind), words, codes, kind)
     sizes = met.groupBy("code").agg(F.count("*").alias("k")).filter(F.col("k") > TILE)
     large = cut(sizes.select("code", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
     x = met.join(small(large, large.count()), "code", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
