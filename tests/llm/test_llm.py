@@ -48,6 +48,23 @@ def test_style_tree_removes_template(spark, most):
     assert html_extract.extract(empty(pages)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_style_tree_decides_inside_and_outside_landmarks(spark, most):
+    shared = '<article><h1>title {0}</h1><p>body {0}</p><div class="box">the same on every page</div></article><div class="tail">same tail</div>'
+    cards = '<article class="card"><p>teaser</p></article><div class="story"><p>story {0}</p><p>more {0}</p></div>'
+    rows = [(i, f"http://a.com/{i}", shared.format(i)) for i in range(12)] + [(100 + i, f"http://b.com/{i}", cards.format(i)) for i in range(12)]
+    pages = spark.createDataFrame([*rows, (200, "http://c.com/", shared.format(7))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, most=most).collect()}
+    want = {i: f"title {i} body {i}" for i in range(12)} | {100 + i: f"story {i} more {i}" for i in range(12)}
+    assert got == want | {200: "title 7 body 7 the same on every page"}
+
+
+def test_wrapper_with_a_noise_word_is_kept():
+    page = '<div class="page has-sidebar"><h1>T</h1><p>long text of the page</p><div class="sidebar">no</div></div><div class="comments">no</div>'
+    assert Page(page).main_text() == "T long text of the page"
+    assert Page('<p>text</p><div class="comments"><p>a comment longer than the text</p></div>').main_text() == "text"
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import xxhash
@@ -35,7 +36,7 @@ CLOSES = {
     "th": ("td th", ("tr", "table")),
     "option": ("option", ("select",)),
 }
-#: Landmarks: elements whose importance needs no statistics.
+#: Landmarks: what a page says of its own parts, before any statistics.
 MAIN_TAGS = frozenset(["article", "main"])
 NOISE_TAGS = frozenset("head nav header footer aside form menu dialog button select input object embed audio video canvas map".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -48,8 +49,8 @@ OUTER_WORDS = frozenset(["header", "banner"])
 
 
 @lru_cache(1 << 16)
-def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
-    """Key of an element among its siblings; main, noise, and noise only outside main."""
+def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
+    """Key of an element among its siblings; main, noise, noise only outside main, noise by its words alone."""
     found = {}
     for name, a, b, c in _ATTR.findall(attrs):
         found.setdefault(name.lower(), (a or b or c).lower())
@@ -59,7 +60,8 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     main = tag in MAIN_TAGS or role == "main"
     noise = tag in NOISE_TAGS and tag != "header" or role in NOISE_ROLES or bool(words & (NOISE_WORDS - OUTER_WORDS))
     outer = tag == "header" or bool(words & OUTER_WORDS)
-    return f"{tag}.{label}", main, noise and not main and tag not in ("html", "body"), outer and not main and tag not in ("html", "body")
+    may = not main and tag not in ("html", "body")
+    return f"{tag}.{label}", main, noise and may, outer and may, tag not in NOISE_TAGS and role not in NOISE_ROLES
 
 
 @lru_cache(1 << 16)
@@ -68,10 +70,10 @@ def _path(parent: int, key: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "depth", "noise", "main", "holds", "kids")
+    __slots__ = ("tag", "path", "parent", "depth", "noise", "main", "holds", "kids", "worded")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
-        key, self.main, noise, outer = _marks(tag, attrs)
+        key, self.main, noise, outer, self.worded = _marks(tag, attrs)
         inside = parent is not None and parent.main
         self.noise = noise or outer and not inside
         self.tag, self.parent, self.holds, self.kids = tag, parent, False, []
@@ -92,8 +94,14 @@ class Element:
             e = e.parent
         return False
 
-    def decided(self) -> bool:
-        return self.main or self.dropped()
+    def low(self, noise: frozenset[int]) -> bool:
+        """A path of ``noise`` here or above, below what holds a main landmark."""
+        e = self
+        while e is not None and not e.holds:
+            if e.path in noise:
+                return True
+            e = e.parent
+        return False
 
     def chain(self) -> list[int]:
         out, e = [], self
@@ -196,16 +204,39 @@ class Page:
             self.elements.append(e)
         leave(1)
         flush()
-
-    def main_text(self, noise: frozenset[int] = frozenset()) -> str:
+        self._wrappers()
+
+    def _wrappers(self):
+        """Without a main landmark, an element with a noise word that holds the page's
+        heading and over half of its text is a wrapper, not noise."""
+        if any(e.main for e in self.elements):
+            return
+        size, titled, whole = Counter(), set(), 0
+        for e, t in self.blocks:
+            x = e
+            marks = []
+            while x is not None:
+                if x.noise:
+                    marks.append(x)
+                x = x.parent
+            if all(m.worded for m in marks):
+                whole += len(t)
+                for m in marks:
+                    size[m] += len(t)
+                    if e.tag == "h1":
+                        titled.add(m)
+        for m in titled:
+            if size[m] * 2 > whole:
+                m.noise = False
+
+    def main_text(self, noise: frozenset[int] = frozenset(), body: frozenset[int] = frozenset()) -> str:
         """Blocks that stay, in page order.
 
-        Noise landmarks go.  Where a main landmark has text, the rest goes, too; else
-        the branches whose path is in ``noise``, unless nothing would be left.
+        Noise landmarks go, and branches whose path is in ``noise``.  Where a main
+        landmark has text, blocks outside it stay if their path is in ``body``.  If
+        nothing is left, what the landmarks alone leave stays.
         """
         kept = [(e, t) for e, t in self.blocks if not e.dropped()]
-        inner = [t for e, t in kept if e.main]
-        if inner:
-            return " ".join(inner)
-        left = [t for e, t in kept if not (noise and any(p in noise for p in e.chain()))]
-        return " ".join(left or [t for _, t in kept])
+        inner = any(e.main for e, _ in kept)
+        left = [t for e, t in kept if (not inner or e.main or e.path in body) and not e.low(noise)]
+        return " ".join(left or [t for e, t in kept if e.main or not inner])

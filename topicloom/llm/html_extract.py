@@ -12,8 +12,11 @@ features are the texts of its blocks.  Importance follows from entropy:
   mean of the composites below, weighted by style share.
 
 Branches with low composite importance are removed from every page.  HTML's own
-landmarks need no statistics: ``article`` and ``main`` are content; ``nav``,
-``footer``, adverts, comments and the like are not; see ``dom``.
+landmarks weigh beside it: ``nav``, ``footer``, adverts, comments and the like are no
+content (see ``dom``); inside ``article`` and ``main`` importance must be lower by
+``MAIN_WEIGHT`` for a branch to go; on pages whose main landmark has text, a block
+outside of it stays only where its importance is high (``1 - THRESHOLD`` at least).
+Hosts with fewer than ``MIN_PAGES`` pages have no statistics: landmarks alone decide.
 
 The tree is a table of (host, path) nodes built by counts by (host, path, feature),
 combined before the shuffle, so a host with most of the pages is no hot spot.
@@ -36,8 +39,9 @@ from topicloom.llm.url_filter import host_of
 DAMPING = 0.9
 THRESHOLD = 0.25
 MIN_PAGES = 5
+MAIN_WEIGHT = 0.5
 NODE, STYLE, CONTENT = 0, 1, 2
-OBSERVED = "host string, path long, kind int, key long, chain array<long>, decided boolean, occ long, share double"
+OBSERVED = "host string, path long, kind int, key long, chain array<long>, decided boolean, inside boolean, outside boolean, occ long, share double"
 
 
 def _signed(text: str) -> int:
@@ -49,7 +53,7 @@ def observe(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in OBSERVED.split(", ")]
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.float64()]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64()]
         for b in batches:
             rows = []
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -57,19 +61,25 @@ def observe(pages: DataFrame) -> DataFrame:
                 nodes, styles, seen = {}, Counter(), set()
                 share: Counter = Counter()
                 for e in page.elements:
-                    n = nodes.setdefault(e.path, [e.chain(), True, 0])
-                    n[1] &= e.decided()
-                    n[2] += 1
+                    n = nodes.setdefault(e.path, [e.chain(), True, True, False, 0])
+                    dropped = e.dropped()
+                    n[1] &= dropped
+                    n[2] &= e.main and not dropped
+                    n[4] += 1
                     if e.kids:
                         styles[e.path, _signed(" ".join(map(str, e.kids)))] += 1
                         for k in e.kids:
                             if k != e.path:
                                 share[k] += 1 / len(e.kids)
+                kept = [e for e, _ in page.blocks if not e.dropped()]
+                if any(e.main for e in kept):
+                    for e in kept:
+                        nodes[e.path][3] |= not e.main
                 for e, text in page.blocks:
                     seen.add((e.path, _signed(text)))
-                rows += [(host, p, NODE, 0, c, d, o, float(share[p])) for p, (c, d, o) in nodes.items()]
-                rows += [(host, p, STYLE, k, None, None, n, 0.0) for (p, k), n in styles.items()]
-                rows += [(host, p, CONTENT, k, None, None, 1, 0.0) for p, k in seen]
+                rows += [(host, p, NODE, 0, *marks, float(share[p])) for p, marks in nodes.items()]
+                rows += [(host, p, STYLE, k, None, None, None, None, n, 0.0) for (p, k), n in styles.items()]
+                rows += [(host, p, CONTENT, k, None, None, None, None, 1, 0.0) for p, k in seen]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows = []
@@ -80,10 +90,11 @@ def observe(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """``host, html`` -> ``host, path, pages, decided, presentation, content, importance``."""
+    """``host, html`` -> ``host, path, pages, decided, inside, outside, presentation, content, importance``."""
     counted = observe(pages).groupBy("host", "path", "kind", "key").agg(
-        F.count("*").alias("pages"), F.sum("occ").alias("occ"), F.sum("share").alias("share"), F.first("chain", True).alias("chain"), F.min("decided").alias("decided")
-    )
+        F.count("*").alias("pages"), F.sum("occ").alias("occ"), F.sum("share").alias("share"), F.first("chain", True).alias("chain"),
+        F.min("decided").alias("decided"), F.min("inside").alias("inside"), F.max("outside").alias("outside"),
+    )
     is_ = lambda k: F.col("kind") == k
     nodes = counted.groupBy("host", "path").agg(
         F.sum(F.when(is_(NODE), F.col("pages"))).alias("pages"),
@@ -91,6 +102,8 @@ def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
         F.sum(F.when(is_(NODE), F.col("share"))).alias("share"),
         F.first("chain", True).alias("chain"),
         F.min("decided").alias("decided"),
+        F.min("inside").alias("inside"),
+        F.max("outside").alias("outside"),
         F.count(F.when(is_(STYLE), 1)).alias("l"),
         F.sum(F.when(is_(STYLE), F.col("occ"))).alias("shown"),
         F.sum(F.when(is_(STYLE), F.col("occ") * F.log("occ"))).alias("olog"),
@@ -103,7 +116,7 @@ def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
     gl = F.pow(F.lit(damping), F.col("l"))
     base = F.when(F.col("l") > 0, (1 - gl) * present).otherwise(F.coalesce(content, F.lit(1.0)))
     nodes = cut(
-        nodes.select("host", "path", "pages", "occ", "share", "chain", "decided", present.alias("presentation"), content.alias("content"), base.alias("base"), gl.alias("gl"))
+        nodes.select("host", "path", "pages", "occ", "share", "chain", "decided", "inside", "outside", present.alias("presentation"), content.alias("content"), base.alias("base"), gl.alias("gl"))
     )
     # The weight of a node in its parent's composite, then in every ancestor's.
     parent = F.when(F.size("chain") > 1, F.element_at("chain", -2))
@@ -121,25 +134,31 @@ def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
     parts = lines.select("host", "base", F.explode(above).alias("a"))
     comp = parts.groupBy("host", F.col("a.path").alias("path")).agg(F.sum(F.col("a.w") * F.col("base")).alias("composite"))
     out = nodes.join(comp, ["host", "path"])
-    return out.select("host", "path", "pages", "decided", "presentation", "content", F.greatest("composite", "content").alias("importance"))
+    return out.select("host", "path", "pages", "decided", "inside", "outside", "presentation", "content", F.greatest("composite", "content").alias("importance"))
+
+
+def verdicts(pages: DataFrame, threshold=THRESHOLD, min_pages=MIN_PAGES) -> DataFrame:
+    """``host, path, body``: branches found unimportant, and important ones (``body``) outside main landmarks."""
+    tree = style_tree(pages).filter(~F.col("decided") & (F.col("pages") >= min_pages))
+    low = F.col("importance") < F.when(F.col("inside"), threshold * MAIN_WEIGHT).otherwise(threshold)
+    body = F.col("outside") & (F.col("importance") >= 1 - threshold)
+    return cut(tree.filter(low | body).select("host", "path", body.alias("body")))
 
 
-def noise_paths(pages: DataFrame, threshold=THRESHOLD, min_pages=MIN_PAGES) -> DataFrame:
-    """``host, path`` of branches that the statistics find unimportant."""
-    tree = style_tree(pages)
-    low = ~F.col("decided") & (F.col("pages") >= min_pages) & (F.col("importance") < threshold)
-    return cut(tree.filter(low).select("host", "path"))
+def _collected() -> list[Column]:
+    return [F.collect_set(F.when(~F.col("body"), F.col("path"))).alias("noise"), F.collect_set(F.when(F.col("body"), F.col("path"))).alias("body")]
 
 
 def _texts(pages: DataFrame) -> DataFrame:
-    """``row, html, noise`` -> ``row, text``."""
+    """``row, html, noise, body`` -> ``row, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [Page(h).main_text(frozenset(n or ())) for h, n in zip(b.column("html").to_pylist(), b.column("noise").to_pylist(), strict=True)]
+            said = zip(*(b.column(c).to_pylist() for c in ("html", "noise", "body")), strict=True)
+            got = [Page(h).main_text(frozenset(n or ()), frozenset(k or ())) for h, n, k in said]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(got, pa.string())], ["row", "text"])
 
-    x = pages.select("row", "html", "noise")
+    x = pages.select("row", "html", "noise", "body")
     return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, text string")
 
 
@@ -148,32 +167,32 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
 
     Null or empty HTML gives an empty text; a null URL and such without a host share
     the empty host's tree; repeated rows stay repeated; an empty table gives no rows;
-    other columns are not read.  Removed branches reach the pages by a broadcast by
+    other columns are not read.  Verdicts on branches reach the pages by a broadcast by
     host while they are counted to be few (``most``), else by a join on (host, path)
     with the paths of each page.
     """
     p = pages.select(F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    noise = noise_paths(p, threshold, min_pages)
-    if noise.count() <= most:
-        by_host = noise.groupBy("host").agg(F.collect_set("path").alias("noise"))
+    found = verdicts(p, threshold, min_pages)
+    if found.count() <= most:
+        by_host = found.groupBy("host").agg(*_collected())
         x = p.join(F.broadcast(by_host), "host", "left")
     else:
         key: Column = F.xxhash64("row", "html")
         paths = observe_paths(p.select("host", key.alias("k"), "html"))
-        found = paths.join(noise, ["host", "path"]).groupBy("k").agg(F.collect_set("path").alias("noise"))
-        x = p.withColumn("k", key).join(found, "k", "left")
+        by_page = paths.join(found, ["host", "path"]).groupBy("k").agg(*_collected())
+        x = p.withColumn("k", key).join(by_page, "k", "left")
     return _texts(x).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def observe_paths(pages: DataFrame) -> DataFrame:
-    """``host, k, html`` -> distinct ``host, k, path`` of the page's undecided nodes."""
+    """``host, k, html`` -> distinct ``host, k, path`` of the page's nodes but for noise landmarks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
                 (h, k, p)
                 for h, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True)
-                for p in {e.path for e in Page(s).elements if not e.decided()}
+                for p in {e.path for e in Page(s).elements if not e.dropped()}
             ]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["host", "k", "path"])
