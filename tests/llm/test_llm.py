@@ -116,6 +116,40 @@ def test_code_lengths_are_exact():
     assert (total <= 1 + 1e-5).all() and (total > 0.9).all()
 
 
+def test_language_model_keeps_all_contexts_and_is_exact():
+    """Against PPM with exclusions written out, with many and unequal languages."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(list(b"abcdefgh"), 4000 if i else 300, p=rng.dirichlet(np.ones(8))).tolist()) for i in range(200)]
+    parts = [np.unique(langid._grams(np.frombuffer(t, np.uint8), np.array([0])), return_counts=True) for t in texts]
+    lang = np.repeat(np.arange(200), [len(k) for k, _ in parts])
+    gram, n = np.concatenate([k for k, _ in parts]).astype(np.int64), np.concatenate([c for _, c in parts]).astype(float)
+    m = langid.Model([f"l{i:03}" for i in range(200)], lang, gram, n)
+    assert len(m.contexts[3]) > 256
+    grams = [langid._grams(np.frombuffer(t, np.uint8), np.array([0])) for t in texts]
+
+    def cost(i, g):
+        bits, out = 0.0, set()
+        for k in range(3, -1, -1):
+            c = int(g) >> 8 & (1 << 8 * k) - 1
+            if not (m.contexts[k] == c).any():
+                continue
+            seen = {int(b): x for b, x in zip(*tables[i][k].get(c, ((), ())), strict=True) if int(b) not in out}
+            total = sum(seen.values()) + len(seen)
+            if int(g) & 255 in seen:
+                return bits - np.log2(seen[int(g) & 255] / total)
+            bits -= np.log2(len(seen) / total) if seen else 0
+            out |= set(seen)
+        return bits + np.log2(256 - len(out))
+
+    tables = {}
+    for i in (0, 1, 199):
+        tables[i] = [{c: np.unique(grams[i][(grams[i] >> 8 & (1 << 8 * k) - 1) == c] & 255, return_counts=True) for c in np.unique(grams[i] >> 8 & (1 << 8 * k) - 1)} for k in range(4)]
+        asked = np.concatenate([grams[1][:200], langid._grams(np.frombuffer(b"abcz hgfe\xff", np.uint8), np.array([0]))])
+        assert m.trees[i].costs(asked) == pytest.approx([cost(i, g) for g in asked], abs=1e-4)
+    data = np.frombuffer(b"".join(t[:300] for t in texts), np.uint8)
+    assert (m.score(data, np.arange(201) * 300).argmin(1) == np.arange(200)).mean() > 0.97
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<s>\\<s>", "\\", "[\\INST]", "", None, "<\\s>[/INST"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)] + [(2, 0, "user", "only")] + [(None, None, None, None)]

@@ -6,8 +6,11 @@ context; a byte seen there costs -log2(count / (total + distinct)), any other co
 the escape -log2(distinct / (total + distinct)) and is coded in the next shorter
 context, from which the bytes already ruled out are excluded; the last resort is a
 uniform byte.  The statistics are frozen after training, so every (context, byte)
-has one exact cost per language, computed once into a table; scoring a text is a
-walk over a shared trie of contexts and a sum over its bytes.
+has one exact cost per language.  They are kept sparse: per language the counts of
+the bytes seen in a context, and a few numbers per context.  As a byte seen in a
+context is seen in all shorter ones, what a shorter context excludes is what the next
+longer one has seen, so these give the exact cost of unseen bytes, too.  A text is
+scored by its distinct (context, byte) pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +27,7 @@ from topicloom.llm.common import bounded_batches, lean
 ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
 SAMPLE_PER_LANG = 2000
-#: Longest contexts are kept while this many at most; frequent ones first.
-MAX_CONTEXTS = 12_000
-#: Bytes of a cost table at most; more languages mean fewer contexts.
-MAX_TABLE = 48 << 20
+#: Contexts seen less often, in all languages together, are not used.
 MIN_CONTEXT = 4
 UNKNOWN = "und"
 CHUNK = 1 << 19
@@ -78,95 +78,127 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and which are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _suffix(context: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` latest bytes of contexts."""
+    return context & np.asarray((1 << (8 * k)) - 1, context.dtype)
+
+
+class Tree:
+    """Frozen counts of one language, by length of context.
+
+    ``contexts[k]``: contexts of length k, sorted; ``start[k]``, ``escape[k]``: bits of
+    a context's denominator and of its escape, if coding starts there; ``start_below``,
+    ``escape_below``: those of the next shorter context after an escape from this one;
+    ``grams[k]``, ``gain[k]``: (context, byte), sorted, and the log of its count.
+    """
+
+    def __init__(self, contexts: list[np.ndarray], gram: np.ndarray, n: np.ndarray):
+        self.contexts, self.grams, self.gain = [], [], []
+        self.start, self.escape, self.start_below, self.escape_below = [], [], [], []
+        for k in range(ORDER + 1):
+            key, where = np.unique(_suffix(gram, k + 1), return_inverse=True)
+            count = np.bincount(where, n, len(key))
+            own = _find(contexts[k], key >> 8)[1]
+            key, count = key[own], count[own]
+            c, where = np.unique(key >> 8, return_inverse=True)
+            total, distinct = np.bincount(where, count, len(c)), np.bincount(where, minlength=len(c)).astype(float)
+            if k:
+                # What is left of the shorter context without the bytes seen here.
+                at = _find(before[0], _suffix(c, k - 1))[0]
+                same = _find(before[3], _suffix(key, k))[0]
+                rest = before[1][at] - np.bincount(where, before[4][same], len(c)), before[2][at] - distinct
+            else:
+                rest = np.zeros(len(c)), 256 - distinct
+            for into, (t, d) in (((self.start, self.escape), (total, distinct)), ((self.start_below, self.escape_below), rest)):
+                whole = np.log2(np.maximum(t + d, 1))
+                into[0].append(whole.astype(np.float32))
+                into[1].append(np.where(d > 0, whole - np.log2(np.maximum(d, 1)), 0).astype(np.float32))
+            if not k:  # below the empty context each byte left costs the same; nothing escapes
+                self.start_below[0] = np.log2(np.maximum(256 - distinct, 1)).astype(np.float32)
+            self.contexts.append(c.astype(np.uint32))
+            self.grams.append(key.astype(np.uint32))
+            self.gain.append(np.log2(count).astype(np.float32))
+            before = c, total, distinct, key, count
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of bytes in their contexts, as ``_grams`` gives them."""
+        out = np.zeros(len(gram))
+        open_ = np.ones(len(gram), bool)  # not coded yet
+        longer = np.full(len(gram), -1)  # place of the context escaped from
+        for k in range(ORDER, -1, -1):
+            at, there = _find(self.contexts[k], _suffix(gram >> np.uint32(8), k))
+            use = np.flatnonzero(open_ & there)
+            if not len(use):
+                continue
+            at, came = at[use], longer[use]
+            begins = came < 0
+            up = np.maximum(came, 0)
+            spot, seen = _find(self.grams[k], _suffix(gram[use], k + 1))
+            above = k + 1 if k < ORDER else k
+            start, escape = self.start[k][at], self.escape[k][at]
+            if not begins.all():
+                start = np.where(begins, start, self.start_below[above][up])
+                escape = np.where(begins, escape, self.escape_below[above][up])
+            out[use] += np.where(seen, start - self.gain[k][spot], escape)
+            open_[use[seen]] = False
+            longer[use] = at
+        # In a tree with any text the empty context is there.
+        last = np.flatnonzero(open_)
+        out[last] += self.start_below[0][0] if len(self.contexts[0]) else 8.0
+        return out
+
+
 class Model:
-    """Frozen context trees of all languages: a trie of contexts and a cost table.
+    """Frozen context trees of all languages.
 
-    ``child[node, byte]`` is the node of the context that is one byte longer to the
-    past; ``cost[node, byte, language]`` is the code length in bits in that context.
+    A context is used if it is seen ``MIN_CONTEXT`` times in all languages together,
+    and its shorter ones are used; there is no bound on their number.
     """
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
-        size = max(1, len(langs))
-        limit = max(256, min(MAX_CONTEXTS, MAX_TABLE // (256 * 4 * size)))
-        byte = (gram & 0xFF).astype(np.int64)
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, ORDER + 1):
-            c = (gram >> 8) & ((1 << (8 * k)) - 1)
-            key, where = np.unique(c, return_inverse=True)
-            total = np.bincount(where, n, len(key))
-            keep = key[total >= MIN_CONTEXT]
-            # Its suffix must be there too; the most frequent contexts go first.
-            if k > 1:
-                keep = keep[np.isin(keep & ((1 << (8 * (k - 1))) - 1), contexts[-1])]
-            room = max(0, limit - sum(map(len, contexts)))
-            if len(keep) > room:
-                weight = total[np.searchsorted(key, keep)]
-                keep = np.sort(keep[np.lexsort((keep, -weight))[:room]])
-            contexts.append(keep)
-        offset = np.cumsum([0] + [len(c) for c in contexts])
-        nodes = int(offset[-1])
-        self.child = np.zeros((nodes, 256), np.int32)
+        gram = gram.astype(np.int64)
+        self.contexts = [np.zeros(1, np.int64)]
         for k in range(1, ORDER + 1):
-            c = contexts[k]
-            older, rest = c >> (8 * (k - 1)), c & ((1 << (8 * (k - 1))) - 1)
-            parent = offset[k - 1] + np.searchsorted(contexts[k - 1], rest)
-            self.child[parent, older] = offset[k] + np.arange(len(c))
-        self.cost = np.zeros((nodes, 256, size), np.float32)
-        for i in range(len(langs)):
-            own = lang == i
-            self._fill(i, contexts, offset, gram[own], byte[own], n[own])
-
-    def _fill(self, i, contexts, offset, gram, byte, n):
-        # Counts of this language by node, from the shortest contexts on.
-        counts = []
-        for k, c in enumerate(contexts):
-            ctx = (gram >> 8) & ((1 << (8 * k)) - 1)
-            at = np.searchsorted(c, ctx) if len(c) else np.zeros(len(ctx), np.int64)
-            hit = (at < len(c)) & (c[np.minimum(at, max(0, len(c) - 1))] == ctx) if len(c) else np.zeros(len(ctx), bool)
-            m = np.zeros((len(c), 256), np.float64)
-            np.add.at(m, (at[hit], byte[hit]), n[hit])
-            counts.append(m)
-
-        def costs(k: int, rows: np.ndarray, ruled_out: np.ndarray) -> np.ndarray:
-            """Bits for each byte at these contexts of length k, if some bytes are ruled out."""
-            if k < 0:
-                left = 256 - ruled_out.sum(1, keepdims=True)
-                return np.broadcast_to(np.log2(np.maximum(left, 1)), ruled_out.shape).copy()
-            m = np.where(ruled_out, 0, counts[k][rows])
-            seen = m > 0
-            total, distinct = m.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            shorter = rows if k == 0 else np.searchsorted(contexts[k - 1], contexts[k][rows] & ((1 << (8 * (k - 1))) - 1)) if k > 1 else np.zeros(len(rows), np.int64)
-            below = costs(k - 1, shorter, ruled_out | seen)
-            whole = np.maximum(total + distinct, 1)
-            escape = np.where(distinct > 0, -np.log2(np.maximum(distinct, 1) / whole), 0)
-            return np.where(seen, -np.log2(np.maximum(m, 1) / whole), escape + below)
-
-        for k, c in enumerate(contexts):
-            for lo in range(0, len(c), 2048):
-                rows = np.arange(lo, min(lo + 2048, len(c)))
-                self.cost[offset[k] + rows, :, i] = costs(k, rows, np.zeros((len(rows), 256), bool))
+            key, where = np.unique(_suffix(gram >> 8, k), return_inverse=True)
+            keep = key[np.bincount(where, n, len(key)) >= MIN_CONTEXT]
+            self.contexts.append(keep[_find(self.contexts[-1], _suffix(keep, k - 1))[1]])
+        order = np.argsort(lang, kind="stable")
+        ends = np.searchsorted(lang[order], np.arange(len(langs) + 1))
+        self.trees = [Tree(self.contexts, gram[own], n[own]) for own in (order[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True))]
+
+    @property
+    def cost(self) -> np.ndarray:
+        """Bits by context, byte and language; a dense table, to look at small models."""
+        grams = np.concatenate([(c[:, None] << 8 | np.arange(256)).ravel() for c in self.contexts]).astype(np.uint32)
+        # A context stands for itself alone: longer ones that its zero bytes could match are not asked.
+        size = np.repeat(np.arange(ORDER + 1), [256 * len(c) for c in self.contexts])
+        out = np.zeros((len(grams), len(self.trees)))
+        for i, t in enumerate(self.trees):
+            for k in range(ORDER + 1):
+                cut_ = Tree.__new__(Tree)
+                cut_.__dict__ = t.__dict__ | {"contexts": [c if x <= k else c[:0] for x, c in enumerate(t.contexts)]}
+                out[size == k, i] = cut_.costs(grams[size == k])
+        return out.reshape(-1, 256, len(self.trees))
 
     def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length of each text in each language; ``starts`` of non-empty texts in ``data``."""
-        n = len(data)
-        node = np.zeros(n, np.int32)
-        alive = np.ones(n, bool)
-        child, since = self.child.ravel(), np.arange(n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n)))
-        for k in range(1, ORDER + 1):
-            before = np.zeros(n, np.int32)
-            before[k:] = data[:-k] if n > k else data[:0]
-            before[since < k] = 0
-            further = child[node * 256 + before]
-            alive &= further > 0
-            node = np.where(alive, further, node)
-        flat = self.cost.reshape(-1, self.cost.shape[2])
-        return np.add.reduceat(flat[node.astype(np.int64) * 256 + data], starts, axis=0, dtype=np.float64)
+        gram, where = np.unique(_grams(data, starts), return_inverse=True)
+        out = [np.add.reduceat(t.costs(gram)[where], starts) for t in self.trees]
+        return np.stack(out, axis=1)
 
     def score(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Bits by text and language, over chunks of bounded size."""
         texts = len(start) - 1
-        out = np.zeros((texts, self.cost.shape[2]))
+        out = np.zeros((texts, len(self.trees)))
         lo = 0
         while lo < texts:
             hi = max(lo + 1, int(np.searchsorted(start, start[lo] + CHUNK, side="right")) - 1)
@@ -211,13 +243,13 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", car
     null; other columns are not read, but with ``carry`` they go along in ``row``.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.child, model.cost))
+    sent = spark.sparkContext.broadcast((model.langs, model.trees))
     head = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("doc_id")
     kept = "row" if carry else "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
-        m.langs, m.child, m.cost = sent.value
+        m.langs, m.trees = sent.value
         names = np.array([*m.langs, UNKNOWN], object)
         for b in batches:
             texts = b.column(1)
