@@ -119,3 +119,17 @@ def test_config(spark):
 
 def test_stop_word_defaults():
     assert len(T.STOP_WORDS) == len(set(T.STOP_WORDS)) < 200
+
+
+def test_every_slice_gets_its_model_rows(spark, tmp_path):
+    from topicloom import queries
+
+    words = [f"word{i}" for i in range(20)]
+    rows = [(i, " ".join(words[i % 7 : i % 7 + 12])) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["slice_requests"](spark, str(tmp_path)).collect()
+    asked = queries.QUERIES["slice_meta"](spark, str(tmp_path)).collect()
+    model = queries.QUERIES["word_topic"](spark, str(tmp_path)).collect()
+    assert {r.block_id for r in got} == {0, 1, 2}
+    want = [(a.block_id, a.slice_id, m.word_id, m.topic, m.cnt) for a in asked for m in model if m.word_id == a.word_id]
+    assert sorted(map(tuple, got)) == sorted(want)

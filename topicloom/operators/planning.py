@@ -74,3 +74,8 @@ def slice_summary(sliced: DataFrame, vocab: DataFrame) -> DataFrame:
 def slice_rows(model: DataFrame, words: DataFrame) -> DataFrame:
     """Model rows of the words that a slice asks for."""
     return model.join(words.select("word_id").distinct(), "word_id", "left_semi")
+
+
+def slice_requests(model: DataFrame, sliced: DataFrame) -> DataFrame:
+    """``block_id, slice_id, word_id, topic, cnt``: the model rows that each slice of each block asks for."""
+    return sliced.select("block_id", "slice_id", "word_id").join(model, "word_id").select("block_id", "slice_id", "word_id", "topic", "cnt")

@@ -99,6 +99,7 @@ BUILD = {
     "dict_meta_by_client": lambda s: planning.dict_meta_by_client(s.ids, s.cfg.topics, s.cfg.load_factor, s.cfg.clients),
     "slice_meta": lambda s: s.slices,
     "slice_semi_join": lambda s: planning.slice_rows(s.model, s.slices.filter("block_id = 0 AND slice_id = 0")),
+    "slice_requests": lambda s: planning.slice_requests(s.model, s.slices),
     "init_topics": lambda s: s.init,
     "doc_topic": lambda s: s.doc_counts,
     "word_topic": lambda s: s.model,
@@ -225,6 +226,7 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "dict_meta_by_client": f"SELECT CAST(word_id % {c.clients} AS INTEGER) AS client_id, count(*) AS n_words, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum({size}) AS BIGINT) AS memory FROM ids GROUP BY 1",
         "slice_meta": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id FROM sl",
         "slice_semi_join": "SELECT * FROM ntw WHERE word_id IN (SELECT word_id FROM sl WHERE block_id = 0 AND slice_id = 0)",
+        "slice_requests": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id, topic, cnt FROM sl JOIN ntw USING (word_id)",
         "init_topics": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, word_id, topic FROM init",
         "doc_topic": "SELECT * FROM ntd",
         "word_topic": "SELECT * FROM ntw",
