@@ -11,7 +11,7 @@ from topicloom.llm import chat, embed_dedup, html_extract, langid, media, minhas
 from topicloom.llm.bpe import Encoder
 from topicloom.llm.dom import Page
 from topicloom.llm.graph import connected_components
-from topicloom.llm.shingles import aligned, label
+from topicloom.llm.shingles import Centre
 
 DOCS = "doc_id long, text string, lang string, source string, component_id long, size string"
 
@@ -288,18 +288,62 @@ def test_order_minhash(spark, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in minhash.deduplicate(odd).select("doc_id").collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, 0)]
 
 
-def test_alignment_against_dynamic_programming():
+def in_order(a, b):
+    """Words of the longest common order, by dynamic programming."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_alignment_against_dynamic_programming(monkeypatch, block):
+    monkeypatch.setattr("topicloom.llm.shingles.BLOCK", block)
     rng = np.random.default_rng(4)
-    for _ in range(50):
-        a = label(rng.integers(0, 30, 40).astype(np.uint64))
-        b = a.copy()[np.sort(rng.choice(40, 37, replace=False))]
-        t = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        m = t[-1, -1]
-        want = m / (len(a) + len(b) - m)
-        assert aligned(a, b, 0.5) == pytest.approx(want if want >= 0.5 else 0)
+    for _ in range(80):
+        a = rng.integers(0, 9, rng.integers(1, 70)).astype(np.uint64)
+        b = np.insert(np.delete(a, rng.integers(0, len(a), len(a) // 10)), 0, rng.integers(0, 9, 2).astype(np.uint64))
+        for least in (0.5, 0.8):
+            m = in_order(a.tolist(), b.tolist())
+            want = m / (len(a) + len(b) - m)
+            assert Centre(a).similarity(b, least) == pytest.approx(want if want >= least - 1e-12 else 0)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Components equal those of all pairs, with scattered edits, shared passages and unrelated texts."""
+    rng = np.random.default_rng(6)
+    prose = lambda n: [f"w{min(int(rng.zipf(1.3)), 900)}" for _ in range(n)]
+    passage, texts = prose(60), []
+    for i in range(30):
+        base = prose(int(rng.integers(5, 220))) + (passage if i % 3 == 0 else [])
+        texts.append(base)
+        for _ in range(int(rng.integers(0, 4))):
+            w = list(base)
+            for j in rng.choice(len(w), len(w) // 25, replace=False):
+                w[j] = f"x{rng.integers(999)}"
+            texts.append(w if rng.integers(2) else w[: len(w) * 24 // 25 + 1])
+    want = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            m = in_order(a, texts[j])
+            if m >= 0.8 * (len(a) + len(texts[j]) - m):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    df = documents(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert len(set(want)) < len(texts) - 20 and [got[i] for i in range(len(texts))] == want
+
+
+def test_of_rows_with_one_id_and_text_the_first_stays(spark):
+    rows = [(1, "a b c d e f", "en", "z"), (1, "a b c d e f", "en", "a"), (1, None, "en", "b"), (2, "other words", None, None)]
+    for n in (1, 3):
+        left = minhash.deduplicate(documents(spark, rows).repartition(n)).collect()
+        assert sorted((r.doc_id, r.source or "") for r in left) == [(1, "a"), (1, "b"), (2, "")]
+    with pytest.raises(TypeError, match="integer"):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_components(spark):

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when a counted number of its rows stays below this.
 BROADCAST_ROWS = 20_000
 
+#: Tasks that the rows of one hot key are dealt to.
+SALTS = 4
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of an Arrow batch that goes to Python, where the session sets no limit of its own.
@@ -138,6 +141,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """Inner join on ``key`` of which a value may hold a large part of ``many``.
+
+    The rows of a value are dealt to ``salts`` tasks by the hash of their column
+    ``spread``; each row of ``one`` goes to all of them.
+    """
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copied = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

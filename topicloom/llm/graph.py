@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import cut
+from topicloom.llm.common import cut, salted_join
 
 MAX_ROUNDS = 64
 
@@ -17,16 +17,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest label among its neighbours' and its own, and then its label's label, so
     rounds grow with the logarithm of the diameter.  Each round is checkpointed and
     the loop ends when no label changes.  Self loops and repeated edges do no harm.
+    A hub's edges and the nodes of one label are spread over tasks in the joins; the
+    minima are combined before they are shuffled.
     """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut(both.distinct())
     labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
     labels = cut(labels.select("node", F.least("node", "m").alias("label")))
     for _ in range(MAX_ROUNDS):
-        heard = both.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("m"))
+        heard = salted_join(both, labels.withColumnRenamed("node", "src"), "src", "dst").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("m"))
         near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        to = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = cut(near.join(to, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
+        # A label is a node; only nodes that are some node's label are asked for theirs.
+        to = near.join(near.select(F.col("label").alias("node")).distinct(), "node").select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = cut(salted_join(near, to, "label", "node").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
         if labels.filter("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.select("node", "label")

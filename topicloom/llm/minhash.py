@@ -1,18 +1,25 @@
 """Near-duplicate texts by order min-hash and banded alignment.
 
-A text is its sequence of five-word shingles, each labelled by its occurrence.  A
-sketch takes the two labelled shingles with the smallest hashes and keeps them in
-text order, so it is sensitive to edits and to order; sixteen sketches are sixteen
-chances to meet.  At a similarity of 0.8 a sketch agrees with probability above 0.6,
-so a pair fails to meet with probability below 1e-6.  Candidates are verified by
-banded alignment of their shingle sequences: matches / (|a| + |b| - matches).
+Sketches are taken on a text's five-word shingles, each labelled by its occurrence: a
+sketch takes the two labelled shingles with the smallest hashes and keeps them in text
+order, so it is sensitive to edits and to order; sixteen sketches are sixteen chances
+to meet.  Candidates are verified by banded alignment of their words: with m the words
+of the longest common order, m / (|a| + |b| - m) must reach the similarity, 0.8.
+
+A pair with a similarity of 0.8 or more in five-word shingles has a higher one in
+words, so it links; it fails to meet with probability below 1e-6.  Texts with scattered
+edits keep fewer shingles than words: a pair that shares half of its shingles
+fails to meet with probability about 0.01, one that shares a third with 0.15.
 
 Texts with equal words are collapsed first and only one of each class goes on.  The
 members of a bucket (one sketch value) are then verified against the bucket's most
 connected text: one pair each, not all pairs, which joins dense groups.  Where a
 bucket still spans several components, all its pairs between different components
-are looked at in tiles: by length and by shingle counts in ``BINS`` bins (a bound
-that loses nothing), then by the shingles they share, then by alignment.
+are looked at in tiles: by length and by word counts in ``BINS`` bins (a bound that
+loses nothing), then by the words they share, then by alignment.
+
+Texts that met others are laid out once as hashes of their words, by id; every later
+step reads that table, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -23,17 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from topicloom.llm.common import bounded_batches, cut, lean, passing_checkpoints, small
+from topicloom.llm.common import bounded_batches, cut, lean, passing_checkpoints, salted_join
 from topicloom.llm.graph import connected_components
 from topicloom.llm.langid import _texts
-from topicloom.llm.shingles import SKETCHES, Sketched, label, shingle, word_hashes
+from topicloom.llm.shingles import FULL, SKETCHES, Centre, Sketched, label, needed, word_hashes
 
 SIMILARITY = 0.8
 TILE = 512
 STAR = 256
-#: Ids, 8 bytes each, that are broadcast at most to keep other texts in place.
-ID_SET = 300_000
 CHUNK = 1 << 19
 
 
@@ -58,13 +64,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _possible(na: np.ndarray, nb: np.ndarray, ba: np.ndarray, bb: np.ndarray, least: float) -> np.ndarray:
     """Whether counts allow ``least``: matches cannot exceed the sum of smaller bin counts."""
-    need = np.ceil(least * (na + nb) / (1 + least) - 1e-9)
-    full = (ba == 255).any(1) | (bb == 255).any(1)
+    need = needed(na, nb, least)
+    full = (ba == FULL).any(1) | (bb == FULL).any(1)
     return (need <= np.minimum(na, nb)) & (full | (np.minimum(ba, bb).sum(1, dtype=np.int64) >= need))
 
 
 def _bins(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def prune(pairs: DataFrame, stats: DataFrame, least: float) -> DataFrame:
@@ -82,50 +88,53 @@ def prune(pairs: DataFrame, stats: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "hub").join(two, "rep").select("hub", "rep", "na", "nb", "ba", "bb").mapInArrow(lean(run), "hub long, rep long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (distinct).
+def word_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, words``: packed 64-bit hashes of the words of the texts named by ``ids``; cut."""
 
-    A counted set of few ids goes to the documents, so that other texts never move;
-    a larger one is joined like any table.
-    """
-    ids = cut(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= ID_SET else ids, "id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, start = _texts(b.column(1))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(start, start[lo] + CHUNK, side="right")) - 1)
+                words, before = word_hashes(data[start[lo] : start[hi]], start[lo : hi + 1] - start[lo])
+                own = [words[before[i] : before[i + 1]].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(own, pa.binary())], ["id", "words"])
+                lo = hi
+
+    asked = docs.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    return cut(asked.select("id", "text").mapInArrow(lean(run), "id long, words binary").dropDuplicates())
 
 
-def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Pairs ``hub, rep`` -> those whose alignment reaches ``least``, as ``src, dst``.
 
     A hub's members are dealt to groups of about ``STAR``, each with its own row of
-    the hub's text; a group streams through one task, which holds the hub's shingles.
+    the hub's words; a group streams through one task, which holds the hub's words.
     """
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("hub").alias("id"))
-    members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"), F.col("rep").alias("id"))
-    asked = hubs.unionByName(members)
-    rows = asked.join(texts_of(asked.select("id").distinct(), docs), "id")
+    members = salted_join(pairs, sizes, "hub", "rep").select("hub", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"), F.col("rep").alias("id"))
+    rows = hubs.unionByName(members).join(words, "id")
     rows = rows.withColumn("member", F.col("id") != F.col("hub")).repartition("hub", "group").sortWithinPartitions("hub", "group", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from topicloom.llm.shingles import aligned
-
-        key, centre = None, None
+        key, centres = None, []
         for b in batches:
             out: list[tuple[int, int]] = []
             hub, group, ids = (b.column(c).to_pylist() for c in ("hub", "group", "id"))
-            data, start = _texts(b.column("text"))
-            for i in range(b.num_rows):
-                own = data[start[i] : start[i + 1]]
-                seq = label(shingle(word_hashes(own, np.array([0, len(own)]))[0]))
+            for i, packed in enumerate(b.column("words").to_pylist()):
+                own = np.frombuffer(packed, np.uint64)
                 if ids[i] == hub[i]:
                     if key != (hub[i], group[i]):
-                        key, centre = (hub[i], group[i]), []
-                    centre.append(seq)
-                elif key == (hub[i], group[i]) and any(aligned(c, seq, least) for c in centre):
+                        key, centres = (hub[i], group[i]), []
+                    centres.append(Centre(own))
+                elif key == (hub[i], group[i]) and any(c.similarity(own, least) for c in centres):
                     out.append((hub[i], ids[i]))
             cols = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["src", "dst"])
 
-    return rows.select("hub", "group", "id", "text").mapInArrow(lean(run), "src long, dst long").distinct()
+    return rows.select("hub", "group", "id", "words").mapInArrow(lean(run), "src long, dst long").distinct()
 
 
 def _tiled(rows: DataFrame, block, schema: str, *cols: str) -> DataFrame:
@@ -153,7 +162,7 @@ def _tiled(rows: DataFrame, block, schema: str, *cols: str) -> DataFrame:
 
 def _meets(side: np.ndarray, lab: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     """Which rows of a tile may pair: other labels, the right sides, near enough lengths."""
-    need = np.ceil(least * (n[:, None] + n[None, :]) / (1 + least) - 1e-9)
+    need = needed(n[:, None], n[None, :], least)
     ok = (lab[:, None] != lab[None, :]) & (need <= np.minimum(n[:, None], n[None, :]))
     return ok & (side[:, None] != side[None, :]) if (side != 2).any() else ok
 
@@ -175,15 +184,15 @@ def shared(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cross(buckets: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _cross(buckets: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket's members with different labels that may link: ``hub, rep``.
 
     Counts in bins first find the members of each tile that have a possible partner
-    at all; only for these the shingles themselves are compared, in blocks, and pairs
-    that share enough of them are left for alignment.
+    at all; only for these the words themselves are compared, in blocks, and pairs that
+    share enough of them, each as often as in both, are left for alignment.
     """
     tiles = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    x = buckets.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    x = salted_join(buckets, tiles, "key", "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     x = x.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
     x = x.withColumn("side", F.when(F.col("a") == F.col("b"), 2).when(F.col("own") == F.col("a"), 0).otherwise(1))
@@ -191,7 +200,7 @@ def _cross(buckets: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     def partners(t: pa.Table) -> Iterator[pa.RecordBatch]:
         lab, n, side = (t.column(c).to_numpy() for c in ("label", "n", "side"))
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(t), -1)
+        bins = _bins(t.column("bins"))
         may, some = _meets(side, lab, n, least), np.zeros(len(t), bool)
         for i in range(len(t)):
             j = np.flatnonzero(may[i] & ~some) if some[i] else np.flatnonzero(may[i])
@@ -204,32 +213,22 @@ def _cross(buckets: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         rep, lab, n, side = (t.column(c).to_numpy() for c in ("rep", "label", "n", "side"))
-        count = shared([np.unique(np.frombuffer(v, np.uint32)) for v in t.column("shingles").to_pylist()])
-        need = np.ceil(least * (n[:, None] + n[None, :]) / (1 + least) - 1e-9)
-        # Shingles that fall on one 32-bit value count once there: they may all match.
-        lost = n - np.array([len(np.unique(np.frombuffer(v, np.uint32))) for v in t.column("shingles").to_pylist()])
-        i, j = np.nonzero(np.triu(_meets(side, lab, n, least) & (count + np.minimum(lost[:, None], lost[None, :]) >= need), 1))
+        lists = [np.unique((label(np.frombuffer(v, np.uint64)) >> np.uint64(32)).astype(np.uint32)) for v in t.column("words").to_pylist()]
+        # Labelled words that fall on one 32-bit value count once there: they may all match.
+        lost = n - np.array([len(x) for x in lists])
+        need = needed(n[:, None], n[None, :], least)
+        i, j = np.nonzero(np.triu(_meets(side, lab, n, least) & (shared(lists) + np.minimum(lost[:, None], lost[None, :]) >= need), 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["hub", "rep"])
 
     active = cut(_tiled(x, partners, "key long, a int, b int, side int, rep long, label long, n long", "bins"))
-    lists = shingle_lists(texts_of(active.select(F.col("rep").alias("id")).distinct(), docs))
-    return _tiled(active.join(lists, ["rep", "n"]), pairs, "hub long, rep long", "shingles").distinct()
-
+    # An id that names several texts has each of them here; n tells which is meant.
+    listed = words.select(F.col("id").alias("rep"), "words", (F.octet_length("words") / 8).cast("long").alias("n"))
+    return _tiled(active.join(listed, ["rep", "n"]), pairs, "hub long, rep long", "words").distinct()
 
-def shingle_lists(docs: DataFrame) -> DataFrame:
-    """``id, text`` -> ``rep, n, shingles``: labelled shingles as packed 32-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, start = _texts(b.column(1))
-            got = []
-            for i in range(b.num_rows):
-                own = data[start[i] : start[i + 1]]
-                got.append(label(shingle(word_hashes(own, np.array([0, len(own)]))[0])))
-            packed = pa.array([(g >> np.uint64(32)).astype(np.uint32).tobytes() for g in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int64()), packed], ["rep", "n", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(lean(run), "rep long, n long, shingles binary")
+def _whole_ids(docs: DataFrame, id_col: str) -> None:
+    if not isinstance(kind := docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
@@ -240,8 +239,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
     one shingle and link only with texts of equal words.  Null and empty texts, texts
     of white space and rows with a null id link with nothing.  Repeated rows share a
     component; rows that give one id to several texts join their components.  Other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows; ids that are no integers are
+    an error.
     """
+    _whole_ids(docs, id_col)
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     seen = cut(sketches(usable))
@@ -250,20 +251,20 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
     stats = classes.select("rep", "n", "bins")
     values = classes.select("rep", F.posexplode("keys").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("key"))
     sizes = values.groupBy("key").agg(F.count("*").alias("size"))
-    buckets = cut(values.join(sizes.filter("size > 1"), "key"))
+    buckets = cut(salted_join(values, sizes.filter("size > 1"), "key", "rep"))
     degree = buckets.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
     ranked = buckets.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("r")).alias("rank"))
     centre = ranked.groupBy("key").agg((-F.max("rank")["r"]).alias("hub"))
-    starred = cut(buckets.join(centre, "key").select("key", "rep", "hub"))
-    pairs = prune(starred.filter("rep <> hub").select("hub", "rep").distinct(), stats, least)
-    texts = rows.filter(F.col("id").isNotNull())
-    links = cut(verify(cut(pairs), texts, least))
+    starred = cut(salted_join(buckets, centre, "key", "rep").select("key", "rep", "hub"))
+    pairs = cut(prune(starred.filter("rep <> hub").select("hub", "rep").distinct(), stats, least))
+    words = word_table(starred.select(F.col("rep").alias("id")).distinct(), usable)
+    links = cut(verify(pairs, words, least))
     labels = connected_components(links).select(F.col("node").alias("rep"), "component")
     marked = starred.join(labels, "rep", "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("label"))
     rest = marked.filter("rep <> hub")
     open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    crossing = _cross(rest.join(open_, "key").join(stats, "rep"), texts, least)
-    more = cut(verify(cut(crossing), texts, least))
+    crossing = _cross(salted_join(rest, open_, "key", "rep").join(stats, "rep"), words, least)
+    more = cut(verify(cut(crossing), words, least))
     comps = connected_components(links.unionByName(more))
     members = seen.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(comps, F.col("rep") == F.col("node"), "left")
     members = members.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -275,8 +276,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", least: fl
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` with one document of each group left, all columns as they were.
 
-    Of rows that repeat an id with an equal text one stays; rows with a null id, which
-    are in no group, all stay, as do null and empty texts.
+    Of rows that repeat an id with an equal text one stays, the first by its columns
+    written as JSON; rows with a null id, which are in no group, all stay, as do null
+    and empty texts.
     """
     with passing_checkpoints(docs.sparkSession):
         found = near_duplicates(docs, id_col, text_col, least)
@@ -285,9 +287,10 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float
     left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     ids = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice")).agg(F.count("*").alias("n"))
     twice = cut(ids.filter("n > 1").select("__twice"))
-    n = twice.count()
-    if not n:
+    if twice.isEmpty():
         return left
     on = F.col(id_col) == F.col("__twice")
-    again = left.join(small(twice, n), on, "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(small(twice, n), on, "left_anti").unionByName(again)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.join(twice, on, "left_semi").select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), whole.alias("row"))
+    first = again.groupBy("__id", "__text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return left.join(twice, on, "left_anti").unionByName(first)

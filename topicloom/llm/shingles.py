@@ -1,16 +1,16 @@
-"""Word shingles and order min-hash sketches of many texts at once."""
+"""Order min-hash sketches of many texts at once, and banded alignment of their words."""
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import xxhash
 
 WIDTH = 5
 #: Sketches per text and minima per sketch.
 SKETCHES, MINIMA = 16, 2
-BINS = 128
+BINS, FULL = 128, 0xFFFF
+#: Places of a sequence whose bits are held together.
+BLOCK = 4096
 _U = np.uint64
 _MAX = np.iinfo(np.uint64).max
 
@@ -85,33 +85,38 @@ def label(sh: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix(sh + nth * _POWER), sh)
 
 
+def bin_counts(words: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Counts of words by text in ``BINS`` bins of their hashes."""
+    cell = text * BINS + (words >> _U(57)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=texts * BINS), FULL).astype(np.uint16).reshape(-1, BINS)
+
+
 class Sketched:
-    """Of texts with words: ``own`` (their indexes), digest, n, keys (SKETCHES), bins."""
+    """Of texts with words: ``own`` (their indexes), digest, n (words), keys (SKETCHES), bins."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray):
         words, before = word_hashes(data, start)
         self.own = np.flatnonzero(np.diff(before))
+        self.n = np.diff(before)[self.own]
         self.digest, parts = [], []
         for i in self.own:
             w = words[before[i] : before[i + 1]]
             self.digest.append(xxhash.xxh3_128_digest(w.tobytes()))
             parts.append(label(shingle(w)))
-        self.n = np.array([len(p) for p in parts], np.int64)
         self.keys = np.zeros((len(parts), SKETCHES), np.int64)
         self.bins: list[bytes] = []
         if not parts:
             return
+        self.bins = [b.tobytes() for b in bin_counts(words, np.repeat(np.arange(len(parts)), self.n), len(parts))]
         lab = np.concatenate(parts)
-        first = np.cumsum(self.n) - self.n
-        cell = np.repeat(np.arange(len(parts)) * BINS, self.n) + (lab >> _U(57)).astype(np.int64)
-        bins = np.minimum(np.bincount(cell, minlength=len(parts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-        self.bins = [b.tobytes() for b in bins]
+        size = np.array([len(p) for p in parts])
+        first = np.cumsum(size) - size
         for k in range(SKETCHES):
             v = mix(lab ^ _SEEDS[k])
             mins, at = [], []
             for _ in range(MINIMA):
                 m = np.minimum.reduceat(v, first)
-                hit = np.flatnonzero(v == np.repeat(m, self.n))
+                hit = np.flatnonzero(v == np.repeat(m, size))
                 p = hit[np.searchsorted(hit, first)]
                 v[p] = _MAX
                 mins.append(m)
@@ -124,37 +129,52 @@ class Sketched:
             self.keys[:, k] = key.view(np.int64)
 
 
-def needed(na: int, nb: int, least: float) -> int:
+def needed(na, nb, least: float):
     """Matches that a similarity of ``least`` takes."""
-    return int(np.ceil(least * (na + nb) / (1 + least) - 1e-9))
-
-
-def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Similarity of two labelled shingle sequences: m / (|a| + |b| - m), 0 if below ``least``.
-
-    m is the longest alignment that keeps both orders.  Labels make the shingles of a
-    sequence distinct, so it is a longest increasing run of positions.  An alignment
-    of ``need`` matches leaves at most |a| - need and |b| - need shingles without
-    one, which bounds how far from the diagonal matches can lie: others are skipped.
-    """
-    na, nb = len(a), len(b)
-    need = needed(na, nb, least)
-    if need > min(na, nb) or not need:
-        return 0.0
-    order = np.argsort(a)
-    at = np.minimum(np.searchsorted(a[order], b), na - 1)
-    i = order[at]
-    j = np.flatnonzero(a[i] == b)
-    i = i[j]
-    band = (i - j <= na - need) & (j - i <= nb - need)
-    run = i[band].tolist()
-    if len(run) < need:
-        return 0.0
-    tails: list[int] = []
-    for p in run:
-        if not tails or p > tails[-1]:
-            tails.append(p)
-        else:
-            tails[bisect.bisect_left(tails, p)] = p
-    m = len(tails)
-    return m / (na + nb - m) if m >= need else 0.0
+    return np.ceil(least * (na + nb) / (1 + least) - 1e-9).astype(np.int64)
+
+
+class Centre:
+    """A sequence of words that others are aligned with: where each word stands, as bits, by block."""
+
+    def __init__(self, words: np.ndarray):
+        self.n = len(words)
+        self.blocks: list[dict[int, int]] = []
+        for lo in range(0, self.n, BLOCK):
+            at: dict[int, int] = {}
+            for i, w in enumerate(words[lo : lo + BLOCK].tolist()):
+                at[w] = at.get(w, 0) | 1 << i
+            self.blocks.append(at)
+
+    def similarity(self, other: np.ndarray, least: float) -> float:
+        """m / (|a| + |b| - m), 0 if below ``least``; m: words of the longest alignment in order.
+
+        An alignment of ``need`` matches leaves at most |a| - need and |b| - need words
+        without one, which bounds how far from the diagonal a match can lie: only this
+        band is looked at.  The alignment is a bit vector over the band's places in a:
+        a zero is a place where the longest alignment so far grows by one.
+        """
+        na, nb = self.n, len(other)
+        need = int(needed(np.int64(na), np.int64(nb), least))
+        if need > min(na, nb) or not need:
+            return 0.0
+        back, width = nb - need, na + nb - 2 * need + 1
+        full, top = (1 << width) - 1, 1 << (width - 1)
+        v, m, lo = full, 0, -back
+        for w in other.tolist():
+            at = 0
+            for k in range(max(0, lo) // BLOCK, min(na - 1, lo + width - 1) // BLOCK + 1):
+                bits = self.blocks[k].get(w)
+                if bits:
+                    shift = k * BLOCK - lo
+                    at |= bits << shift if shift >= 0 else bits >> -shift
+            u = v & at & full
+            if u:
+                v = ((v + u) | (v - u)) & full
+            m += not v & 1
+            v = v >> 1 | top
+            lo += 1
+            if lo - m > na - need:  # too many places left behind without a match
+                return 0.0
+        m += width - v.bit_count()
+        return m / (na + nb - m) if m >= need else 0.0
