@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from topicloom.llm import chat, embed_dedup, html_extract, langid, media, minhash, mixing, packing, sharding, url_filter
 from topicloom.llm.common import cut, table
+from topicloom.llm.oracles import ORACLES as ORACLES
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.published_list(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return url_filter.judge(pages, url_filter.published_list(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,21 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7: what SQL can say of it."""
+    return op7_media_sniffing(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8: what SQL can say of it."""
+    return op8_virtual_slots(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9: what SQL can say of it."""
+    return op9_entropy_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +91,8 @@ QUERIES = {
         op8_virtual_slots,
         op9_entropy_mixing,
         op10_order_minhash,
+        media_payloads,
+        shard_sizes,
+        mixing_targets,
     )
 }
-ORACLES: dict[str, str] = {}
