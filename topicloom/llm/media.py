@@ -3,6 +3,11 @@
 An Aho-Corasick automaton finds all magic bytes of a value in one pass; a validator
 of the format then confirms each hit by its structure and gives its length.  The hit
 at offset 0 is the value's true type; confirmed hits elsewhere are embedded media.
+
+Texts become media to try this on: each is padded and stored, losslessly, as the
+samples of a WAV or the pixels of a PNG or BMP; WAV and PNG carry a small picture of it
+inside.  Some are declared as what they are, others as text.  What is read back rests on
+what the signatures say, never on the declaration.
 """
 
 from __future__ import annotations
@@ -12,13 +17,17 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import bounded_batches
+
 UNIT = 64
 RATE = 8000
-WAV_HEAD = 44
+WIDTH = 64
+THUMB = 8
 PLAIN = "application/octet-stream"
 SNIFFED = "media_type string, media_length long, corrected boolean, embedded array<struct<media_type:string,start:long,length:long>>"
 
@@ -197,8 +206,11 @@ def sniff(media: DataFrame, value_col="media", declared_col="declared") -> DataF
 
     ``corrected``: the declared type (null counts as unknown) is not the true one.
     Null values give type null, length 0; empty ones are octet streams; repeated rows
-    stay repeated.  The four new names must not be columns of ``media``.
+    stay repeated.  If ``media`` has a column of one of the four new names, that is an error.
     """
+    new = {"media_type", "media_length", "corrected", "embedded"}
+    if clash := sorted(new.intersection(c.lower() for c in media.columns)):
+        raise ValueError(f"columns {clash} are there already")
     names = [*media.columns, "media_type", "media_length", "corrected", "embedded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +226,7 @@ def sniff(media: DataFrame, value_col="media", declared_col="declared") -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(wrong, pa.bool_()), pa.array(inner, kind)], names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema), SNIFFED])
-    return media.mapInArrow(run, schema)
+    return bounded_batches(media).mapInArrow(run, schema)
 
 
 def carve(sniffed: DataFrame, value_col="media", keep=()) -> DataFrame:
@@ -229,28 +241,73 @@ def pad(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % UNIT if raw else UNIT)
 
 
-def to_wav(payload: bytes) -> bytes:
-    """Payload as unsigned 8-bit mono samples."""
-    size = len(payload)
-    return (
-        b"RIFF" + struct.pack("<I", 36 + size + size % 2) + b"WAVEfmt "
-        + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", size) + payload + bytes(size % 2)
-    )
+def png(pixels: bytes, width: int, extra: bytes = b"") -> bytes:
+    """8-bit grey levels as PNG; ``extra`` goes into a private chunk."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = np.zeros((len(pixels) // width, width + 1), np.uint8)  # each row after its filter, none
+    rows[:, 1:] = np.frombuffer(pixels, np.uint8).reshape(-1, width)
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    inner = chunk(b"thMb", extra) if extra else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + inner + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def bmp(pixels: bytes, width: int) -> bytes:
+    """8-bit grey levels as BMP, rows from the top; ``width`` is a multiple of 4."""
+    start = 54 + 1024
+    head = b"BM" + struct.pack("<IIIIiiHHIIiiII", start + len(pixels), 0, start, 40, width, -(len(pixels) // width), 1, 8, 0, len(pixels), 0, 0, 256, 256)
+    return head + bytes(x for level in range(256) for x in (level, level, level, 0)) + pixels
+
+
+def wav(samples: bytes, extra: bytes = b"") -> bytes:
+    """Unsigned 8-bit mono samples as WAV; ``extra`` goes into a chunk of its own."""
+    chunk = lambda kind, body: kind + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
+    body = b"WAVE" + chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, RATE, RATE, 1, 8)) + (chunk(b"pict", extra) if extra else b"") + chunk(b"data", samples)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def from_wav(value: bytes) -> bytes:
-    """Samples of a file that ``wav_length`` has confirmed."""
-    pos = 12
-    while value[pos : pos + 4] != b"data":
-        pos += 8 + struct.unpack_from("<I", value, pos + 4)[0]
-        pos += pos % 2
-    return value[pos + 8 : pos + 8 + struct.unpack_from("<I", value, pos + 4)[0]]
+def thumbnail(payload: bytes) -> bytes:
+    """Mean levels of ``THUMB`` squared equal stretches."""
+    return np.frombuffer(payload, np.uint8).reshape(THUMB * THUMB, -1).mean(1).astype(np.uint8).tobytes()
+
+
+def store(raw: bytes) -> tuple[str, bytes]:
+    """Declared type and stored form of a text's bytes; its checksum chooses both."""
+    payload, pick = pad(raw), zlib.crc32(raw)
+    small = thumbnail(payload)
+    kind, value = (("audio/wav", wav(payload, png(small, THUMB))), ("image/png", png(payload, WIDTH, bmp(small, THUMB))), ("image/bmp", bmp(payload, WIDTH)))[pick % 3]
+    return kind if pick >> 16 & 1 else "text/plain", value
+
+
+def payload_of(kind: str, value: bytes) -> bytes:
+    """Samples or pixels of a stored medium that its validator has confirmed."""
+    if kind == "image/bmp":
+        return value[struct.unpack_from("<I", value, 10)[0] :]
+    if kind == "audio/wav":
+        pos = 12
+        while value[pos : pos + 4] != b"data":
+            pos += 8 + struct.unpack_from("<I", value, pos + 4)[0]
+            pos += pos % 2
+        return value[pos + 8 : pos + 8 + struct.unpack_from("<I", value, pos + 4)[0]]
+    if kind != "image/png":
+        raise ValueError(f"not a stored medium: {kind}")
+    pos, parts, width = 8, [], struct.unpack_from(">I", value, 16)[0]
+    while pos < len(value):
+        size = struct.unpack_from(">I", value, pos)[0]
+        if value[pos + 4 : pos + 8] == b"IDAT":
+            parts.append(value[pos + 8 : pos + 8 + size])
+        pos += 12 + size
+    return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(-1, width + 1)[:, 1:].tobytes()
 
 
 def store_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Texts as media: ``doc_id, n_bytes, declared, media``.  Null text is empty.
+    """Texts as media: ``doc_id, n_bytes, declared, media``.
 
-    The type is declared as unknown, as uploads without a name are.
+    Null text is empty; equal texts give equal media; repeated rows stay repeated, a
+    null id stays null; an empty table gives no rows; other columns are not read.
+    A text is limited to the 2 GB of a value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,38 +315,45 @@ def store_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 raw = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column(1)]
+                made = [store(r) for r in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([PLAIN] * len(raw)), pa.array([to_wav(pad(r)) for r in raw], pa.binary())],
+                    [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([d for d, _ in made], pa.string()), pa.array([v for _, v in made], pa.binary())],
                     ["doc_id", "n_bytes", "declared", "media"],
                 )
 
-    x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    x = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, n_bytes long, declared string, media binary")
 
 
-def digest(sniffed: DataFrame) -> DataFrame:
-    """Digest columns of sniffed media, from the stored bytes as read back."""
+def feature_of(value: bytes, declared: str | None) -> tuple[str, str]:
+    """True type of a medium, and a line of it: ``!`` where the declaration was wrong, and what is carved out of it."""
+    kind, _, inner = sniff_bytes(value)
+    carved = "".join(f"+{k}@{start}:{n}#{zlib.crc32(value[start : start + n]):08x}" for k, start, n in inner)
+    return kind, f"{kind}{'' if declared == kind else '!'}{carved}"
+
+
+def digest(stored: DataFrame) -> DataFrame:
+    """Digest columns of stored texts, read back from the stored bytes by their true type.
+
+    ``feature``: the true type, whether it corrects the declared one, and type, place,
+    length and checksum of every medium carved out of the stored one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for v, kind, length in zip(b.column("media"), b.column("media_type"), b.column("media_length"), strict=True):
-                stored = v.as_buffer().to_pybytes()
-                if kind.as_py() != "audio/wav" or length.as_py() != len(stored):
-                    raise ValueError("a stored medium was not recognised")
-                back = from_wav(stored)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest()))
-            cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            found = [
-                f"{k}{'!' if c else ''}+" + ",".join(f"{e['media_type']}@{e['start']}:{e['length']}" for e in inner)
-                for k, c, inner in zip(b.column("media_type").to_pylist(), b.column("corrected").to_pylist(), b.column("embedded").to_pylist(), strict=True)
-            ]
+            for v, said in zip(b.column("media"), b.column("declared").to_pylist(), strict=True):
+                value = v.as_buffer().to_pybytes()
+                kind, feature = feature_of(value, said)
+                back = payload_of(kind, value)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(value), hashlib.sha256(value).hexdigest(), feature))
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array(found, pa.string())],
+                [b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]],
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    kind = sniffed.schema["doc_id"].dataType.simpleString()
+    kind = stored.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return sniffed.mapInArrow(run, out)
+    return stored.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, out)

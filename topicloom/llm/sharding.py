@@ -2,14 +2,15 @@
 
 A record's key is hashed into one of a fixed number of slots.  Bytes and rows are
 summed by slot, and a map from slot to shard, not the records, is what balancing
-decides and edits: the first version packs the slots by bytes, longest first; a
-rebalance moves as few slots as even loads need and is stored as the next version.
-The map has one row per slot, a constant, however large the data.
+decides and edits.  Version 1 is there before any data: slots in turn.  Once bytes are
+summed, a rebalance moves as few slots as even loads need, and the edited map is
+stored as the next version.  The map has one row per slot, a constant, however large
+the data.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from topicloom.llm.common import scratch_path
 
 SLOTS = 8192
 SHARDS = 24
+#: How far apart loads may be, as a share of their mean.
+TOLERANCE = 0.0005
 MAP_SCHEMA = "slot int, shard int"
 
 
@@ -26,54 +29,70 @@ def slot_of(id_col: Column, content: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("slot"), id_col, content), F.lit(slots)).cast("int")
 
 
-def first_map(load: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Longest processing time: slots by falling load, each to the least loaded shard."""
-    heap = [(0, 0, s) for s in range(shards)]
-    out = {}
-    for slot in sorted(range(slots), key=lambda s: (-load.get(s, 0), s)):
-        total, n, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (total + load.get(slot, 0), n + 1, shard))
-    return out
+def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """The map before any load is known: slots in turn."""
+    return {slot: slot % shards for slot in range(slots)}
 
 
-def rebalance(current: dict[int, int], load: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
+def rebalance(current: dict[int, int], load: dict[int, int], shards: int, tolerance: float = TOLERANCE) -> dict[int, int]:
     """Edit ``current`` for new loads or another number of shards; few slots move.
 
-    Slots of shards that no longer exist move first.  Then the slot that best fits
-    moves from the fullest shard to the emptiest, until both are within
-    ``tolerance`` of the mean or no single move narrows the gap.
+    Slots of shards that no longer exist move first.  Then the slot that best halves
+    the gap moves from the fullest shard to the emptiest.  If none narrows the gap, the
+    pair of slots whose exchange does best is exchanged.  It ends when all are within
+    ``tolerance`` of the mean; a shard that neither narrows keeps its load and the
+    next fullest is looked at.
     """
     out = dict(current)
-    have: dict[int, list[int]] = {s: [] for s in range(shards)}
+    have: dict[int, set[int]] = {s: set() for s in range(shards)}
     total = dict.fromkeys(range(shards), 0)
     loose = []
     for slot, shard in current.items():
         if shard in have:
-            have[shard].append(slot)
+            have[shard].add(slot)
             total[shard] += load.get(slot, 0)
         else:
             loose.append(slot)
+
+    def move(slot: int, to: int):
+        if out[slot] in have and slot in have[out[slot]]:
+            have[out[slot]].remove(slot)
+            total[out[slot]] -= load.get(slot, 0)
+        out[slot] = to
+        have[to].add(slot)
+        total[to] += load.get(slot, 0)
+
     for slot in sorted(loose, key=lambda s: (-load.get(s, 0), s)):
-        shard = min(total, key=lambda s: (total[s], s))
-        out[slot] = shard
-        have[shard].append(slot)
-        total[shard] += load.get(slot, 0)
-    mean = sum(total.values()) / shards
-    for _ in range(len(current)):
-        high, low = max(total, key=lambda s: (total[s], s)), min(total, key=lambda s: (total[s], -s))
+        move(slot, min(total, key=lambda s: (total[s], s)))
+    mean, stuck = sum(total.values()) / shards, set()
+    for _ in range(4 * len(current)):
+        open_ = [s for s in total if s not in stuck]
+        if not open_:
+            break
+        high, low = max(open_, key=lambda s: (total[s], s)), min(total, key=lambda s: (total[s], -s))
         gap = total[high] - total[low]
         if gap <= tolerance * mean:
             break
         fit = [s for s in have[high] if 0 < load.get(s, 0) < gap]
-        if not fit:
-            break
-        slot = min(fit, key=lambda s: (abs(load[s] - gap / 2), s))
-        have[high].remove(slot)
-        have[low].append(slot)
-        total[high] -= load[slot]
-        total[low] += load[slot]
-        out[slot] = low
+        slot = min(fit, key=lambda s: (abs(load[s] - gap / 2), s), default=None)
+        if slot is not None and abs(load[slot] - gap / 2) <= gap / 4:
+            move(slot, low)
+            continue
+        # An exchange moves the difference of two loads.
+        down = sorted((load.get(s, 0), s) for s in have[low])
+        best = None
+        for s in sorted(have[high]):
+            at = bisect.bisect_left(down, (load.get(s, 0) - gap / 2, -1))
+            for w, t in down[max(0, at - 1) : at + 1]:
+                if 0 < load.get(s, 0) - w < gap:
+                    best = min(best or (gap, 0, 0), (abs(load[s] - w - gap / 2), s, t))
+        if slot is not None and (best is None or abs(load[slot] - gap / 2) <= best[0]):
+            move(slot, low)
+        elif best is not None:
+            move(best[1], low)
+            move(best[2], high)
+        else:
+            stuck.add(high)
     return out
 
 
@@ -95,7 +114,8 @@ def slot_stats(rows: DataFrame) -> dict[int, tuple[int, int]]:
 def shard_documents(docs: DataFrame, id_col="doc_id", text_col="text", shards: int = SHARDS, slots: int = SLOTS, map_root: str | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, vslot, map_version`` for every row.
 
-    Shards hold near equal bytes.  ``slot`` is the row's place in its shard, gapless
+    Shards hold near equal bytes: version 1 of the map, slots in turn, is edited for the
+    bytes found and the rows go by version 2.  ``slot`` is the row's place in its shard, gapless
     from 0: the rows of the shard's earlier virtual slots, then its rank in its own.
     Null text has size 8 and checksum 0, a null id hashes by its text, repeated rows
     take places of their own; an empty table gives no rows; other columns are not
@@ -111,8 +131,9 @@ def shard_documents(docs: DataFrame, id_col="doc_id", text_col="text", shards: i
     rows = rows.withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots))
     stats = slot_stats(rows)
     root = map_root or scratch_path(spark, "slot-map")
-    store_map(spark, root, 1, first_map({s: b for s, (b, _) in stats.items()}, shards, slots))
-    mapping = load_map(spark, root, 1)
+    store_map(spark, root, 1, first_map(shards, slots))
+    store_map(spark, root, 2, rebalance(load_map(spark, root, 1), {s: b for s, (b, _) in stats.items()}, shards))
+    mapping = load_map(spark, root, 2)
     base, at = [], dict.fromkeys(range(shards), 0)
     for s in range(slots):
         base.append((s, mapping[s], at[mapping[s]]))
@@ -131,6 +152,6 @@ def shard_documents(docs: DataFrame, id_col="doc_id", text_col="text", shards: i
             (F.col("base") + F.col("rank")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "vslot",
-            F.lit(1).alias("map_version"),
+            F.lit(2).alias("map_version"),
         )
     )
