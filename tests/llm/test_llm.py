@@ -223,20 +223,51 @@ def test_packing(spark, odd):
     assert packing.pack_documents(empty(odd)).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
-    rng = np.random.default_rng(0)
-    sizes = sorted(rng.integers(1, 101, 400).tolist(), reverse=True)
+def test_stack_match_takes_the_smallest_gap_that_fits():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        rows = sorted(((int(rng.integers(1, 12)), bool(rng.integers(2))) for _ in range(int(rng.integers(0, 40)))), key=lambda r: (-r[0], not r[1]))
+        got = packing.stack_match(np.array([g for _, g in rows], bool))
+        free, want = [], []
+        for i, (size, gap) in enumerate(rows):
+            want.append(-1 if gap or not free else free.pop())
+            if gap:
+                free.append(i)
+        assert got.tolist() == want and all(rows[j][0] >= rows[i][0] for i, j in enumerate(got) if j >= 0)
+        # Dealt to three ranges, what is matched inside and between them is as much.
+        at = sorted(rng.integers(0, len(rows) + 1, 2).tolist())
+        waiting, free, inside = [], [], 0
+        for lo, hi in zip([0, *at], [*at, len(rows)], strict=True):
+            gap = np.array([g for _, g in rows[lo:hi]], bool)
+            to = packing.stack_match(gap)
+            inside += (to >= 0).sum()
+            waiting.append(int((~gap & (to < 0)).sum()))
+            free.append(int(gap.sum() - (to >= 0).sum()))
+        segments, taken, left = packing.carry(waiting, free)
+        assert inside + sum(taken) == sum(w >= 0 for w in want) and sum(taken) == sum(free) - sum(left) == sum(hi - lo for _, lo, hi, _, _ in segments)
+
+
+def best_fit_decreasing(sizes, capacity):
     gaps: list[int] = []
-    for x in sizes:
+    for x in sorted(sizes, reverse=True):
         fit = [g for g in gaps if g >= x]
         if fit:
             gaps[gaps.index(min(fit))] -= x
         else:
-            gaps.append(100 - x)
-    counts = {k: sizes.count(k) for k in set(sizes)}
-    plan = packing.sweep(counts, 100)
-    assert max(f + n for v in plan.values() for _, n, f, _ in v) == len(gaps)
-    assert all(sum(n for _, n, _, _ in plan[k]) == c for k, c in counts.items())
+            gaps.append(capacity - x)
+    return len(gaps)
+
+
+def test_packing_against_best_fit_decreasing(spark):
+    rng = np.random.default_rng(0)
+    for sizes in (rng.integers(1, 101, 400), np.minimum(rng.geometric(0.15, 300), 100), np.full(40, 34)):
+        df = spark.createDataFrame([(i, 0, 0, int(x), 9) for i, x in enumerate(sizes)], packing.PIECES)
+        got = packing.pack(df.repartition(3), 100).toPandas().sort_values(["sequence_id", "offset"])
+        assert sorted(got.doc_id) == list(range(len(sizes))) and got.length.tolist() == [sizes[i] for i in got.doc_id]
+        assert ((got.groupby("sequence_id").length.cumsum() - got.length) == got.offset).all() and (got.groupby("sequence_id").length.sum() <= 100).all()
+        assert got.sequence_id.nunique() <= best_fit_decreasing(sizes.tolist(), 100) * 1.02 + 1
+    with pytest.raises(ValueError, match="do not fit"):
+        packing.pack(df, 33)
 
 
 def test_media(spark, odd):

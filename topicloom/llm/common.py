@@ -57,8 +57,7 @@ def passing_checkpoints(spark: SparkSession) -> Iterator[None]:
     finally:
         _passing.reset(token)
         for p in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, p)
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -79,10 +78,24 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
         conf.set(CLEANUP, before)
     done = planned.checkpoint(eager=True)
     if not keep and (paths := _passing.get()) is not None:
-        paths.append(done._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        paths.append(_file(done))
     return done
 
 
+def _file(done: DataFrame) -> str:
+    return done._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(done: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` returned; nothing that is read later may rest on it."""
+    _delete(done.sparkSession, _file(done))
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path under the shared folder for a table written between stages."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
