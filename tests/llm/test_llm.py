@@ -205,13 +205,20 @@ def test_published_list_is_canonical(spark):
     assert keys.count() == 24 and keys.filter(url_filter.canonical(F.concat(F.lit("http://www."), "key")) != F.col("key")).isEmpty()
 
 
-def test_tokens_equal_the_tokenizer():
-    enc = Encoder(packing.tokenizer_path())
+def test_tokens_equal_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
     rng = np.random.default_rng(1)
-    alphabet = list("ab's tmdrevl'' \n\t 1½²é\xa0\x85\x1c.,-<|endoftext|>ÀßLL've’中")
-    texts = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(3000)]
-    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in enc.encode(texts)] == want
+    alphabet = [*"ab's tmdrevl'' \n\t 1½²é\xa0\x85\x1c.,-<|endoftext|>ÀßLL've’中", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(3000)] + ["a <|endoftext|> b", "don't " * 3000]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    enc = Encoder(packing.tokenizer_path())
+    assert [x.tolist() for x in enc.encode(texts)] == want and enc.known > 100
+    assert [x.tolist() for x in enc.encode(texts[::-1])] == want[::-1]
+    # Hashes that tell nothing apart: the comparison of the pieces finds it.
+    monkeypatch.setattr("topicloom.llm.bpe._R", np.uint64(0))
+    assert [x.tolist() for x in Encoder(packing.tokenizer_path()).encode(texts)] == want
 
 
 def test_packing(spark, odd):

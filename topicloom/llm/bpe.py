@@ -3,7 +3,9 @@
 The public tokenizer cuts a text into words, digit runs, marks and white space and
 merges inside each piece alone.  Pieces repeat, so their boundaries are found with
 vectors over the code points of a batch, and only pieces not seen before go to the
-tokenizer.  Texts with characters outside ``SIMPLE`` blocks go to it whole.
+tokenizer.  A piece is found by a hash of its code points, which are then compared.
+Texts with characters outside ``SIMPLE`` blocks, or with the string of a special token,
+go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -80,14 +82,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self):
         self.index: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
+        self.points = np.zeros(1 << 18, np.uint16)
+        self.points_at = np.zeros(1 << 16, np.int64)
         self.known = 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -98,6 +102,14 @@ class Encoder:
         """Merge pieces not seen before; each is one piece to the tokenizer, too."""
         got = [[x.id for x in self.model.tokenize(p.encode().decode("latin-1").translate(ALPHABET))] for p in pieces]
         counts = np.fromiter(map(len, got), np.int64, len(got))
+        shown = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)
+        tail = int(self.points_at[self.known])
+        while tail + len(shown) > len(self.points):
+            self.points = np.concatenate([self.points, np.zeros(len(self.points), np.uint16)])
+        while self.known + len(got) >= len(self.points_at):
+            self.points_at = np.concatenate([self.points_at, np.zeros(len(self.points_at), np.int64)])
+        self.points[tail : tail + len(shown)] = shown
+        self.points_at[self.known + 1 : self.known + len(got) + 1] = tail + np.cumsum(list(map(len, pieces)))
         begin = int(self.at[self.known])
         end = begin + int(counts.sum())
         while end > len(self.pool):
@@ -109,6 +121,16 @@ class Encoder:
         self.index.update(zip(keys, range(self.known, self.known + len(got)), strict=True))
         self.known += len(got)
 
+    def _equal(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray, found: list[int | None]) -> bool:
+        """Whether pieces found by their hashes are the pieces known under them."""
+        old = np.array([k for k, f in enumerate(found) if f is not None], np.int64)
+        at = np.array([found[k] for k in old.tolist()], np.int64)
+        size = length[old]
+        if (size != self.points_at[at + 1] - self.points_at[at]).any():
+            return False
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return bool((cp[np.repeat(start[old], size) + inner] == self.points[np.repeat(self.points_at[at], size) + inner]).all())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         group, size = [], 0
@@ -127,10 +149,16 @@ class Encoder:
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.array([len(texts[i]) for i in group], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes)])
+        odd = np.zeros(len(group), bool)
         if len(cp) and cp.max() >= SIMPLE:
-            odd = np.add.reduceat(np.concatenate([cp >= SIMPLE, [False]]).astype(np.int64), np.minimum(first[:-1], len(cp)))
-            odd = (odd > 0) & (sizes > 0)
-            for i, ids in zip([i for i, o in zip(group, odd, strict=True) if o], self._whole([texts[i] for i, o in zip(group, odd, strict=True) if o]), strict=True):
+            odd |= np.add.reduceat(np.concatenate([cp >= SIMPLE, [False]]).astype(np.int64), np.minimum(first[:-1], len(cp))) > 0
+        for name in self.special:
+            if name in joined:
+                odd |= np.array([name in texts[i] for i in group])
+        odd &= sizes > 0
+        if odd.any():
+            asked = [i for i, o in zip(group, odd, strict=True) if o]
+            for i, ids in zip(asked, self._whole([texts[i] for i in asked]), strict=True):
                 out[i] = ids
             rest = [i for i, o in zip(group, odd, strict=True) if not o]
             if rest:
@@ -154,9 +182,15 @@ class Encoder:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         key = np.add.reduceat(h, starts) ^ (length.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
         distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        # Equal hashes must be equal pieces, here and among those known.
+        same = (length == length[where][inverse]).all() and (cp == cp[np.repeat(starts[where][inverse], length) + inner]).all()
         distinct = distinct.tolist()
         found = list(map(self.index.get, distinct))
         new = [k for k, f in enumerate(found) if f is None]
+        if not (same and self._equal(cp, starts[where], length[where], found)):
+            for i, ids in zip(group, self._whole([texts[i] for i in group]), strict=True):
+                out[i] = ids
+            return
         if new:
             known = self.known
             self._learn([joined[starts[where[k]] : ends[where[k]]] for k in new], [distinct[k] for k in new])
