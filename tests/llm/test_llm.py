@@ -39,7 +39,7 @@ def test_page_text():
     assert Page('<div class="has-sidebar"><main>yes</main></div><script>var t="</p>";</script>').main_text() == "yes"
 
 
-@pytest.mark.parametrize("most", [1000, 0])
+@pytest.mark.parametrize("most", [1 << 20, 0])
 def test_style_tree_removes_template(spark, most):
     rows = [(i, f"http://h.com/{i}", f'<div class="top">Same words here</div><div class="body"><p>unique {i}</p></div>') for i in range(12)]
     pages = spark.createDataFrame([*rows, (99, None, None)], "page_id long, url string, html string")
@@ -48,7 +48,7 @@ def test_style_tree_removes_template(spark, most):
     assert html_extract.extract(empty(pages)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1000, 0])
+@pytest.mark.parametrize("most", [1 << 20, 0])
 def test_style_tree_decides_inside_and_outside_landmarks(spark, most):
     shared = '<article><h1>title {0}</h1><p>body {0}</p><div class="box">the same on every page</div></article><div class="tail">same tail</div>'
     cards = '<article class="card"><p>teaser</p></article><div class="story"><p>story {0}</p><p>more {0}</p></div>'
@@ -59,6 +59,70 @@ def test_style_tree_decides_inside_and_outside_landmarks(spark, most):
     assert got == want | {200: "title 7 body 7 the same on every page"}
 
 
+def test_noise_in_inline_elements_at_any_depth():
+    deep = "<p>a<span class=ad><a><b><i><em><u><s>advert</s></u></em></i></b></a></span>b</p>"
+    assert Page(f"<article>{deep}</article>").main_text() == "a b" or Page(f"<article>{deep}</article>").main_text() == "ab"
+    assert Page("<article><p>a</p><ins class=ad><div>no<p>no</p></div></ins><p>b</p></article>").main_text() == "a b"
+    assert Page("<article><p>x <math><mi>y</mi></math></p><svg><title>no</title><text>z</text></svg></article>").main_text() == "x y z"
+    assert Page("<div>" * 3000 + "deep" + "</div>" * 3000).main_text() == "deep"
+
+
+def test_importance_against_the_recursive_formula(spark):
+    from collections import Counter, defaultdict
+
+    shapes = ["<div class=top>same</div><article><h1>t{0}</h1><p>b{0}</p>{1}</article>", "<ul><li>x{2}</li><li>y</li></ul><div><p>q{0}</p></div>", "<div class=top>same</div><div><p>only</p></div>"]
+    rows = [("h.com" if i < 14 else "g.com", shapes[i % 3].format(i, "<p>more</p>" * (i % 4), i % 2)) for i in range(20)]
+    got = {(r.host, r.path): r for r in html_extract.style_tree(spark.createDataFrame([*rows, rows[0]], "host string, html string")).collect()}
+    rows, seen = [*rows, rows[0]], 0
+    for host in ("h.com", "g.com"):
+        pages = [Page(h) for x, h in rows if x == host]
+        shown, texts, styles, share, parent = Counter(), defaultdict(Counter), defaultdict(Counter), Counter(), {}
+        for page in pages:
+            for path in {e.path for e in page.elements}:
+                shown[path] += 1
+            for e in page.elements:
+                parent[e.path] = e.parent and e.parent.path
+                if e.kids:
+                    styles[e.path][tuple(e.kids)] += 1
+                    for k in e.kids:
+                        share[k] += 1 / len(e.kids)
+            for path, t in {(e.path, t) for e, t in page.blocks}:
+                texts[path][t] += 1
+        count = Counter(e.path for page in pages for e in page.elements)
+
+        def composite(path):
+            m, l = shown[path], len(styles[path])
+            if not l:
+                return content(path) if texts[path] else 1.0
+            total = sum(styles[path].values())
+            present = 1.0 if m <= 1 else min(1.0, -sum(n / total * np.log(n / total) for n in styles[path].values()) / np.log(m))
+            below = sum(share[k] / count[path] * composite(k) for k in parent if parent[k] == path)
+            return (1 - 0.9**l) * present + 0.9**l * below
+
+        def content(path):
+            m = shown[path]
+            return 1.0 if m <= 1 else 1 - np.mean([np.log(n) / np.log(m) for n in texts[path].values()])
+
+        for path in shown:
+            want = max(composite(path), content(path) if texts[path] else 0)
+            assert got[host, path].importance == pytest.approx(want, abs=1e-9) and got[host, path].pages == shown[path]
+            seen += 1
+    assert seen == len(got) > 12
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_pages_odd(spark, most):
+    """Repeated rows, columns whose names clash, nulls, a very long page, a host that holds most pages."""
+    long = "<article>" + "".join(f"<p>word{i} &lt;{i}&gt;</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "http://h.io/a", long), (1, "http://h.io/a", long), (2, None, "<p>x</p>"), (3, "http://h.io/b", None), (None, "http://h.io/c", ""), (4, "http://h.io/d", "plain  text")]
+    rows += [(i, "http://h.io/x", f"<div><b>same</b></div><p>n{i}</p>") for i in range(10, 40)]
+    df = spark.createDataFrame([(*r, "salt", 1, "no") for r in rows], "page_id long, url string, html string, host string, row int, text string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(df, most=most).collect())
+    want = " ".join(f"word{i} <{i}>" for i in range(30_000))
+    texts = [(1, want), (1, want), (2, "x"), (3, ""), (0, ""), (4, "plain text"), *((i, f"n{i}") for i in range(10, 40))]
+    assert got == sorted((i, t, len(t)) for i, t in texts)
+
+
 def test_wrapper_with_a_noise_word_is_kept():
     page = '<div class="page has-sidebar"><h1>T</h1><p>long text of the page</p><div class="sidebar">no</div></div><div class="comments">no</div>'
     assert Page(page).main_text() == "T long text of the page"

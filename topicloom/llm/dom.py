@@ -9,8 +9,8 @@ from functools import lru_cache
 
 import xxhash
 
-#: Elements nested deeper count as their ancestor at this depth.
-MAX_DEPTH = 40
+#: Elements nested deeper, as browsers nest none, count as their ancestor at this depth in the tree.
+MAX_DEPTH = 512
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -23,7 +23,7 @@ _PART = re.compile(r"[a-z]+")
 
 # How HTML treats its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -70,12 +70,14 @@ def _path(parent: int, key: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "depth", "noise", "main", "holds", "kids", "worded")
+    __slots__ = ("tag", "path", "parent", "depth", "noise", "within", "main", "holds", "kids", "worded")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         key, self.main, noise, outer, self.worded = _marks(tag, attrs)
         inside = parent is not None and parent.main
         self.noise = noise or outer and not inside
+        #: Inside an inline element that is noise, however deep.
+        self.within = tag in INLINE and self.noise or parent is not None and parent.within
         self.tag, self.parent, self.holds, self.kids = tag, parent, False, []
         self.main |= inside
         if parent is None:
@@ -143,7 +145,7 @@ class Page:
         while True:
             m = _TOKEN.search(source, pos)
             piece = source[pos : m.start() if m else len(source)]
-            if piece and not any(e.noise and e.tag in INLINE for e in stack[-4:]):
+            if piece and not stack[-1].within:
                 text.append(piece)
             if not m:
                 break
@@ -168,9 +170,7 @@ class Page:
             if tag in INLINE:
                 inline = Element(tag, attrs, stack[-1])
                 if tag not in VOID and not attrs.endswith("/"):
-                    stack.append(inline)
-                    self.elements.append(inline)
-                    stack[-2].kids.append(inline.path)
+                    stack.append(inline)  # its text is its block's; it is no node of the tree
                 continue
             flush()
             if tag in VOID:
@@ -193,8 +193,9 @@ class Page:
                         break
                     if stack[i].tag not in INLINE:
                         break
-                while stack[-1].tag in INLINE:
-                    leave(len(stack) - 1)
+            noisy = stack[-1].within
+            while not noisy and stack[-1].tag in INLINE:
+                leave(len(stack) - 1)
             e = Element(tag, attrs, stack[-1])
             if tag in MAIN_TAGS or e.main and not stack[-1].main:
                 for x in stack:

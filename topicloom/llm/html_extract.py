@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import BROADCAST_ROWS, cut
+from topicloom.llm.common import SALTS, bounded_batches, cut, lean
 from topicloom.llm.dom import Page
 from topicloom.llm.url_filter import host_of
 
@@ -40,6 +40,8 @@ DAMPING = 0.9
 THRESHOLD = 0.25
 MIN_PAGES = 5
 MAIN_WEIGHT = 0.5
+#: Bytes of verdicts that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 NODE, STYLE, CONTENT = 0, 1, 2
 OBSERVED = "host string, path long, kind int, key long, chain array<long>, decided boolean, inside boolean, outside boolean, occ long, share double"
 
@@ -86,7 +88,7 @@ def observe(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return pages.select("host", "html").mapInArrow(run, OBSERVED)
+    return bounded_batches(pages).select("host", "html").mapInArrow(lean(run), OBSERVED)
 
 
 def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
@@ -121,10 +123,13 @@ def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
     # The weight of a node in its parent's composite, then in every ancestor's.
     parent = F.when(F.size("chain") > 1, F.element_at("chain", -2))
     up = nodes.select("host", F.col("path").alias("parent"), F.col("gl").alias("pgl"), F.col("occ").alias("pocc"))
-    own = nodes.select("host", "path", "share", "base", "chain", parent.alias("parent")).join(up, ["host", "parent"], "left")
+    # A node has many below it, a root all of its host: they are spread over tasks.
+    dealt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own = nodes.select("host", "path", "share", "base", "chain", parent.alias("parent"), dealt).join(up.select("*", salts), ["host", "parent", "salt"], "left")
     own = own.select("host", "path", "base", "chain", F.coalesce(F.col("pgl") * F.col("share") / F.col("pocc"), F.lit(1.0)).alias("f"))
     factor = own.select("host", F.col("path").alias("step"), "f")
-    steps = own.select("host", "path", "base", "chain", F.posexplode("chain").alias("depth", "step")).join(factor, ["host", "step"])
+    steps = own.select("host", "path", "base", "chain", dealt, F.posexplode("chain").alias("depth", "step")).join(factor.select("*", salts), ["host", "step", "salt"])
     lines = steps.groupBy("host", "path").agg(
         F.first("base").alias("base"), F.first("chain").alias("chain"), F.array_sort(F.collect_list(F.struct("depth", "f"))).alias("fs")
     )
@@ -158,45 +163,26 @@ def _texts(pages: DataFrame) -> DataFrame:
             got = [Page(h).main_text(frozenset(n or ()), frozenset(k or ())) for h, n, k in said]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(got, pa.string())], ["row", "text"])
 
-    x = pages.select("row", "html", "noise", "body")
-    return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, text string")
+    x = bounded_batches(pages).select("row", "html", "noise", "body")
+    return x.mapInArrow(lean(run), f"row {x.schema['row'].dataType.simpleString()}, text string")
 
 
-def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", threshold=THRESHOLD, min_pages=MIN_PAGES, most=BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", threshold=THRESHOLD, min_pages=MIN_PAGES, most=BROADCAST_BYTES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page, from its whole HTML.
 
     Null or empty HTML gives an empty text; a null URL and such without a host share
     the empty host's tree; repeated rows stay repeated; an empty table gives no rows;
-    other columns are not read.  Verdicts on branches reach the pages by a broadcast by
-    host while they are counted to be few (``most``), else by a join on (host, path)
-    with the paths of each page.
+    other columns are not read.  Verdicts reach the pages by host: by a broadcast while
+    their counted bytes are few (``most``), else by a join in which a host's pages are
+    dealt to ``SALTS`` tasks each.
     """
     p = pages.select(F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = verdicts(p, threshold, min_pages)
-    if found.count() <= most:
-        by_host = found.groupBy("host").agg(*_collected())
+    size = found.select(F.sum(F.octet_length("host") + 8)).first()[0] or 0
+    by_host = found.groupBy("host").agg(*_collected())
+    if size <= most:
         x = p.join(F.broadcast(by_host), "host", "left")
     else:
-        key: Column = F.xxhash64("row", "html")
-        paths = observe_paths(p.select("host", key.alias("k"), "html"))
-        by_page = paths.join(found, ["host", "path"]).groupBy("k").agg(*_collected())
-        x = p.withColumn("k", key).join(by_page, "k", "left")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        x = p.withColumn("salt", F.pmod(F.xxhash64("row", "html"), F.lit(SALTS)).cast("int")).join(by_host.select("*", salts), ["host", "salt"], "left")
     return _texts(x).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def observe_paths(pages: DataFrame) -> DataFrame:
-    """``host, k, html`` -> distinct ``host, k, path`` of the page's nodes but for noise landmarks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (h, k, p)
-                for h, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True)
-                for p in {e.path for e in Page(s).elements if not e.dropped()}
-            ]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["host", "k", "path"])
-
-    return pages.select("host", "k", "html").mapInArrow(run, "host string, k long, path long").distinct()
-
-
