@@ -9,10 +9,13 @@ from topicloom.functions import mathx as M
 from topicloom.functions import text as T
 from topicloom.operators import corpus as P
 from topicloom.operators import counts as C
-from topicloom.operators import planning, report
-from topicloom.operators.alias import alias_tables, table_mass
+from topicloom.operators import planning, report, sampler, stats
+from topicloom.operators.alias import alias_tables, sparse_tables, table_mass
+from topicloom.plans import lineage
 from topicloom.plans.lineage import dense_ids
-from topicloom.plans.train import fit, unpack
+from topicloom.plans.train import Model, fit, unpack
+from topicloom.sources import files
+from topicloom.streaming.infer import infer_stream
 
 TEXTS = ["", None, "the cat don't_stop È", "cat dog cat dog bird", "dog  dog\tcat--bird", "bird cat dog fish " * 10, "of the and"]
 
@@ -28,7 +31,7 @@ def test_tokenize_is_ascii(docs):
 
 
 def test_vocabulary_boundary_and_stop_words(docs):
-    tf = P.term_frequency(P.tokenize(docs))
+    tf = P.term_frequency(docs)
     counts = {r.word: (r.tf, r.df) for r in tf.collect()}
     assert counts["fish"] == (10, 1) and counts["the"] == (2, 2)
     assert {r.word for r in P.vocabulary(P.drop_stop_words(tf), 10).collect()} == {"cat", "dog", "bird", "fish"}
@@ -86,6 +89,170 @@ def test_alias_tables_keep_the_mass():
     assert np.allclose(table_mass(*alias_tables(np.ones((2, 1)))), 1)
 
 
+@pytest.mark.parametrize("rows", [3, 40])
+def test_tables_row_by_row_and_together_agree(rows):
+    mass = np.random.default_rng(2).gamma(0.2, size=(rows, 100)) + 1e-12
+    assert np.allclose(table_mass(*alias_tables(mass)), mass / mass.sum(1, keepdims=True))
+
+
+def test_sparse_tables_keep_the_mass():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 30, 200)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mass = rng.gamma(0.3, size=start[-1]) + 1e-9
+    t, a = sparse_tables(mass, start)
+    for lo, hi in zip(start[:-1], start[1:], strict=True):
+        assert np.allclose(table_mass(t[None, lo:hi], a[None, lo:hi])[0], mass[lo:hi] / mass[lo:hi].sum())
+
+
+def rows_of(nw, s, words):
+    """Model rows of a dense count matrix."""
+    w, t = np.nonzero(nw)
+    start = np.searchsorted(w, np.arange(len(nw) + 1))
+    mass = nw[w, t] / (s.nt[t] + s.vb)
+    return sampler.Rows(np.asarray(words), start, t, nw[w, t], *sparse_tables(mass, start), np.add.reduceat(mass, start[:-1]), nw.shape[1])
+
+
+def test_proposal_has_both_parts():
+    """Drawn topics follow (n_tw + beta) / (n_t + V beta), also for a word without a row."""
+    rng = np.random.default_rng(4)
+    nw = rng.poisson(0.8, (3, 20)) * rng.integers(0, 9, (3, 20))
+    s = sampler.Shared(nw.sum(0) + 1, 50, 0.1, 0.3)
+    rows, n = rows_of(nw, s, [5, 6, 9]), 200_000
+    for word, counts in ((6, nw[1]), (7, np.zeros(20))):
+        row = rows.place(np.full(n, word))
+        got = np.bincount(rows.propose(s, row, *rng.random((3, n))), minlength=20) / n
+        want = (counts + 0.3) / (s.nt + 50 * 0.3)
+        assert np.abs(got - want / want.sum()).max() < 0.005
+        assert rows.count(row[:20], np.arange(20)).tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_a_sweep_leaves_the_target_distribution(infer, monkeypatch):
+    """One token, many chains: topics follow the target, with counts held densely and counted as needed."""
+    rng = np.random.default_rng(5)
+    nw, k, a, b = rng.integers(1, 9, (4, 6)), 6, 0.3, 0.2
+    s = sampler.Shared(nw.sum(0) + 5, 4, a, b)
+    docs = [(np.array([2]), np.array([int(rng.integers(k))])) for _ in range(30_000)]
+    for cells in (10**9, 0):
+        monkeypatch.setattr(sampler, "MAX_CELLS", cells)
+        rest = np.array([3, 3, 3]), np.array([1, 1, 4])  # tokens of a word that is not swept
+        batch = sampler.Batch(np.arange(len(docs)), [np.concatenate([w, rest[0]]) for w, _ in docs], [np.concatenate([z, rest[1]]) for _, z in docs], k)
+        batch.sweep(s, rows_of(nw, s, range(4)), 0, 3, 1, 1, 60, infer)
+        got = batch.topics()
+        assert all((z[1:] == rest[1]).all() for z in got)
+        if not infer:  # the model's counts hold the token in its old topic
+            first = [z for (_, (o,)), z in zip(docs, got, strict=True) if o == 2]
+            want = (np.bincount(rest[1], minlength=k) + a) * (nw[2] - (np.arange(k) == 2) + b) / (s.nt - (np.arange(k) == 2) + s.vb)
+            assert np.abs(np.bincount([z[0] for z in first], minlength=k) / len(first) - want / want.sum()).max() < 0.025
+
+
+def test_many_topics_and_chunks_of_the_model(spark):
+    """A million cells per document batch are not held; chunks and blocks change no result."""
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{rng.integers(300)}" for _ in range(60))) for i in range(80)]
+    m = fit(spark.createDataFrame(texts, "doc_id long, text string"), Config(min_count=1, topics=10_000, iterations=1))
+    assert unpack(m.docs).count() == 80 * 60 and unpack(m.docs).agg(F.max("topic")).first()[0] > 5000
+    f, got = m.frozen(), []
+    for blocks, entries in ((1, 10**9), (7, 50)):
+        docs = m.docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+        out = sampler.sample(docs, sampler.requests(docs), f.rows, f.shared, 42, 1, 2, max_entries=entries)
+        got.append(sorted((r.doc_id, r.topics, r.by_word, r.by_doc) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 80
+
+
+def test_resume_from_disk_equals_an_unbroken_run(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(40)}" for _ in range(30))) for i in range(40)] + [(None, "w1 w2")], "doc_id long, text string")
+    cfg = Config(min_count=1, topics=3, iterations=2)
+    fit(docs, cfg).save(str(tmp_path / "m"))
+    back = Model.load(spark, str(tmp_path / "m"))
+    assert back.cfg == cfg and back.done == 2 and len(back.metrics) == 2
+    two, four = fit(None, cfg, resume=back), fit(docs, Config(min_count=1, topics=3, iterations=4))
+    assert [m["iteration"] for m in two.metrics] == [0, 1, 2, 3] and two.done == four.done == 4
+    assert unpack(two.docs).exceptAll(unpack(four.docs)).isEmpty() and two.docs.count() == 40
+    assert unpack(back.docs).count() == 40 * 30  # what was loaded stands
+    assert all(0 < m["accepted_word"] < 1 and 0 < m["accepted_doc"] < 1 for m in two.metrics)
+
+
+def test_stream_is_folded_in(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(20)}" for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    m = fit(docs, Config(min_count=1, topics=3, iterations=1))
+    docs.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    q = infer_stream(stream, m, str(tmp_path / "out"), str(tmp_path / "cp"), 2, {"availableNow": True})
+    assert q.awaitTermination(120) and q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("doc_id").agg(F.sum("cnt").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {i: 30 for i in range(20)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    empty = N(isEmpty=lambda: True)
+    session = N(sparkContext=N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: empty)), master="spark://x"), conf=N(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(session)
+
+
+def test_files(spark, tmp_path, docs):
+    """Every sink read back, and the directory and word readers."""
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "docs").mkdir()
+    for i, text in enumerate(["one two", "", "drei\nvier"]):
+        (tmp_path / "docs" / f"{i}.txt").write_text(text)
+    read = files.read_documents(spark, at("docs")).collect()
+    assert sorted(r.text for r in read) == ["", "drei\nvier", "one two"] and len({r.doc_id for r in read}) == 3
+    (tmp_path / "stop").write_text("the a\n  of\ta\n")
+    assert sorted(r.word for r in files.read_words(spark, at("stop")).collect()) == ["a", "of", "the"]
+    ids, enc = P.prepare(docs, Config(min_count=2))
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    files.write_dictionary(ids, at("dict"))
+    assert same(files.read_dictionary(spark, at("dict")), ids.select("word_id", "word", "tf"))
+    blocks = P.doc_blocks(docs, 3)
+    files.write_blocks(enc, blocks, at("blocks"))
+    whole = enc.join(blocks, "doc_id")
+    assert same(files.read_block(spark, at("blocks")).select(whole.columns), whole)
+    assert same(files.read_block(spark, at("blocks"), 1).select(whole.columns), whole.filter("block_id = 1"))
+    vocab = P.block_vocab(enc, blocks, ids)
+    files.write_block_vocab(vocab, at("vocab"))
+    assert same(files.read_block_vocab(spark, at("vocab")).select(vocab.columns), vocab)
+    assert same(files.read_block_vocab(spark, at("vocab"), 1).select(vocab.columns), vocab.filter("block_id = 1"))
+    assert spark.read.text(at("vocab/text")).count() == vocab.count()
+    meta = planning.dict_meta(ids, 8, 2, 4)
+    files.write_dict_meta(meta, at("meta"))
+    assert same(files.read_dict_meta(spark, at("meta")).select(meta.columns), meta)
+    assert files.read_dict_meta(spark, at("meta"), 1).count() == meta.filter("client_id = 1").count()
+    lines = report.dump_summary(C.topic_summary(C.init_topics(enc, 3, 1)))
+    files.write_lines(lines, at("summary"))
+    assert spark.read.text(at("summary")).first()[0] == lines.first()[0]
+    assert files.count_documents(spark.read.text(at("stop"))) == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_dictionary(ids, at("dict"))
+
+
+def test_capped_and_exact_likelihood(docs):
+    _, enc = P.prepare(docs, Config(min_count=2))
+    init = C.init_topics(enc, 3, 1)
+    counts, blocks = C.doc_topic(init), P.doc_blocks(docs, 3)
+    each = {r.doc_id: r.llh for r in stats.doc_llh(counts, 3, 0.01).collect()}
+    assert stats.corpus_doc_llh(counts, 3, 0.01).first()[0] == pytest.approx(sum(each.values()))
+    assert stats.corpus_doc_llh(counts, 3, 0.01, blocks, 2).first()[0] == pytest.approx(sum(v for i, v in each.items() if i % 3 < 2))
+    ref, exact = (stats.corpus_llh(init, 3, Config(), 100, mode)["word"] for mode in ("reference", "exact"))
+    assert exact - ref == pytest.approx((100 - C.word_topic(init).select("word_id").distinct().count()) * 3 * M.log_gamma_of(0.01))
+
+
+def test_rows_of_one_document_and_null_ids(spark):
+    """Repeated ids are one document, null ids stay apart, other columns are not read."""
+    df = spark.createDataFrame([(1, "b a", 7), (1, "a c", 8), (None, "a b", 9), (2, None, 9)], "doc_id long, text string, pos int")
+    ids = P.word_ids(P.vocabulary(P.term_frequency(df), 1))
+    assert {r.word: (r.tf, r.df) for r in ids.collect()} == {"a": (3, 3), "b": (2, 2), "c": (1, 1)}
+    got = P.encode(df, ids, 3).collect()
+    assert sorted((r.doc_id or 0, r.pos) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 2), (1, 3)]
+    assert P.encode(df.limit(0), ids, 3).count() == 0
+
+
 def test_dump_round_trip(docs, spark, tmp_path):
     _, enc = P.prepare(docs, Config(min_count=2))
     model = C.word_topic(C.init_topics(enc, 4, 1))

@@ -1,10 +1,41 @@
-"""Alias tables for many distributions at once."""
+"""Alias tables for many distributions at once, dense or by their non-zero entries alone."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+#: Rows below this are settled one by one.
+FEW = 8
+
+
+def _one_table(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = len(mass)
+    q = (mass * (k / mass.sum())).tolist()
+    threshold, alias = [1.0] * k, list(range(k))
+    small, large = [i for i, x in enumerate(q) if x < 1], [i for i, x in enumerate(q) if x >= 1]
+    while small and large:
+        s, big = small.pop(), large[-1]
+        threshold[s], alias[s] = q[s], big
+        q[big] -= 1 - q[s]
+        if q[big] < 1:
+            small.append(large.pop())
+    return np.array(threshold), np.array(alias)
+
+
+def sparse_tables(mass: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of rows of any length: row i has the masses from start[i] to start[i + 1].
+
+    Thresholds and aliases stand where their masses do; an alias counts from its row's start.
+    """
+    size = np.diff(start)
+    threshold, alias = np.ones(len(mass)), np.zeros(len(mass), np.int64)
+    for k in np.unique(size[size > 0]).tolist():
+        at = start[:-1][size == k][:, None] + np.arange(k)
+        threshold[at], alias[at] = alias_tables(mass[at])
+    return threshold, alias
+
+
 def alias_tables(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of non-negative masses -> (threshold, alias), each of the same shape.
 
@@ -12,6 +43,9 @@ def alias_tables(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     missing share from its current large one, which may become small itself.
     """
     rows, k = mass.shape
+    if rows < FEW and k > 64:
+        got = [_one_table(row) for row in mass]
+        return np.stack([t for t, _ in got]), np.stack([a for _, a in got])
     q = mass * (k / mass.sum(1, keepdims=True))
     threshold, alias = np.ones((rows, k)), np.tile(np.arange(k), (rows, 1))
     order = np.argsort(q, 1, kind="stable")

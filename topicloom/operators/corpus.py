@@ -12,14 +12,21 @@ from topicloom.plans.lineage import cut, dense_ids, lookup
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, word``; pos from 1.  Null and empty texts give no rows."""
+    """``doc_id, pos, word``; pos from 1.  Null and empty texts give no rows; a null id stays null, other columns are not read."""
     return docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("at", "word")).select("doc_id", (F.col("at") + 1).alias("pos"), "word")
 
 
-def term_frequency(tokens: DataFrame) -> DataFrame:
-    """``word, tf, df`` over all occurrences; counted by (word, document) before words."""
-    per = tokens.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+def term_frequency(docs: DataFrame) -> DataFrame:
+    """``word, tf, df`` of ``text``: occurrences and documents (rows) of each word.
+
+    A document's distinct words are found in its row, so one shuffle by word, of sums
+    combined before it, is all.
+    """
+    words = T.tokens(F.col("text"))
+    seen = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("t"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(0).alias("t"), F.lit(1).alias("d")))
+    x = docs.select(F.explode(F.concat(seen, once)).alias("x"))
+    return x.groupBy(F.col("x.word").alias("word")).agg(F.sum("x.t").alias("tf"), F.sum("x.d").alias("df"))
 
 
 def drop_stop_words(counts: DataFrame, words: Iterable[str] | DataFrame = T.STOP_WORDS) -> DataFrame:
@@ -39,10 +46,14 @@ def word_ids(vocab: DataFrame, shuffle_seed: int | None = None) -> DataFrame:
     return dense_ids(vocab, "word_id", *order).select(F.col("word_id").cast("int").alias("word_id"), "word", "tf", "df")
 
 
-def encode(tokens: DataFrame, ids: DataFrame, max_tokens: int) -> DataFrame:
-    """``doc_id, pos, word_id``: the first tokens of each document that have an id, pos from 1."""
-    kept = tokens.join(lookup(ids.select("word", "word_id"), ids.count()), "word")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+def encode(docs: DataFrame, ids: DataFrame, max_tokens: int) -> DataFrame:
+    """``doc_id, pos, word_id``: the first tokens of each document that have an id, pos from 1.
+
+    Texts, not tokens, are dealt by document: words are looked up and cut where they are.
+    Rows that repeat an id are one document, their tokens in turn by position.
+    """
+    kept = tokenize(docs.repartition("doc_id")).join(lookup(ids.select("word", "word_id"), ids.count()), "word")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "word_id"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= max_tokens).select("doc_id", F.col("rank").alias("pos"), "word_id")
 
 
@@ -76,6 +87,5 @@ def block_stats(encoded: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def prepare(docs: DataFrame, cfg, stop_words=T.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
     """Vocabulary with ids, and encoded tokens, both checkpointed."""
-    tokens = tokenize(docs)
-    ids = cut(word_ids(vocabulary(drop_stop_words(term_frequency(tokens), stop_words), cfg.min_count)))
-    return ids, cut(encode(tokens, ids, cfg.max_tokens))
+    ids = cut(word_ids(vocabulary(drop_stop_words(term_frequency(docs), stop_words), cfg.min_count)))
+    return ids, cut(encode(docs, ids, cfg.max_tokens))

@@ -41,3 +41,14 @@ def apply_deltas(model: DataFrame, changes: DataFrame) -> DataFrame:
     """``word_id, topic, cnt`` after the changes; zeros vanish."""
     both = model.select("word_id", "topic", "cnt").unionByName(changes.select("word_id", "topic", F.col("delta").cast("long").alias("cnt")))
     return both.groupBy("word_id", "topic").agg(F.sum("cnt").alias("cnt")).filter("cnt <> 0")
+
+
+def sum_summary_deltas(changes: DataFrame) -> DataFrame:
+    """``topic, delta``: word-topic changes summed by topic; zeros vanish."""
+    return changes.groupBy("topic").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
+
+
+def apply_summary_deltas(summary: DataFrame, changes: DataFrame) -> DataFrame:
+    """``topic, cnt`` after the changes; topics left without tokens vanish."""
+    both = summary.select("topic", "cnt").unionByName(changes.select("topic", F.col("delta").cast("long").alias("cnt")))
+    return both.groupBy("topic").agg(F.sum("cnt").alias("cnt")).filter("cnt <> 0")

@@ -40,27 +40,48 @@ def row_sizes(vocab: DataFrame, topics: int, load: int) -> DataFrame:
 def slices(sizes: DataFrame, model_cap: int, alias_cap: int, delta_cap: int) -> DataFrame:
     """``block_id, slice_id, word_id``: words by id; a new slice starts where a sum would overflow.
 
-    A fold over one block's vocabulary, which a block bounds.  A word that exceeds a
-    capacity by itself is an error; no slice is empty.
+    A fold over one block's vocabulary, which a block bounds, that keeps the running
+    sums and the words that slices start with.  A word that exceeds a capacity by
+    itself is an error; no slice is empty.
     """
-    caps = (model_cap, alias_cap, delta_cap)
-    word = F.struct("word_id", "model_size", "alias_size", "delta_size")
+    caps, cols = (model_cap, alias_cap, delta_cap), ("model_size", "alias_size", "delta_size")
+    word = F.struct("word_id", *cols)
     per = sizes.groupBy("block_id").agg(F.sort_array(F.collect_list(word)).alias("ws"))
-    start = F.struct(F.lit(0).alias("slice"), *[F.lit(0).cast("long").alias(n) for n in "mad"], F.array().cast("array<struct<slice_id:int,word_id:int>>").alias("out"))
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in "mad"], F.array().cast("array<int>").alias("starts"))
 
     def step(acc, w):
-        sums = [acc[n] + w[c] for n, c in zip("mad", ("model_size", "alias_size", "delta_size"), strict=True)]
+        sums = [acc[n] + w[c] for n, c in zip("mad", cols, strict=True)]
         over = (sums[0] > caps[0]) | (sums[1] > caps[1]) | (sums[2] > caps[2])
         alone = (w["model_size"] > caps[0]) | (w["alias_size"] > caps[1]) | (w["delta_size"] > caps[2])
-        new = F.when(alone, F.raise_error(F.concat(F.lit("a word exceeds a slice: "), w["word_id"].cast("string"))).cast("int")).otherwise(
-            F.when(over & (F.size(acc["out"]) > 0), acc["slice"] + 1).otherwise(acc["slice"])
-        )
-        got = F.struct(new.alias("slice_id"), w["word_id"].alias("word_id"))
-        kept = [F.when(over, w[c]).otherwise(s).alias(n) for n, c, s in zip("mad", ("model_size", "alias_size", "delta_size"), sums, strict=True)]
-        return F.struct(new.alias("slice"), *kept, F.concat(acc["out"], F.array(got)).alias("out"))
+        first = F.when(alone, F.raise_error(F.concat(F.lit("a word exceeds a slice: "), w["word_id"].cast("string"))).cast("int")).otherwise(w["word_id"])
+        opens = over | alone | (F.size(acc["starts"]) == 0)
+        kept = [F.when(over, w[c]).otherwise(s).alias(n) for n, c, s in zip("mad", cols, sums, strict=True)]
+        return F.struct(*kept, F.when(opens, F.concat(acc["starts"], F.array(first))).otherwise(acc["starts"]).alias("starts"))
 
-    folded = per.select("block_id", F.aggregate("ws", start, step)["out"].alias("out"))
-    return folded.select("block_id", F.explode("out").alias("o")).select("block_id", "o.slice_id", "o.word_id")
+    folded = per.select("block_id", F.aggregate("ws", start, step)["starts"].alias("starts"))
+    # Each slice covers the words from its start to before the next one.
+    ranges = folded.select("block_id", F.posexplode("starts").alias("slice_id", "lo"), "starts")
+    ranges = ranges.select("block_id", "slice_id", "lo", F.coalesce(F.try_element_at("starts", F.col("slice_id") + 2), F.lit((1 << 31) - 1)).alias("hi"))
+    x = sizes.select("block_id", "word_id").join(ranges, "block_id").filter((F.col("word_id") >= F.col("lo")) & (F.col("word_id") < F.col("hi")))
+    return x.select("block_id", "slice_id", "word_id")
+
+
+def slice_index(sliced: DataFrame) -> DataFrame:
+    """``block_id, slice_id, word_id, index``: a word's place in its slice, from 0."""
+    at = F.row_number().over(Window.partitionBy("block_id", "slice_id").orderBy("word_id")) - 1
+    return sliced.select("block_id", "slice_id", "word_id", at.alias("index"))
+
+
+def alias_capacity(model: DataFrame, ids: DataFrame, topics: int) -> DataFrame:
+    """``word_id, planned, refined``: alias entries by a word's frequency, and by its non-zero counts once they are known.
+
+    Rows of frequent words are dense and keep an entry per topic.
+    """
+    nnz = model.filter("cnt <> 0").groupBy("word_id").agg(F.count("*").alias("nnz"))
+    dense = F.col("tf") >= 2 * topics // 3
+    x = ids.select("word_id", "tf").join(nnz, "word_id", "left")
+    whole = F.lit(topics).cast("long")
+    return x.select("word_id", F.when(dense, whole).otherwise(F.col("tf")).alias("planned"), F.when(dense, whole).otherwise(F.coalesce("nnz", F.lit(0))).alias("refined"))
 
 
 def slice_summary(sliced: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -72,7 +93,7 @@ def slice_summary(sliced: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def slice_rows(model: DataFrame, words: DataFrame) -> DataFrame:
-    """Model rows of the words that a slice asks for."""
+    """Model rows of the words that slices ask for."""
     return model.join(words.select("word_id").distinct(), "word_id", "left_semi")
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.plans.lineage import lookup
-
 
 def _over_topics(df: DataFrame, topics: int) -> DataFrame:
     return df.withColumn("topic", F.explode(F.sequence(F.lit(0), F.lit(topics - 1))))
@@ -29,19 +27,22 @@ def doc_proposal(docs: DataFrame, doc_counts: DataFrame, topics: int, alpha: flo
     return x.select("doc_id", "topic", ((F.coalesce("cnt", F.lit(0)) + alpha) / (F.col("nd") + alpha * topics)).alias("prob"))
 
 
+def _counts(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``key`` and a map from its topics to counts, at most one entry per topic."""
+    return df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias(name))
+
+
 def acceptance(tokens: DataFrame, model: DataFrame, summary: DataFrame, doc_counts: DataFrame, n_words: int, alpha: float, beta: float, kind: str) -> DataFrame:
     """Acceptance of ``new_topic`` t for a token whose topic s is its old one.
 
     Target counts exclude the token itself; proposal counts do not.  ``kind``: word or
-    doc proposal.
+    doc proposal.  Both topics' counts come with one row per word and one per document.
     """
-    nt = lookup(summary.select("topic", F.col("cnt").alias("nt")), 0)
-    x = tokens
+    x = tokens.join(_counts(doc_counts, "doc_id", "nd"), "doc_id", "left").join(_counts(model, "word_id", "nw"), "word_id", "left")
+    totals = summary.agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias("nt"))
+    x = x.crossJoin(F.broadcast(totals))  # a single row, one entry per topic
     for side, col in (("s", "topic"), ("t", "new_topic")):
-        on = lambda df, *keys, side=side, col=col: df.select(*keys, F.col("topic").alias(col), F.col(df.columns[-1]).alias(f"{df.columns[-1]}_{side}"))
-        x = x.join(on(model.select("word_id", "topic", F.col("cnt").alias("nw")), "word_id"), ["word_id", col], "left")
-        x = x.join(on(doc_counts.select("doc_id", "topic", F.col("cnt").alias("nd")), "doc_id"), ["doc_id", col], "left")
-        x = x.join(on(nt), col, "left")
+        x = x.withColumns({f"{n}_{side}": F.try_element_at(n, F.col(col)) for n in ("nw", "nd", "nt")})
     c = {k: F.coalesce(k, F.lit(0)) for k in ("nw_s", "nw_t", "nd_s", "nd_t", "nt_s", "nt_t")}
     same = F.when(F.col("new_topic") == F.col("topic"), 1).otherwise(0)
     vb = n_words * beta

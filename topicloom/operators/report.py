@@ -18,6 +18,13 @@ def topic_words(model: DataFrame, ids: DataFrame, top: int | None = None) -> Dat
     return x.join(ids.select("word_id", "word"), "word_id").select("topic", "rank", "word_id", "word", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
 
 
+def topic_report(ranked: DataFrame, digits: int = 6) -> DataFrame:
+    """``line``: per topic its number and then ``word:prob`` pairs by rank; ``ranked`` is ``topic_words`` with a top."""
+    pair = F.struct("rank", F.concat_ws(":", "word", F.format_string(f"%.{digits}f", "prob")).alias("shown"))
+    per = ranked.groupBy("topic").agg(F.array_sort(F.collect_list(pair)).alias("ps"))
+    return per.select(F.concat_ws("\t", F.col("topic").cast("string"), F.array_join(F.transform("ps", lambda p: p["shown"]), " ")).alias("line"))
+
+
 def dump_text(model: DataFrame) -> DataFrame:
     """``line``: word id and its topic:count pairs, topics ascending, zeros left out."""
     pair = F.struct("topic", F.concat_ws(":", "topic", "cnt").alias("shown"))

@@ -2,7 +2,14 @@
 
 Given the counts of the last iteration documents are independent.  All documents
 that have a token at rank r take their step for it together.  Draws are a hash of
-(seed, iteration, document, position, draw), so a retried task repeats itself.
+(seed, iteration, document, position, draw), so a retried task repeats itself and
+neither the layout of documents nor of the model changes a result.
+
+The model is sparse.  A word's proposal has two parts: its own topics with mass
+n_tw / (n_t + V beta), for which its row carries an alias table, and a part that all
+words share, beta / (n_t + V beta), with one table for all topics.  Rows are built where
+their words are counted, and go to the blocks of documents that hold these words; a
+block takes them in order of words, a bounded number of entries at a time.
 """
 
 from __future__ import annotations
@@ -14,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.alias import alias_tables
+from topicloom.operators.alias import alias_tables, sparse_tables
 
 DOCS = 1024
-#: Cells of a model slice that is held densely at most.
-MAX_CELLS = 40_000_000
+#: Documents of a block, in expectation.
+BLOCK = 4096
+#: Entries of model rows that a block holds at a time; a row is never split.
+MAX_ENTRIES = 4_000_000
+#: Cells of the dense topic counts of a batch of documents; with more topics they are counted as needed.
+MAX_CELLS = 8_000_000
 _U = np.uint64
+MODEL = "word_id int, topics array<int>, cnts array<int>, threshold array<double>, alias array<int>, mass double"
 
 
 def uniforms(seed: int, iteration: int, doc: np.ndarray, pos: int, draw: int) -> np.ndarray:
@@ -34,97 +46,242 @@ def uniforms(seed: int, iteration: int, doc: np.ndarray, pos: int, draw: int) ->
     return (x >> _U(11)) * 2.0**-53
 
 
-class Slice:
-    """Frozen counts of words ``first`` to ``first + len(nw) - 1``, and their alias tables."""
+class Shared:
+    """What all words share: topic totals, and the part of the proposal that beta gives every topic."""
 
-    def __init__(self, first: int, nw: np.ndarray, nt: np.ndarray, n_words: int, alpha: float, beta: float):
-        self.first, self.nw, self.nt = first, nw, nt.astype(np.float64)
-        self.alpha, self.beta, self.vb = alpha, beta, n_words * beta
-        self.threshold, self.alias = alias_tables((nw + beta) / (self.nt + self.vb))
+    def __init__(self, nt: np.ndarray, n_words: int, alpha: float, beta: float):
+        self.nt, self.alpha, self.beta, self.vb = nt.astype(np.float64), alpha, beta, n_words * beta
+        mass = beta / (self.nt + self.vb)
+        self.mass = mass.sum()
+        (self.threshold,), (self.alias,) = alias_tables(mass[None, :])
 
 
-def sample_documents(s: Slice, ids, words, topics, seed: int, iteration: int, steps: int, infer: bool = False) -> tuple[list[np.ndarray], int]:
-    """New topics of documents and the number of accepted moves.
+class Rows:
+    """Model rows of some words, sorted by word: topics (sorted), counts, alias tables, masses."""
 
-    ``infer`` samples against a model that does not hold the documents: own tokens
-    are not excluded from its counts.
-    """
-    order = np.argsort([-len(w) for w in words], kind="stable")
-    size = np.array([len(words[i]) for i in order])
-    n, longest, k = len(order), int(size.max(initial=0)), len(s.nt)
-    w, z = np.zeros((n, longest), np.int64), np.zeros((n, longest), np.int64)
-    nd = np.zeros((n, k))
-    for r, i in enumerate(order):
-        w[r, : size[r]], z[r, : size[r]] = words[i], topics[i]
-        nd[r] = np.bincount(topics[i], minlength=k)
-    doc, moves, last = np.asarray(ids, np.int64)[order], 0, s.first + len(s.nw)
-    for r in range(longest):
-        live = np.arange(np.searchsorted(-size, -r, side="left"))
-        live = live[(w[live, r] >= s.first) & (w[live, r] < last)]
-        if not len(live):
-            continue
-        word, old, d = w[live, r] - s.first, z[live, r].copy(), doc[live]
-        cur = old.copy()
-        for step in range(steps):
-            u = [uniforms(seed, iteration, d, r, step * 8 + j) for j in range(7)]
-            col = np.minimum((u[0] * k).astype(np.int64), k - 1)
-            t = np.where(u[1] < s.threshold[word, col], col, s.alias[word, col])
-            cur = _accept(s, nd, live, word, old, cur, t, u[2], True, infer)
-            total = size[live]
-            pick = z[live, np.minimum((u[3] * total).astype(np.int64), total - 1)]
-            t = np.where(u[4] < total / (total + s.alpha * k), pick, np.minimum((u[5] * k).astype(np.int64), k - 1))
-            cur = _accept(s, nd, live, word, old, cur, t, u[6], False, infer)
-        np.add.at(nd, (live, old), -1)
-        np.add.at(nd, (live, cur), 1)
-        z[live, r] = cur
-        moves += int((cur != old).sum())
-    out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
-    for r, i in enumerate(order):
-        out[i] = z[r, : size[r]]
-    return out, moves
-
-
-def _accept(s, nd, live, word, old, cur, t, u, by_word, infer):
-    """Ratio of targets without the token itself, times the inverse ratio of proposals with it."""
-    ms, mt = (0, 0) if infer else ((cur == old).astype(float), (t == old).astype(float))
-    a, b, vb = s.alpha, s.beta, s.vb
-    own_s, own_t = ((cur == old), (t == old)) if not infer else (0, 0)
-    up = (nd[live, t] - own_t + a) * (s.nw[word, t] - mt + b) * (s.nt[cur] - ms + vb)
-    down = (nd[live, cur] - own_s + a) * (s.nw[word, cur] - ms + b) * (s.nt[t] - mt + vb)
-    if by_word:
-        up, down = up * (s.nw[word, cur] + b) * (s.nt[t] + vb), down * (s.nw[word, t] + b) * (s.nt[cur] + vb)
-    else:
-        up, down = up * (nd[live, cur] + a), down * (nd[live, t] + a)
-    return np.where(u * down < up, t, cur)
-
-
-def slices_of(model: DataFrame, summary: DataFrame, topics: int, n_words: int, alpha: float, beta: float, max_cells: int = MAX_CELLS) -> Iterator[Slice]:
-    """Model slices by word range; only one slice's counts are on the driver at a time."""
+    def __init__(self, words, start, topics, cnts, threshold, alias, mass, k: int):
+        self.words, self.start, self.topics, self.threshold, self.alias, self.k = words, start, topics, threshold, alias, k
+        self.mass = np.append(mass, 0.0)  # a word without a row has its last
+        self.size = np.append(np.diff(start), 0)
+        self.key = np.append(np.repeat(np.arange(len(words)), np.diff(start)) * k + topics, np.iinfo(np.int64).max)
+        self.cnt = np.append(cnts, 0).astype(np.float64)
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch], k: int) -> Rows:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        lists = [t.column(c).combine_chunks() for c in ("a", "b", "c", "d")]
+        size = np.diff(lists[0].offsets.to_numpy())
+        flat = [x.flatten().to_numpy() for x in lists]
+        return cls(t.column("id").to_numpy(), np.concatenate([[0], np.cumsum(size)]), flat[0].astype(np.int64), *flat[1:], t.column("mass").to_numpy(), k)
+
+    def place(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, at, -1)
+
+    def count(self, row: np.ndarray, topic: np.ndarray) -> np.ndarray:
+        wanted = row * self.k + topic
+        at = np.searchsorted(self.key, wanted)
+        return np.where((self.key[at] == wanted) & (row >= 0), self.cnt[at], 0.0)
+
+    def propose(self, s: Shared, row: np.ndarray, part: np.ndarray, col: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A topic by the word's own entries or by the shared part, each through its alias table."""
+        mass, size = self.mass[row], self.size[row]
+        own = part * (mass + s.mass) < mass
+        c = np.minimum((col * self.k).astype(np.int64), self.k - 1)
+        out = np.where(u < s.threshold[c], c, s.alias[c])
+        i = np.flatnonzero(own)
+        first = self.start[row[i]]
+        e = first + np.minimum((col[i] * size[i]).astype(np.int64), size[i] - 1)
+        out[i] = self.topics[np.where(u[i] < self.threshold[e], e, first + self.alias[e])]
+        return out
+
+
+class Batch:
+    """Documents whose tokens are sampled together; passes over the words come in order."""
+
+    def __init__(self, ids, words: list[np.ndarray], topics: list[np.ndarray], k: int):
+        self.order = np.argsort([-len(w) for w in words], kind="stable")
+        self.size = np.array([len(words[i]) for i in self.order], np.int64)
+        n, self.k = len(self.order), k
+        self.longest = int(self.size.max(initial=0))
+        self.w, self.z = np.full((n, self.longest), -1, np.int64), np.full((n, self.longest), -1, np.int64)
+        self.nd = np.zeros((n, k), np.int32) if n * k <= MAX_CELLS else None
+        for r, i in enumerate(self.order):
+            self.w[r, : self.size[r]], self.z[r, : self.size[r]] = words[i], topics[i]
+            if self.nd is not None:
+                self.nd[r] = np.bincount(topics[i], minlength=k)
+        self.doc = np.asarray(ids, np.int64)[self.order]
+        self.moves = np.zeros((n, 2), np.int64)
+
+    def count(self, live: np.ndarray, topic: np.ndarray) -> np.ndarray:
+        return self.nd[live, topic] if self.nd is not None else (self.z[live] == topic[:, None]).sum(1)
+
+    def sweep(self, s: Shared, rows: Rows, first: int, last: int, seed: int, iteration: int, steps: int, infer: bool = False) -> None:
+        """Sample the tokens of words from ``first`` to before ``last``.
+
+        ``infer`` samples against a model that does not hold the documents: own tokens
+        are not excluded from its counts.
+        """
+        for r in range(self.longest):
+            live = np.arange(np.searchsorted(-self.size, -r, side="left"))
+            live = live[(self.w[live, r] >= first) & (self.w[live, r] < last)]
+            if not len(live):
+                continue
+            row, old, d = rows.place(self.w[live, r]), self.z[live, r].copy(), self.doc[live]
+            cur, total = old.copy(), self.size[live]
+            for step in range(steps):
+                u = [uniforms(seed, iteration, d, r, step * 8 + j) for j in range(8)]
+                before = cur
+                t = rows.propose(s, row, u[0], u[1], u[2])
+                cur = self._accept(s, rows, live, row, old, cur, t, u[3], True, infer)
+                self.moves[live, 0] += cur != before
+                before = cur
+                pick = self.z[live, np.minimum((u[4] * total).astype(np.int64), total - 1)]
+                t = np.where(u[5] < total / (total + s.alpha * self.k), pick, np.minimum((u[6] * self.k).astype(np.int64), self.k - 1))
+                cur = self._accept(s, rows, live, row, old, cur, t, u[7], False, infer)
+                self.moves[live, 1] += cur != before
+            if self.nd is not None:
+                np.add.at(self.nd, (live, old), -1)
+                np.add.at(self.nd, (live, cur), 1)
+            self.z[live, r] = cur
+
+    def _accept(self, s, rows, live, row, old, cur, t, u, by_word, infer):
+        """Ratio of targets without the token itself, times the inverse ratio of proposals with it."""
+        own_s, own_t = (0, 0) if infer else ((cur == old).astype(float), (t == old).astype(float))
+        a, b, vb = s.alpha, s.beta, s.vb
+        nd_s, nd_t, nw_s, nw_t = self.count(live, cur), self.count(live, t), rows.count(row, cur), rows.count(row, t)
+        up = (nd_t - own_t + a) * (nw_t - own_t + b) * (s.nt[cur] - own_s + vb)
+        down = (nd_s - own_s + a) * (nw_s - own_s + b) * (s.nt[t] - own_t + vb)
+        if by_word:
+            up, down = up * (nw_s + b) * (s.nt[t] + vb), down * (nw_t + b) * (s.nt[cur] + vb)
+        else:
+            up, down = up * (nd_s + a), down * (nd_t + a)
+        return np.where(u * down < up, t, cur)
+
+    def topics(self) -> list[np.ndarray]:
+        out: list[np.ndarray] = [None] * len(self.order)  # type: ignore[list-item]
+        for r, i in enumerate(self.order):
+            out[i] = self.z[r, : self.size[r]]
+        return out
+
+    def accepted(self) -> np.ndarray:
+        """Accepted word and document proposals by document, in the order given."""
+        out = np.empty_like(self.moves)
+        out[self.order] = self.moves
+        return out
+
+
+def shared(summary: DataFrame, topics: int, n_words: int, alpha: float, beta: float) -> Shared:
     nt = np.zeros(topics, np.int64)
     for r in summary.collect():  # one row per topic
         nt[r["topic"]] = r["cnt"]
-    width = max(1, max_cells // topics)
-    for first in range(0, n_words, width):
-        n = min(width, n_words - first)
-        got = model.filter(F.col("word_id").between(first, first + n - 1)).select("word_id", "topic", "cnt").toArrow()
-        nw = np.zeros((n, topics), np.int32)
-        nw[got.column("word_id").to_numpy() - first, got.column("topic").to_numpy()] = got.column("cnt").to_numpy()
-        yield Slice(first, nw, nt, n_words, alpha, beta)
+    return Shared(nt, n_words, alpha, beta)
 
 
-def sample(docs: DataFrame, s: Slice, seed: int, iteration: int, steps: int, infer: bool = False) -> DataFrame:
-    """``doc_id, words, topics`` after a pass over the slice's words."""
-    raw = (s.first, s.nw, s.nt, s.vb, s.alpha, s.beta, s.threshold, s.alias)
-    sent = docs.sparkSession.sparkContext.broadcast(raw)  # at most MAX_CELLS cells
+def model_rows(model: DataFrame, nt: np.ndarray, vb: float) -> DataFrame:
+    """``word_id, topic, cnt`` -> a row per word with its alias table (``MODEL``), built where the word is."""
+    one = F.struct("topic", F.col("cnt").cast("int").alias("cnt"))
+    per = model.filter("cnt <> 0").groupBy("word_id").agg(F.sort_array(F.collect_list(one)).alias("e"))  # at most a row per topic
+    sent = model.sparkSession.sparkContext.broadcast(nt)  # one number per topic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Slice.__new__(Slice)
-        m.first, m.nw, m.nt, m.vb, m.alpha, m.beta, m.threshold, m.alias = sent.value
         for b in batches:
-            for lo in range(0, b.num_rows, DOCS):
-                p = b.slice(lo, DOCS)
-                words, topics = ([np.array(x or [], np.int64) for x in p.column(c).to_pylist()] for c in ("words", "topics"))
-                new, _ = sample_documents(m, p.column("doc_id").to_numpy(), words, topics, seed, iteration, steps, infer)
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("words"), pa.array(new, pa.list_(pa.int32()))], ["doc_id", "words", "topics"])
+            topics, cnts = b.column("topics"), b.column("cnts")
+            size = np.diff(topics.offsets.to_numpy())
+            start = np.concatenate([[0], np.cumsum(size)])
+            mass = cnts.flatten().to_numpy() / (sent.value[topics.flatten().to_numpy()] + vb)
+            threshold, alias = sparse_tables(mass, start)
+            at = pa.array(start, pa.int32())
+            total = np.add.reduceat(mass, start[:-1]) if len(mass) else np.zeros(0)
+            cols = [b.column("word_id"), topics, cnts, pa.ListArray.from_arrays(at, pa.array(threshold)), pa.ListArray.from_arrays(at, pa.array(alias, pa.int32())), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(cols, ["word_id", "topics", "cnts", "threshold", "alias", "mass"])
+
+    return per.select("word_id", F.col("e.topic").alias("topics"), F.col("e.cnt").alias("cnts")).mapInArrow(run, MODEL)
+
+
+def requests(docs: DataFrame) -> DataFrame:
+    """``block, word_id``: the words of each block of documents."""
+    return docs.select("block", F.explode(F.array_distinct("words")).alias("word_id")).distinct()
+
+
+def sample(docs: DataFrame, asked: DataFrame, rows: DataFrame, s: Shared, seed: int, iteration: int, steps: int, infer: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``doc_id, block, words, topics, by_word, by_doc`` after one pass over all tokens.
+
+    ``docs``: ``doc_id, block, words, topics``, words sorted; ``asked``: ``requests``;
+    ``rows``: ``model_rows``.  ``by_word`` and ``by_doc`` count accepted moves.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    held = docs.select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.col("words").alias("a"), F.col("topics").alias("b"), none("array<double>").alias("c"), none("array<int>").alias("d"), none("double").alias("mass"))
+    pulled = asked.join(rows, "word_id").select("block", F.lit(1).alias("kind"), F.col("word_id").cast("long").alias("id"), F.col("topics").alias("a"), F.col("cnts").alias("b"), F.col("threshold").alias("c"), F.col("alias").alias("d"), "mass")
+    sent = docs.sparkSession.sparkContext.broadcast(s)  # a few numbers per topic
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        k = len(m.nt)
+        parts: list[pa.RecordBatch] = []
+        entries, block, first, texts, groups = 0, None, 0, [], []
+
+        def flush(final: bool):
+            nonlocal entries, first
+            empty = np.zeros(0, np.int64)
+            got = Rows.of(parts, k) if parts else Rows(empty, np.zeros(1, np.int64), empty, empty, empty, empty, empty, k)
+            last = 1 << 62 if final else int(got.words[-1]) + 1
+            for g in groups:
+                g.sweep(m, got, first, last, seed, iteration, steps, infer)
+            parts.clear()
+            entries, first = 0, last
+
+        def load():
+            for b in texts:
+                flat = {c: (b.column(c).offsets.to_numpy(), b.column(c).flatten().to_numpy().astype(np.int64)) for c in ("a", "b")}
+                for lo in range(0, b.num_rows, DOCS):
+                    hi = min(lo + DOCS, b.num_rows)
+                    words, topics = ([v[o[i] - o[0] : o[i + 1] - o[0]] for i in range(lo, hi)] for o, v in (flat["a"], flat["b"]))
+                    groups.append(Batch(b.column("id").to_numpy()[lo:hi], words, topics, k))
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal block, first
+            if not groups:
+                load()
+            flush(True)
+            at = 0
+            for b in texts:
+                new, moved = [], []
+                while len(new) < b.num_rows:
+                    new += groups[at].topics()
+                    moved.append(groups[at].accepted())
+                    at += 1
+                by = np.concatenate(moved) if moved else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("block"), b.column("a"), pa.array(new, pa.list_(pa.int32())), pa.array(by[:, 0]), pa.array(by[:, 1])],
+                    ["doc_id", "block", "words", "topics", "by_word", "by_doc"],
+                )
+            texts.clear()
+            groups.clear()
+            block, first = None, 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edge = [0, *(np.flatnonzero((here[1:] != here[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if block is not None and here[lo] != block:
+                    yield from finish()
+                block, piece = here[lo], b.slice(lo, hi - lo)
+                if not kind[lo]:
+                    texts.append(piece)
+                    continue
+                if not groups:
+                    load()
+                parts.append(piece)
+                entries += len(piece.column("a").flatten())
+                if entries >= max_entries:
+                    flush(False)
+        if block is not None:
+            yield from finish()
 
-    return docs.select("doc_id", "words", "topics").mapInArrow(run, "doc_id long, words array<int>, topics array<int>")
+    x = held.unionByName(pulled).repartition("block").sortWithinPartitions("block", "kind", "id")
+    return x.mapInArrow(run, "doc_id long, block int, words array<int>, topics array<int>, by_word long, by_doc long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.mathx import log_gamma, log_gamma_of
@@ -31,16 +31,36 @@ def llh_normalizer(summary: DataFrame, topics: int, beta: float, n_words: int) -
     return x.select((F.lit(head) - F.coalesce("lg", F.lit(0.0)) - (topics - F.col("nnz")) * log_gamma_of(vb)).alias("normalizer"))
 
 
-def corpus_llh(tokens: DataFrame, topics: int, cfg, n_words: int, mode: str = "reference") -> dict[str, float]:
-    """Document and word log-likelihood of one state.
+def corpus_doc_llh(doc_counts: DataFrame, topics: int, a: float, blocks: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """``llh``: the sum over documents; with ``cap`` over the first of each block alone, an estimate for large blocks."""
+    x = doc_llh(doc_counts, topics, a)
+    if cap is not None:
+        first = blocks.withColumn("n", F.row_number().over(Window.partitionBy("block_id").orderBy("doc_id"))).filter(F.col("n") <= cap)
+        x = first.select("doc_id").join(x, "doc_id")
+    return x.select(F.coalesce(F.sum("llh"), F.lit(0.0)).alias("llh"))
+
+
+def corpus_word_llh(model: DataFrame, summary: DataFrame, topics: int, beta: float, n_words: int, mode: str = "reference") -> DataFrame:
+    """``llh``: words and normaliser.  ``mode`` reference skips words without tokens; exact adds their constant."""
+    x = word_llh(model, topics, beta).agg(F.coalesce(F.sum("llh"), F.lit(0.0)).alias("llh"), F.count("*").alias("n"))
+    absent = (n_words - F.col("n")) * F.lit(topics * log_gamma_of(beta)) if mode == "exact" else F.lit(0.0)
+    norm = llh_normalizer(summary, topics, beta, n_words)
+    return x.crossJoin(F.broadcast(norm)).select((F.col("llh") + absent + F.col("normalizer")).alias("llh"))  # a row each
+
 
-    ``mode`` reference skips words without tokens; exact adds their constant.
-    """
+def corpus_llh(tokens: DataFrame, topics: int, cfg, n_words: int, mode: str = "reference") -> dict[str, float]:
+    """Document and word log-likelihood of one state."""
     from topicloom.operators import counts as C
 
-    model = C.word_topic(tokens)
-    doc = doc_llh(C.doc_topic(tokens), topics, cfg.ll_alpha).agg(F.sum("llh")).first()[0] or 0.0
-    total, n = word_llh(model, topics, cfg.beta).agg(F.sum("llh"), F.count("*")).first()
-    norm = llh_normalizer(C.topic_summary(tokens), topics, cfg.beta, n_words).first()[0]
-    absent = (n_words - n) * topics * log_gamma_of(cfg.beta) if mode == "exact" else 0.0
-    return {"doc": doc, "word": (total or 0.0) + absent + norm}
+    doc = corpus_doc_llh(C.doc_topic(tokens), topics, cfg.ll_alpha).first()[0]
+    word = corpus_word_llh(C.word_topic(tokens), C.topic_summary(tokens), topics, cfg.beta, n_words, mode).first()[0]
+    return {"doc": doc, "word": word}
+
+
+def acceptance_counters(accepted: DataFrame) -> DataFrame:
+    """``n_tokens, n_changes, n_certain, expected``: proposals, those that change the topic, those sure to be taken, and how many are taken in expectation."""
+    change = F.col("topic") != F.col("new_topic")
+    return accepted.agg(
+        F.count("*").alias("n_tokens"), F.count(F.when(change, 1)).alias("n_changes"),
+        F.count(F.when(change & (F.col("accept") >= 1), 1)).alias("n_certain"), F.coalesce(F.sum(F.when(change, F.col("accept"))), F.lit(0.0)).alias("expected"),
+    )

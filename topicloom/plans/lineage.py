@@ -4,21 +4,37 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own only on a local master."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if current.isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = named or tempfile.mkdtemp(prefix="topicloom-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named or current.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder; a folder of its own only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="topicloom-"))
+    """Reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def forget(done: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` returned; nothing read later may rest on it."""
+    spark = done.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(done._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lookup(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A side to join with: broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= most else df

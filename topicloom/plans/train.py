@@ -1,26 +1,28 @@
-"""Training by bulk-synchronous iterations, warm start, and fold-in inference."""
+"""Training by bulk-synchronous iterations, warm start from memory or disk, and fold-in inference."""
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.config import Config, due
 from topicloom.operators import corpus as P
 from topicloom.operators import counts as C
 from topicloom.operators import report, sampler, stats
-from topicloom.plans.lineage import cut
+from topicloom.plans.lineage import cut, forget
 
 
-def pack(tokens: DataFrame) -> DataFrame:
-    """Token rows -> ``doc_id, words, topics`` arrays, tokens by word id."""
+def pack(tokens: DataFrame, blocks: int = 1) -> DataFrame:
+    """Token rows -> ``doc_id, block, words, topics``, tokens by word id; rows with a null id are left out."""
     one = F.struct("word_id", "pos", "topic")
-    x = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("t"))  # a document's tokens are capped
-    return x.select("doc_id", F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"))
+    x = tokens.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("t"))  # a document's tokens are capped
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    return x.select("doc_id", block, F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"))
 
 
 def unpack(docs: DataFrame) -> DataFrame:
@@ -28,6 +30,26 @@ def unpack(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pairs).alias("t")).select("doc_id", F.col("t.words").alias("word_id"), F.col("t.topics").alias("topic"))
 
 
+def blocks_of(docs: DataFrame) -> int:
+    """Blocks of about ``sampler.BLOCK`` documents."""
+    return max(1, -(-docs.count() // sampler.BLOCK))
+
+
+@dataclass
+class Frozen:
+    """A model's rows and shared part; ``rows`` is cut."""
+
+    rows: DataFrame
+    shared: sampler.Shared
+    tokens: int
+
+
+def freeze(docs: DataFrame, cfg: Config, n_words: int) -> Frozen:
+    tokens = unpack(docs)
+    s = sampler.shared(C.topic_summary(tokens), cfg.topics, n_words, cfg.alpha, cfg.beta)
+    return Frozen(cut(sampler.model_rows(C.word_topic(tokens), s.nt, s.vb)), s, int(s.nt.sum()))
+
+
 @dataclass
 class Model:
     cfg: Config
@@ -35,6 +57,8 @@ class Model:
     docs: DataFrame
     n_words: int
     metrics: list[dict]
+    done: int = 0
+    _frozen: Frozen | None = field(default=None, repr=False)
 
     def word_topic(self) -> DataFrame:
         return C.word_topic(unpack(self.docs))
@@ -45,45 +69,72 @@ class Model:
     def log_likelihood(self, mode: str = "reference") -> dict[str, float]:
         return stats.corpus_llh(unpack(self.docs), self.cfg.topics, self.cfg, self.n_words, mode)
 
+    def frozen(self) -> Frozen:
+        """Rows of the model, counted once however often it is asked."""
+        if self._frozen is None:
+            self._frozen = freeze(self.docs, self.cfg, self.n_words)
+        return self._frozen
+
     def transform(self, docs: DataFrame, iterations: int = 10) -> DataFrame:
         """``doc_id, topic, cnt`` of other documents against the frozen model."""
-        enc = P.encode(P.tokenize(docs), self.ids, self.cfg.max_tokens)
-        x = pack(C.init_topics(enc, self.cfg.topics, self.cfg.seed))
-        tokens = unpack(self.docs)
-        x = _sweeps(x, C.word_topic(tokens), C.topic_summary(tokens), self.cfg, self.n_words, range(iterations), infer=True)
+        enc = cut(P.encode(docs, self.ids, self.cfg.max_tokens))
+        blocks = blocks_of(enc.select("doc_id").distinct())
+        x = cut(pack(C.init_topics(enc, self.cfg.topics, self.cfg.seed), blocks))
+        asked, m = cut(sampler.requests(x)), self.frozen()
+        for it in range(iterations):
+            new = cut(sampler.sample(x, asked, m.rows, m.shared, self.cfg.seed, it, self.cfg.mh_steps, infer=True))
+            forget(x)
+            x = new
+        forget(asked)
         return C.doc_topic(unpack(x))
 
+    def save(self, path: str) -> None:
+        """Vocabulary, documents with their topics, and state, each under a new path."""
+        spark = self.docs.sparkSession
+        self.ids.write.mode("errorifexists").parquet(f"{path}/ids")
+        self.docs.select("doc_id", "block", "words", "topics").write.mode("errorifexists").parquet(f"{path}/docs")
+        state = json.dumps({"cfg": asdict(self.cfg), "n_words": self.n_words, "done": self.done, "metrics": self.metrics})
+        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/state")  # last: what has a state is whole
 
-def _sweeps(docs, model, summary, cfg, n_words, iterations, infer=False):
-    for it in iterations:
-        for s in sampler.slices_of(model, summary, cfg.topics, n_words, cfg.alpha, cfg.beta):
-            docs = cut(sampler.sample(docs, s, cfg.seed, it, cfg.mh_steps, infer))
-    return docs
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        state = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        ids, docs = (cut(spark.read.parquet(f"{path}/{n}")) for n in ("ids", "docs"))
+        return cls(Config(**state["cfg"]), ids, docs, state["n_words"], state["metrics"], state["done"])
 
 
-def fit(corpus: DataFrame, cfg: Config, resume: Model | None = None, on_dump: Callable[[int, DataFrame], None] | None = None) -> Model:
-    """Train on ``doc_id, text``; ``resume`` keeps the topics of an earlier model.
+def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_dump: Callable[[int, DataFrame], None] | None = None) -> Model:
+    """Train on ``doc_id, text``; ``resume`` goes on from an earlier model and equals an unbroken run.
 
     An iteration samples every document against the counts of the last one and
     counts anew.  Each is checkpointed, so lineage stays short and a lost executor
-    costs one iteration's tasks at most.
+    costs one iteration's tasks at most; the state before the last is removed.
+    Documents of a block are sampled together with the model rows of its words.
     """
     if resume is not None:
-        ids, docs, n_words = resume.ids, resume.docs, resume.n_words
+        ids, docs, n_words, done, metrics = resume.ids, resume.docs, resume.n_words, resume.done, list(resume.metrics)
     else:
         ids, enc = P.prepare(corpus, cfg)
-        docs, n_words = cut(pack(C.init_topics(enc, cfg.topics, cfg.seed))), ids.count()
-    metrics = []
-    for it in range(cfg.iterations):
+        blocks = blocks_of(enc.select("doc_id").distinct())
+        docs, n_words, done, metrics = cut(pack(C.init_topics(enc, cfg.topics, cfg.seed), blocks)), ids.count(), 0, []
+        forget(enc)
+    asked, own = cut(sampler.requests(docs)), resume is None
+    for it in range(done, done + cfg.iterations):
         began = time.monotonic()
-        tokens = unpack(docs)
-        model, summary = cut(C.word_topic(tokens)), cut(C.topic_summary(tokens))
-        docs = _sweeps(docs, model, summary, cfg, n_words, [it])
-        row = {"iteration": it, "seconds": time.monotonic() - began, "tokens": summary.agg(F.sum("cnt")).first()[0] or 0}
-        row["tokens_per_s"] = row["tokens"] / row["seconds"]
+        m = freeze(docs, cfg, n_words)
+        new = cut(sampler.sample(docs, asked, m.rows, m.shared, cfg.seed, it, cfg.mh_steps))
+        forget(m.rows)
+        if own:
+            forget(docs)
+        docs, own = new, True
+        by_word, by_doc = docs.agg(F.sum("by_word"), F.sum("by_doc")).first()
+        row = {"iteration": it, "seconds": time.monotonic() - began, "tokens": m.tokens}
+        proposed = max(1, m.tokens * cfg.mh_steps)
+        row |= {"tokens_per_s": row["tokens"] / row["seconds"], "accepted_word": (by_word or 0) / proposed, "accepted_doc": (by_doc or 0) / proposed}
         if due(it, cfg.llh_every):
             row |= stats.corpus_llh(unpack(docs), cfg.topics, cfg, n_words)
         metrics.append(row)
         if on_dump and due(it, cfg.dump_every):
             on_dump(it, C.word_topic(unpack(docs)))
-    return Model(cfg, ids, docs, n_words, metrics)
+    forget(asked)
+    return Model(cfg, ids, docs, n_words, metrics, done + cfg.iterations)

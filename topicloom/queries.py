@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,12 @@ from topicloom.functions import mathx as M
 from topicloom.functions import text as T
 from topicloom.operators import corpus as P
 from topicloom.operators import counts as C
-from topicloom.operators import planning, proposals, report, stats
+from topicloom.operators import planning, proposals, report, sampler, stats
 
 CFG = Config()
 CAPS = (40_000, 40_000, 40_000)
+#: Words of a topic that the report shows, and documents of a block that the capped likelihood takes.
+TOP, LLH_CAP = 20, 100
 
 
 class State:
@@ -32,11 +34,8 @@ class State:
             made[name] = getattr(self, f"_{name}")()
         return made[name]
 
-    def _tokens(self):
-        return P.tokenize(self.docs)
-
     def _tf(self):
-        return P.term_frequency(self.tokens)
+        return P.term_frequency(self.docs)
 
     def _vocab(self):
         return P.vocabulary(P.drop_stop_words(self.tf), self.cfg.min_count)
@@ -48,7 +47,7 @@ class State:
         return self.ids.count()
 
     def _encoded(self):
-        return P.encode(self.tokens, self.ids, self.cfg.max_tokens)
+        return P.encode(self.docs, self.ids, self.cfg.max_tokens)
 
     def _blocks(self):
         return P.doc_blocks(self.docs, self.cfg.block_size)
@@ -79,27 +78,53 @@ def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def _acceptance(kind: str, s: State) -> DataFrame:
+    return proposals.acceptance(s.moved, s.model, s.summary, s.doc_counts, s.n_words, s.cfg.alpha, s.cfg.beta, kind)
+
+
 def _accept(kind: str, s: State) -> DataFrame:
-    got = proposals.acceptance(s.moved, s.model, s.summary, s.doc_counts, s.n_words, s.cfg.alpha, s.cfg.beta, kind)
-    return _rounded(got, 6, "accept").select("doc_id", "pos", "new_topic", "accept")
+    return _rounded(_acceptance(kind, s), 6, "accept").select("doc_id", "pos", "new_topic", "accept")
+
+
+def _drawn(s: State) -> DataFrame:
+    """``word_id, topic, prob``: what the alias tables of the words' own entries draw."""
+    shared = sampler.shared(s.summary, s.cfg.topics, s.n_words, s.cfg.alpha, s.cfg.beta)
+    rows = sampler.model_rows(s.model, shared.nt, shared.vb)
+    n = F.size("topics")
+    at = rows.select("word_id", "topics", "threshold", "alias", F.posexplode("topics").alias("i", "topic"), n.alias("n"))
+    stays = at.select("word_id", "topic", (F.element_at("threshold", F.col("i") + 1) / F.col("n")).alias("prob"))
+    goes = at.select("word_id", F.element_at("topics", F.element_at("alias", F.col("i") + 1) + 1).alias("topic"), ((1 - F.element_at("threshold", F.col("i") + 1)) / F.col("n")).alias("prob"))
+    return stays.unionByName(goes).groupBy("word_id", "topic").agg(F.sum("prob").alias("prob"))
+
+
+def _corpus_llh(s: State) -> DataFrame:
+    """``part, llh``: documents, those under the cap, words, and words with those that have no token."""
+    k, a, b = s.cfg.topics, s.cfg.ll_alpha, s.cfg.beta
+    parts = {
+        "doc": stats.corpus_doc_llh(s.doc_counts, k, a), "doc_capped": stats.corpus_doc_llh(s.doc_counts, k, a, s.blocks, LLH_CAP),
+        "word": stats.corpus_word_llh(s.model, s.summary, k, b, s.n_words), "word_exact": stats.corpus_word_llh(s.model, s.summary, k, b, s.n_words, "exact"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("part"), "llh") for name, df in parts.items()])
 
 
 BUILD = {
-    "tokenize": lambda s: s.tokens,
+    "tokenize": lambda s: P.tokenize(s.docs),
     "tf_df": lambda s: s.tf,
     "stopword_anti": lambda s: P.drop_stop_words(s.tf),
     "vocab": lambda s: s.vocab,
     "word_ids": lambda s: s.ids,
     "doc_tokens_512": lambda s: s.encoded,
-    "docs_left_tokens": lambda s: P.documents_with_tokens(s.docs, s.encoded).select("doc_id", "n_tokens"),
+    "docs_left_tokens": lambda s: P.documents_with_tokens(s.docs, s.encoded).select("doc_id", "n_tokens", F.array_join("words", " ").alias("words")),
     "doc_blocks": lambda s: s.blocks,
     "block_vocab": lambda s: s.block_vocab,
     "block_stats": lambda s: P.block_stats(s.encoded, s.blocks),
     "dict_meta": lambda s: planning.dict_meta(s.ids, s.cfg.topics, s.cfg.load_factor, s.cfg.clients),
     "dict_meta_by_client": lambda s: planning.dict_meta_by_client(s.ids, s.cfg.topics, s.cfg.load_factor, s.cfg.clients),
     "slice_meta": lambda s: s.slices,
-    "slice_semi_join": lambda s: planning.slice_rows(s.model, s.slices.filter("block_id = 0 AND slice_id = 0")),
+    "slice_semi_join": lambda s: planning.slice_rows(s.model, s.slices),
     "slice_requests": lambda s: planning.slice_requests(s.model, s.slices),
+    "slice_index": lambda s: planning.slice_index(s.slices),
+    "alias_capacity": lambda s: planning.alias_capacity(s.model, s.ids, s.cfg.topics),
     "init_topics": lambda s: s.init,
     "doc_topic": lambda s: s.doc_counts,
     "word_topic": lambda s: s.model,
@@ -107,13 +132,19 @@ BUILD = {
     "deltas": lambda s: C.deltas(s.moved),
     "delta_agg": lambda s: C.sum_deltas(C.deltas(s.moved)),
     "delta_apply": lambda s: C.apply_deltas(s.model, C.sum_deltas(C.deltas(s.moved))),
+    "summary_apply": lambda s: C.apply_summary_deltas(s.summary, C.sum_summary_deltas(C.deltas(s.moved))),
+    "alias_table": lambda s: _rounded(_drawn(s), 9, "prob"),
     "word_proposal": lambda s: _rounded(proposals.word_proposal(s.ids, s.model, s.summary, s.cfg.topics, s.cfg.beta, s.n_words), 9, "mass", "prob"),
     "doc_proposal": lambda s: _rounded(proposals.doc_proposal(s.docs, s.doc_counts, s.cfg.topics, s.cfg.alpha), 9, "prob"),
     "mh_word_accept": partial(_accept, "word"),
     "mh_doc_accept": partial(_accept, "doc"),
+    "accept_counters": lambda s: _rounded(stats.acceptance_counters(_acceptance("word", s)), 2, "expected"),
     "doc_llh": lambda s: _rounded(stats.doc_llh(s.doc_counts, s.cfg.topics, s.cfg.ll_alpha), 3, "llh"),
     "word_llh": lambda s: _rounded(stats.word_llh(s.model, s.cfg.topics, s.cfg.beta), 3, "llh"),
     "llh_normalizer": lambda s: _rounded(stats.llh_normalizer(s.summary, s.cfg.topics, s.cfg.beta, s.n_words), 2, "normalizer"),
+    "corpus_llh": lambda s: _rounded(_corpus_llh(s), 1, "llh"),
+    "topic_report": lambda s: report.topic_report(report.topic_words(s.model, s.ids, TOP)),
+    "dump_summary": lambda s: report.dump_summary(s.summary),
     "topic_words": lambda s: report.topic_words(s.model, s.ids).select("topic", "rank", "word", "cnt"),
     "topic_word_prob": lambda s: _rounded(report.topic_words(s.model, s.ids).select("topic", "word", "prob"), 9, "prob"),
     "dump_text": lambda s: report.dump_text(s.model),
@@ -140,6 +171,23 @@ def train_step_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack(m.docs).groupBy("word_id").agg(F.count("*").alias("n_tokens"))
 
 
+def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every word and topic after one iteration (no SQL: sampling)."""
+    from topicloom.plans.train import fit
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fit(docs, replace(CFG, iterations=1)).word_topic()
+
+
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each iteration, whether their rate was measured, and whether moves were accepted."""
+    from topicloom.plans.train import fit
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(m["iteration"], m["tokens"], m["tokens_per_s"] > 0, 0 < m["accepted_word"] < 1 and 0 < m["accepted_doc"] < 1) for m in fit(docs, replace(CFG, iterations=2)).metrics]
+    return spark.createDataFrame(rows, "iteration int, tokens long, timed boolean, moves boolean")
+
+
 def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the benchmark passages against a trained model."""
     from topicloom.plans.train import fit
@@ -149,7 +197,7 @@ def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(docs, replace(CFG, iterations=2)).transform(items, 2)
 
 
-QUERIES |= {"train": train, "train_step_conservation": train_step_conservation, "infer": infer}
+QUERIES |= {f.__name__: f for f in (train, train_step, train_step_conservation, throughput, infer)}
 
 
 def _llg(x: str) -> str:
@@ -211,6 +259,15 @@ def oracles(c: Config = CFG) -> dict[str, str]:
     )
     acc = acc.replace(f"{a})", f"CAST({a} AS DOUBLE))").replace(f"{b})", f"CAST({b} AS DOUBLE))")
     wp = f"SELECT i.word_id, k.topic, (coalesce(n.cnt, 0) + CAST({b} AS DOUBLE)) / (coalesce(t.cnt, 0) + v * CAST({b} AS DOUBLE)) AS mass FROM ids i CROSS JOIN ks k CROSS JOIN nv LEFT JOIN ntw n ON n.word_id = i.word_id AND n.topic = k.topic LEFT JOIN nt t ON t.topic = k.topic"
+    dl = f"SELECT doc_id, {e(k * c.ll_alpha) - k * e(c.ll_alpha)!r} + {d} * ({e(c.ll_alpha)!r}) - {_llg(f'nd + {k * c.ll_alpha!r}::DOUBLE')} AS llh FROM (SELECT doc_id, sum({_llg(f'cnt + {c.ll_alpha}::DOUBLE')}) AS lg, count(*) AS nnz, sum(cnt) AS nd FROM ntd GROUP BY doc_id)"
+    wl = f"SELECT word_id, {d} * ({e(b)!r}) AS llh FROM (SELECT word_id, sum({_llg(f'cnt + {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM ntw GROUP BY word_id)"
+    nl = f"SELECT {k} * (lv - v * ({e(b)!r})) - lg - ({k} - nnz) * lv AS normalizer FROM (SELECT any_value(v) AS v, any_value({_llg(f'v * {b}::DOUBLE')}) AS lv, sum({_llg(f'cnt + v * {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM nt CROSS JOIN nv)"
+    corpus = (
+        f"SELECT part, round(llh, 1) AS llh FROM (SELECT 'doc' AS part, sum(llh) AS llh FROM ({dl}) UNION ALL "
+        f"SELECT 'doc_capped', sum(llh) FROM ({dl}) WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY block_id ORDER BY doc_id) AS n FROM blocks) WHERE n <= {LLH_CAP}) UNION ALL "
+        f"SELECT 'word', (SELECT sum(llh) FROM ({wl})) + (SELECT normalizer FROM ({nl})) UNION ALL "
+        f"SELECT 'word_exact', (SELECT sum(llh) FROM ({wl})) + (SELECT normalizer FROM ({nl})) + ((SELECT v FROM nv) - (SELECT count(*) FROM ({wl}))) * {k} * ({e(b)!r}))"
+    )
     ends = {
         "tokenize": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM tokens",
         "tf_df": "SELECT * FROM tfdf",
@@ -218,14 +275,14 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "vocab": "SELECT * FROM voc",
         "word_ids": "SELECT * FROM ids",
         "doc_tokens_512": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, word_id FROM enc",
-        "docs_left_tokens": "SELECT d.doc_id, CAST(count(e.word_id) AS INTEGER) AS n_tokens FROM documents d LEFT JOIN enc e USING (doc_id) GROUP BY d.doc_id",
+        "docs_left_tokens": "SELECT d.doc_id, CAST(count(e.word_id) AS INTEGER) AS n_tokens, coalesce(string_agg(e.word_id, ' ' ORDER BY e.word_id), '') AS words FROM documents d LEFT JOIN enc e USING (doc_id) GROUP BY d.doc_id",
         "doc_blocks": "SELECT * FROM blocks",
         "block_vocab": "SELECT * FROM bv",
         "block_stats": "SELECT block_id, count(DISTINCT b.doc_id) AS n_docs, count(e.word_id) AS n_tokens, count(DISTINCT e.word_id) AS n_words FROM blocks b LEFT JOIN enc e USING (doc_id) GROUP BY block_id",
         "dict_meta": f"SELECT client_id, word_id, CAST(sum(size) OVER w - size AS BIGINT) AS \"offset\", CAST(sum(size) OVER w AS BIGINT) AS end_offset, capacity, is_dense FROM (SELECT CAST(word_id % {c.clients} AS INTEGER) AS client_id, word_id, CAST({dense} AS INTEGER) AS is_dense, {cap} AS capacity, {size} AS size FROM ids) WINDOW w AS (PARTITION BY client_id ORDER BY word_id)",
         "dict_meta_by_client": f"SELECT CAST(word_id % {c.clients} AS INTEGER) AS client_id, count(*) AS n_words, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum({size}) AS BIGINT) AS memory FROM ids GROUP BY 1",
         "slice_meta": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id FROM sl",
-        "slice_semi_join": "SELECT * FROM ntw WHERE word_id IN (SELECT word_id FROM sl WHERE block_id = 0 AND slice_id = 0)",
+        "slice_semi_join": "SELECT * FROM ntw WHERE word_id IN (SELECT word_id FROM sl)",
         "slice_requests": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id, topic, cnt FROM sl JOIN ntw USING (word_id)",
         "init_topics": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, word_id, topic FROM init",
         "doc_topic": "SELECT * FROM ntd",
@@ -238,6 +295,17 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "doc_proposal": f"SELECT n.doc_id, k.topic, round((coalesce(c.cnt, 0) + CAST({a} AS DOUBLE)) / (nd + CAST({a} AS DOUBLE) * {k}), 9) AS prob FROM (SELECT doc_id, sum(cnt) AS nd FROM ntd GROUP BY doc_id) n CROSS JOIN ks k LEFT JOIN ntd c ON c.doc_id = n.doc_id AND c.topic = k.topic",
         "mh_word_accept": acc % (f"(ws + CAST({b} AS DOUBLE)) * (nt_ + vb)", f"(wt + CAST({b} AS DOUBLE)) * (ns + vb)"),
         "mh_doc_accept": acc % (f"(ds + CAST({a} AS DOUBLE))", f"(dt + CAST({a} AS DOUBLE))"),
+        "slice_index": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id, CAST(row_number() OVER (PARTITION BY block_id, slice_id ORDER BY word_id) - 1 AS INTEGER) AS index FROM sl",
+        "alias_capacity": f"SELECT word_id, CASE WHEN tf >= {2 * k // 3} THEN {k}::BIGINT ELSE tf END AS planned, CASE WHEN tf >= {2 * k // 3} THEN {k}::BIGINT ELSE coalesce(nnz, 0) END AS refined FROM ids LEFT JOIN (SELECT word_id, count(*) AS nnz FROM ntw GROUP BY word_id) USING (word_id)",
+        "summary_apply": "SELECT new_topic AS topic, count(*) AS cnt FROM moved GROUP BY new_topic",
+        "alias_table": f"SELECT word_id, topic, round(mass / sum(mass) OVER (PARTITION BY word_id), 9) AS prob FROM (SELECT word_id, topic, n.cnt / (t.cnt + v * CAST({b} AS DOUBLE)) AS mass FROM ntw n JOIN nt t USING (topic) CROSS JOIN nv)",
+        "accept_counters": "SELECT count(*) AS n_tokens, count(*) FILTER (topic <> new_topic) AS n_changes, count(*) FILTER (topic <> new_topic AND accept >= 1) AS n_certain, round(sum(accept) FILTER (topic <> new_topic), 2) AS expected FROM ("
+        + (acc % (f"(ws + CAST({b} AS DOUBLE)) * (nt_ + vb)", f"(wt + CAST({b} AS DOUBLE)) * (ns + vb)")).replace("round(least(1.0, up / down), 6) AS accept", "topic, least(1.0, up / down) AS accept").replace("FROM (SELECT doc_id, pos, new_topic, ", "FROM (SELECT doc_id, pos, topic, new_topic, ").replace("SELECT m.doc_id, m.pos, m.new_topic, ", "SELECT m.doc_id, m.pos, m.topic, m.new_topic, ")
+        + ")",
+        "corpus_llh": corpus,
+        "topic_report": f"SELECT topic || chr(9) || string_agg(word || ':' || printf('%.6f', prob), ' ' ORDER BY rank) AS line FROM rep WHERE rank <= {TOP} GROUP BY topic",
+        "dump_summary": "SELECT string_agg(topic || ':' || cnt, ' ' ORDER BY topic) AS line FROM nt",
+        "throughput": "SELECT CAST(i AS INTEGER) AS iteration, (SELECT count(*) FROM enc) AS tokens, true AS timed, true AS moves FROM range(2) t(i)",
         "doc_llh": f"SELECT doc_id, round({e(k * c.ll_alpha) - k * e(c.ll_alpha)!r} + {d} * ({e(c.ll_alpha)!r}) - {_llg(f'nd + {k * c.ll_alpha!r}::DOUBLE')}, 3) AS llh FROM (SELECT doc_id, sum({_llg(f'cnt + {c.ll_alpha}::DOUBLE')}) AS lg, count(*) AS nnz, sum(cnt) AS nd FROM ntd GROUP BY doc_id)",
         "word_llh": f"SELECT word_id, round({d} * ({e(b)!r}), 3) AS llh FROM (SELECT word_id, sum({_llg(f'cnt + {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM ntw GROUP BY word_id)",
         "llh_normalizer": f"SELECT round({k} * (lv - v * ({e(b)!r})) - lg - ({k} - nnz) * lv, 2) AS normalizer FROM (SELECT any_value(v) AS v, any_value({_llg(f'v * {b}::DOUBLE')}) AS lv, sum({_llg(f'cnt + v * {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM nt CROSS JOIN nv)",

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``doc_id, path, text``: one document per regular file, not recursive; ids by hash of the path."""
-    x = spark.read.option("recursiveFileLookup", "false").text(path, wholetext=True)
-    x = x.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return x.select(F.xxhash64("path").alias("doc_id"), "path", "text")
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, path, text``: one document per regular file, empty ones too, not recursive; ids by hash of the path.
+
+    Spark reads no files without bytes, so these are listed; names that start with a dot
+    or an underscore are no documents.
+    """
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    bare = [(f.getPath().toString(), "") for f in listed if f.isFile() and not f.getLen() and f.getPath().getName()[0] not in "._"]
+    both = x.unionByName(spark.createDataFrame(bare, "path string, text string"))
+    return both.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +44,28 @@ def read_block(spark: SparkSession, path: str, block_id: int | None = None) -> D
     return x if block_id is None else x.filter(F.col("block_id") == block_id)
 
 
+def write_block_vocab(vocab: DataFrame, path: str) -> None:
+    """Vocabulary by block: a table for reading back under ``table``, lines to look at under ``text``."""
+    x = vocab.select("block_id", "word_id", "global_tf", "local_tf").repartition("block_id").sortWithinPartitions("block_id", "word_id")
+    x.write.mode("errorifexists").partitionBy("block_id").parquet(f"{path}/table")
+    x.select("block_id", F.concat_ws(" ", "word_id", "global_tf", "local_tf").alias("line")).write.mode("errorifexists").partitionBy("block_id").text(f"{path}/text")
+
+
+def read_block_vocab(spark: SparkSession, path: str, block_id: int | None = None) -> DataFrame:
+    x = spark.read.parquet(f"{path}/table")
+    return x if block_id is None else x.filter(F.col("block_id") == block_id)
+
+
+def write_dict_meta(meta: DataFrame, path: str) -> None:
+    """Layouts by client, rows by word."""
+    meta.repartition("client_id").sortWithinPartitions("client_id", "word_id").write.mode("errorifexists").partitionBy("client_id").parquet(path)
+
+
+def read_dict_meta(spark: SparkSession, path: str, client_id: int | None = None) -> DataFrame:
+    x = spark.read.parquet(path)
+    return x if client_id is None else x.filter(F.col("client_id") == client_id)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("errorifexists").text(path)
 

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from topicloom.plans.train import Model
 
 
-def infer_stream(docs: DataFrame, model: Model, path: str, checkpoint: str, iterations: int = 5):
-    """Start a query that writes ``doc_id, topic, cnt`` of each batch under ``path``; a replayed batch overwrites itself."""
+def infer_stream(docs: DataFrame, model: Model, path: str, checkpoint: str, iterations: int = 5, trigger: dict | None = None) -> StreamingQuery:
+    """Start a query that writes ``doc_id, topic, cnt`` of each batch under ``path``.
+
+    The model's rows are counted once, before the first batch; a replayed batch
+    overwrites itself; batches without documents write nothing.  ``trigger`` is handed to Spark.
+    """
+    model.frozen()
 
     def write(batch: DataFrame, number: int) -> None:
-        model.transform(batch, iterations).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if not batch.isEmpty():
+            model.transform(batch, iterations).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
