@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm import langid, minhash, mixing, packing
-from topicloom.llm.common import scratch_path, table
+from topicloom.llm.common import passing, scratch_path, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text is in a learned language; those without a letter go."""
+    """Documents whose text has a letter, so that a learned language can be told; the others go."""
     return langid.accept(docs)
 
 
@@ -40,7 +40,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL expresses none of the stages; the tests hold them against brute-force versions.
+#: SQL expresses none of the stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -49,6 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

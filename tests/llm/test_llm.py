@@ -240,6 +240,19 @@ def test_url_rules_and_list(spark):
     assert url_filter.judge(empty(pages), empty(listed)).count() == 0
 
 
+def test_chat_odd(spark):
+    """Repeated rows, columns whose names clash, very long texts, a conversation that holds most turns."""
+    long = "<s>\\é" * 30_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), *((2, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(60))]
+    df = spark.createDataFrame([(*r, "shown", 1) for r in rows], "conv_id long, turn long, role string, text string, shown string, n_turns int")
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    for c in (1, 2):
+        own = [r for r in rows if r[0] == c]
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_urls_against_brute_force(spark, monkeypatch, most):
     """Filter broadcast or shuffled, so full that it passes pages that are not listed; one URL is very common."""
@@ -510,18 +523,71 @@ def test_components(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage against a brute-force version on its own input."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "en", "s") for i in range(30)] + [(50, " ".join(f"w1x{j}" for j in range(20)), "en", "s"), (60, "123", "en", "s")]
-    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in got.collect()} <= set(range(30)) and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(int(rng.integers(1, 60)) * 20)), "en", "abc"[i % 3]) for i in range(40)]
+    rows += [(100 + i, rows[i][1].upper(), None, "z") for i in range(0, 40, 4)] + [(200, rows[1][1] + " more", "en", None)]
+    rows += [(50, "123 ... !", "en", "a"), (51, None, "en", "a"), (52, "", None, None), (53, "é", "fr", None), (53, "é", "fr", None)]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "mix_sources", "best_fit_packing"]
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
         assert docs.columns == df.columns
-    assert F.col("x") is not None
+        seen[name] = Counter(map(tuple, docs.collect()))
+        assert set(seen[name]) <= set(map(tuple, before.collect()))
+    lettered = Counter((*r, len(r[1] or "")) for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert seen["language_id"] == lettered
+    left = {r[0] for r in seen["minhash_near_dedup"]}
+    assert left == {*range(40), 53} and set(seen["minhash_near_dedup"].values()) == {1}  # of the two rows of 53 one
+    size = {r[0]: len(r[1].split()) for r in seen["minhash_near_dedup"]}
+    assert all(n <= 2 for n in seen["mix_sources"].values())
+    by = {s: sum(size[r[0]] for r in seen["minhash_near_dedup"] if r[3] == s) for s in ("a", "b", "c", None)}
+    weight, total = dict(zip(("a", "b", "c", None), (3, 1, 2, 3), strict=True)), 1.5 * sum(by.values())
+    low, high = 0.0, total
+    for _ in range(100):
+        low, high = (low, (low + high) / 2) if sum(min(2 * by[s], weight[s] * (low + high) / 2) for s in by) > total else ((low + high) / 2, high)
+    for s in by:
+        taken = sum(n * size[r[0]] for r, n in seen["mix_sources"].items() if r[3] == s)
+        assert abs(taken - min(2 * by[s], weight[s] * low)) <= max(size.values()) / 2 + 1
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = Counter()
+    for r, n in seen["mix_sources"].items():
+        ids = [*tok.encode(r[1], add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)]
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            want[r[0], k, lo, hi - lo, zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes())] += n
+    for result in (corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        got = result.toPandas().sort_values(["sequence_id", "offset"])
+        assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32, strict=True)) == want
+        assert ((got.groupby("sequence_id").length.cumsum() - got.length) == got.offset).all() and (got.groupby("sequence_id").length.sum() <= 1024).all()
+    empty(df).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_what_passes_is_removed(spark):
+    import os
+
+    from topicloom.llm.common import _file, cut, passing, send
+
+    with passing(spark):
+        with passing(spark):
+            gone, kept, sent = cut(spark.range(5)), cut(spark.range(6), keep=True), send(spark, [1])
+        at = [_file(x).removeprefix("file:") for x in (gone, kept)]
+        assert [os.path.exists(p) for p in at] == [False, True] and kept.count() == 6
+        with pytest.raises(Exception, match="destroyed"):
+            sent.destroy()
+            spark.range(1).rdd.map(lambda _: sent.value).collect()
+    assert not os.path.exists(at[1])
 
 
 def test_lean_worker_keeps_only_what_is_named():

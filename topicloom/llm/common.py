@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +31,59 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Only where the session names none and is local (tests, a laptop) a temporary folder is
+    set; on a cluster that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = named or tempfile.mkdtemp(prefix="topicloom-checkpoint-")
         sc.setCheckpointDir(named)
     return named or current.get()
 
 
-_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+class _Passing:
+    """What is to go at the end of a ``passing`` block."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+        self.sent: list[Broadcast] = []
+
+
+_passing: contextvars.ContextVar[_Passing | None] = contextvars.ContextVar("passing", default=None)
 
 
 @contextlib.contextmanager
-def passing_checkpoints(spark: SparkSession) -> Iterator[None]:
-    """Checkpoints that ``cut`` makes inside are removed at the end, but for kept ones.
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints that ``cut`` and broadcasts that ``send`` make inside are removed at the end.
 
-    What is returned from inside must rest on kept checkpoints alone.
+    What is returned from inside must rest on kept checkpoints alone; a block around
+    this one removes those.
     """
-    paths: list[str] = []
-    token = _passing.set(paths)
+    own = _Passing()
+    token = _passing.set(own)
     try:
         yield
     finally:
         _passing.reset(token)
-        for p in paths:
+        for p in own.paths:
             _delete(spark, p)
+        for b in own.sent:
+            b.destroy()
+        if (outer := _passing.get()) is not None:
+            outer.paths += own.kept
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a bounded value, destroyed with the ``passing`` block it is made in."""
+    sent = spark.sparkContext.broadcast(value)
+    if (own := _passing.get()) is not None:
+        own.sent.append(sent)
+    return sent
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -66,7 +92,7 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     The shuffle files that led to it are removed at once: only the checkpoint is read
     from then on.  Whether they are is settled when a plan is made, so ``df`` is planned
     anew here, and other plans of the session keep theirs.  ``keep`` spares the result
-    in ``passing_checkpoints``.
+    in ``passing``.
     """
     shared_dir(df.sparkSession)
     conf = df.sparkSession.conf
@@ -77,8 +103,8 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     finally:
         conf.set(CLEANUP, before)
     done = planned.checkpoint(eager=True)
-    if not keep and (paths := _passing.get()) is not None:
-        paths.append(_file(done))
+    if (own := _passing.get()) is not None:
+        (own.kept if keep else own.paths).append(_file(done))
     return done
 
 
@@ -93,7 +119,10 @@ def _delete(spark: SparkSession, name: str) -> None:
 
 def forget(done: DataFrame) -> None:
     """Remove the files of a table that ``cut`` returned; nothing that is read later may rest on it."""
-    _delete(done.sparkSession, _file(done))
+    name = _file(done)
+    _delete(done.sparkSession, name)
+    if (own := _passing.get()) is not None and name in own.paths:
+        own.paths.remove(name)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -102,9 +131,9 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches bounded in bytes.
+    """``df``, its session's Arrow batches bounded in bytes.
 
-    The usual bound of 10,000 rows lets long texts make batches of any size, which
+    The session's bound stays set.  Without one of its own a session takes 64 MB, which
     executor and Python worker hold at once, several times over.
     """
     conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

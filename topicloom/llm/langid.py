@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, lean
+from topicloom.llm.common import bounded_batches, lean, send
 
 ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", car
     null; other columns are not read, but with ``carry`` they go along in ``row``.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.trees))
+    sent = send(spark, (model.langs, model.trees))  # bounded by the sample of texts
     head = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("doc_id")
     kept = "row" if carry else "doc_id"
 
@@ -275,6 +275,13 @@ def identify(docs: DataFrame, **kw) -> DataFrame:
 
 
 def accept(docs: DataFrame, text_col="text", **kw) -> DataFrame:
-    """Rows of ``docs`` whose text is in some language: those not predicted ``und``."""
-    got = predict(docs, train(docs, text_col=text_col, **kw), text_col=text_col, carry=True)
+    """Rows of ``docs`` whose text has a letter, so that it can be in a language: those not predicted ``und``.
+
+    Code lengths choose a language but reject none: junk in a known script and texts in
+    other languages stay.  If nothing could be learned, no row is rejected.
+    """
+    model = train(docs, text_col=text_col, **kw)
+    if not model.langs:
+        return docs
+    got = predict(docs, model, text_col=text_col, carry=True)
     return got.filter(F.col("lang_pred") != UNKNOWN).select("row.*")

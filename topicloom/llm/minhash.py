@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import bounded_batches, cut, lean, passing_checkpoints, salted_join
+from topicloom.llm.common import bounded_batches, cut, lean, passing, salted_join
 from topicloom.llm.graph import connected_components
 from topicloom.llm.langid import _texts
 from topicloom.llm.shingles import FULL, SKETCHES, Centre, Sketched, label, needed, word_hashes
@@ -280,7 +280,7 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", least: float
     written as JSON; rows with a null id, which are in no group, all stay, as do null
     and empty texts.
     """
-    with passing_checkpoints(docs.sparkSession):
+    with passing(docs.sparkSession):
         found = near_duplicates(docs, id_col, text_col, least)
         gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), keep=True)
     # Ids that go grow with the corpus: they are joined like any table, at every size.

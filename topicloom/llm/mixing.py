@@ -2,12 +2,13 @@
 
 Sources are given shares of a token budget; each document gets an expected number
 of copies (its rate) such that every source's expected tokens equal its target and
-the rates stay as close as possible, in bounded relative entropy, to a common base
-rate.  The solution is an exponential tilt of the base rate in document length,
+the rates stay as close as possible, in relative entropy, to a common base rate.  As no
+rate may exceed ``cap``, the entropy is that of a share of ``cap``, and what is tilted
+exponentially in document length is the odds of a rate, rate / (cap - rate) = exp(l x):
 
     rate = cap * exp(l x) / (1 + exp(l x)),   x = size / mean size of the source,
 
-with one dual variable ``l`` per source.  The dual is convex and separable by source.
+with one dual variable ``l`` per source; small rates are tilted exponentially themselves.  The dual is convex and separable by source.
 Newton steps (kept inside a bracket, bisecting where a step leaves it) solve it over
 the distributed histogram of (source, size); a step moves one row per source.
 
@@ -30,7 +31,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
 CAP = 2.0
-SUBS = 64
+#: Parts of a source's size class at least, and rows of all sources for one more.
+SUBS, ROWS_PER_SUB = 64, 1_000_000
 CLASSES_PER_OCTAVE = 8
 UNIT_BITS = 24
 STARTS = 16
@@ -150,13 +152,19 @@ def plan_copies(
     ``row``, whatever their names.  ``size_col`` names sizes that are known already.
     No document gets more than ``cap`` copies.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(source_col, F.lit("")).alias("name")).alias("skey"),
-        (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"),
-        F.xxhash64(F.lit("mix"), F.col(id_col), F.col(source_col)).alias("h"),
-    ).withColumn("sub", F.pmod("h", F.lit(SUBS)).cast("int"))
-    fine = cut(rows.groupBy("skey", "size", "sub").agg(F.count("*").alias("n")))
+    def keyed(row=None):
+        return docs.select(
+            *([row] if row is not None else []),
+            F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(source_col, F.lit("")).alias("name")).alias("skey"),
+            (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"),
+            F.xxhash64(F.lit("mix"), F.col(id_col), F.col(source_col)).alias("h"),
+        )
+
+    # Words are counted once for all of the plan, which works on narrow rows.
+    narrow = cut(keyed())
+    subs = max(SUBS, -(-narrow.count() // ROWS_PER_SUB))
+    dealt = lambda df: df.withColumn("sub", F.pmod("h", F.lit(subs)).cast("int"))
+    fine = cut(dealt(narrow).groupBy("skey", "size", "sub").agg(F.count("*").alias("n")))
     hist = cut(fine.groupBy("skey", "size").agg(F.sum("n").alias("n")))
     sizes = hist.groupBy("skey").agg(
         F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"), F.sum("n").alias("n")
@@ -184,8 +192,10 @@ def plan_copies(
         .drop("due")
     )
     upto = Window.partitionBy(*cell).orderBy("size", "h", "part").rowsBetween(Window.unboundedPreceding, 0)
-    x = rated(rows).withColumn("run", F.sum("part").over(upto)).join(offsets, cell)
-    x = x.withColumn("last", F.col("start") + F.col("run"))
+
+    def placed(df):
+        x = rated(dealt(df)).withColumn("run", F.sum("part").over(upto)).join(offsets, cell)
+        return x.withColumn("last", F.col("start") + F.col("run"))
 
     def copies_from(begin):
         last = F.col("last") + begin
@@ -194,13 +204,14 @@ def plan_copies(
 
     # Of several starting points of the rounding, each source takes the one nearest its target.
     begins = [((2 * k + 1) << UNIT_BITS) // (2 * STARTS) for k in range(STARTS)]
-    tried = x.groupBy("skey").agg(
+    tried = placed(narrow).groupBy("skey").agg(
         F.first("target").alias("target"), F.array(*[F.sum(copies_from(F.lit(b)) * F.col("size")) for b in begins]).alias("taken")
     )
     off = F.transform("taken", lambda t, k: F.struct(F.abs(t - F.col("target")).alias("off"), k.alias("k")))
     best = F.element_at(F.array(*[F.lit(b) for b in begins]), F.array_min(off)["k"] + 1)
     chosen = cut(tried.select("skey", best.cast("long").alias("begin")))
-    x = x.join(small(chosen, n_sources), "skey")
+    whole = keyed(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    x = placed(whole).join(small(chosen, n_sources), "skey")
     copies = copies_from(F.col("begin")).cast("int")
     return x.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
 
