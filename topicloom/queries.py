@@ -197,7 +197,12 @@ def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(docs, replace(CFG, iterations=2)).transform(items, 2)
 
 
-QUERIES |= {f.__name__: f for f in (train, train_step, train_step_conservation, throughput, infer)}
+def infer_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each passage after folding in: as many as it has in the vocabulary, up to the cut."""
+    return infer(spark, sf_dir).groupBy("doc_id").agg(F.sum("cnt").alias("n_tokens"))
+
+
+QUERIES |= {f.__name__: f for f in (train, train_step, train_step_conservation, throughput, infer, infer_conservation)}
 
 
 def _llg(x: str) -> str:
@@ -313,6 +318,7 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "topic_word_prob": "SELECT topic, word, round(prob, 9) AS prob FROM rep",
         "dump_text": "SELECT word_id || ' ' || string_agg(topic || ':' || cnt, ' ' ORDER BY topic) AS line FROM ntw GROUP BY word_id",
         "dump_parse": "SELECT * FROM ntw",
+        "infer_conservation": f"SELECT item_id AS doc_id, CAST(least({c.max_tokens}, count(*)) AS BIGINT) AS n_tokens FROM (SELECT item_id, unnest({words}) AS word FROM benchmark) JOIN ids USING (word) GROUP BY item_id",
         "train_step_conservation": "SELECT word_id, count(*) AS n_tokens FROM enc GROUP BY word_id",
     }
     return {n: f"WITH RECURSIVE {mat} {q}" for n, q in ends.items()}
