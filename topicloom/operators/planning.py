@@ -59,11 +59,10 @@ def slices(sizes: DataFrame, model_cap: int, alias_cap: int, delta_cap: int) ->
         return F.struct(*kept, F.when(opens, F.concat(acc["starts"], F.array(first))).otherwise(acc["starts"]).alias("starts"))
 
     folded = per.select("block_id", F.aggregate("ws", start, step)["starts"].alias("starts"))
-    # Each slice covers the words from its start to before the next one.
-    ranges = folded.select("block_id", F.posexplode("starts").alias("slice_id", "lo"), "starts")
-    ranges = ranges.select("block_id", "slice_id", "lo", F.coalesce(F.try_element_at("starts", F.col("slice_id") + 2), F.lit((1 << 31) - 1)).alias("hi"))
-    x = sizes.select("block_id", "word_id").join(ranges, "block_id").filter((F.col("word_id") >= F.col("lo")) & (F.col("word_id") < F.col("hi")))
-    return x.select("block_id", "slice_id", "word_id")
+    opened = folded.select("block_id", F.explode("starts").alias("word_id"), F.lit(1).alias("opens"))
+    upto = Window.partitionBy("block_id").orderBy("word_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = sizes.select("block_id", "word_id").join(opened, ["block_id", "word_id"], "left")
+    return x.select("block_id", (F.count("opens").over(upto) - 1).cast("int").alias("slice_id"), "word_id")
 
 
 def slice_index(sliced: DataFrame) -> DataFrame:
