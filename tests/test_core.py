@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -175,6 +176,16 @@ def test_resume_from_disk_equals_an_unbroken_run(spark, tmp_path):
     assert all(0 < m["accepted_word"] < 1 and 0 < m["accepted_doc"] < 1 for m in two.metrics)
 
 
+def test_stale_snapshots(spark):
+    """The second iteration samples against the first one's counts; no token is lost."""
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(30)}" for _ in range(30))) for i in range(30)], "doc_id long, text string")
+    cfg = Config(min_count=1, topics=3, iterations=1, staleness=1)
+    one, stale, fresh = fit(docs, cfg), fit(docs, replace(cfg, iterations=3)), fit(docs, replace(cfg, iterations=3, staleness=0))
+    assert unpack(stale.docs).count() == 900 and not unpack(stale.docs).exceptAll(unpack(fresh.docs)).isEmpty()
+    assert unpack(one.docs).exceptAll(unpack(fit(docs, replace(cfg, staleness=0)).docs)).isEmpty()
+
+
 def test_stream_is_folded_in(spark, tmp_path):
     rng = np.random.default_rng(8)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(20)}" for _ in range(30))) for i in range(20)], "doc_id long, text string")

@@ -18,6 +18,7 @@ class Config:
     beta: float = 0.01
     ll_alpha: float = 0.01
     mh_steps: int = 2
+    staleness: int = 0
     iterations: int = 10
     seed: int = 42
     load_factor: int = 2

@@ -148,12 +148,15 @@ class Batch:
             self.z[live, r] = cur
 
     def _accept(self, s, rows, live, row, old, cur, t, u, by_word, infer):
-        """Ratio of targets without the token itself, times the inverse ratio of proposals with it."""
+        """Ratio of targets without the token itself, times the inverse ratio of proposals with it.
+
+        Counts of an older snapshot need not hold the token where it is now; none falls below zero.
+        """
         own_s, own_t = (0, 0) if infer else ((cur == old).astype(float), (t == old).astype(float))
         a, b, vb = s.alpha, s.beta, s.vb
         nd_s, nd_t, nw_s, nw_t = self.count(live, cur), self.count(live, t), rows.count(row, cur), rows.count(row, t)
-        up = (nd_t - own_t + a) * (nw_t - own_t + b) * (s.nt[cur] - own_s + vb)
-        down = (nd_s - own_s + a) * (nw_s - own_s + b) * (s.nt[t] - own_t + vb)
+        up = (nd_t - own_t + a) * (np.maximum(nw_t - own_t, 0) + b) * (np.maximum(s.nt[cur] - own_s, 0) + vb)
+        down = (nd_s - own_s + a) * (np.maximum(nw_s - own_s, 0) + b) * (np.maximum(s.nt[t] - own_t, 0) + vb)
         if by_word:
             up, down = up * (nw_s + b) * (s.nt[t] + vb), down * (nw_t + b) * (s.nt[cur] + vb)
         else:

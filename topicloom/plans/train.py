@@ -110,6 +110,8 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
     counts anew.  Each is checkpointed, so lineage stays short and a lost executor
     costs one iteration's tasks at most; the state before the last is removed.
     Documents of a block are sampled together with the model rows of its words.
+    With ``cfg.staleness`` n an iteration samples against the counts of n iterations
+    before the last, or the oldest of this run; a resumed run starts with fresh ones.
     """
     if resume is not None:
         ids, docs, n_words, done, metrics = resume.ids, resume.docs, resume.n_words, resume.done, list(resume.metrics)
@@ -118,12 +120,14 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
         blocks = blocks_of(enc.select("doc_id").distinct())
         docs, n_words, done, metrics = cut(pack(C.init_topics(enc, cfg.topics, cfg.seed), blocks)), ids.count(), 0, []
         forget(enc)
-    asked, own = cut(sampler.requests(docs)), resume is None
+    asked, own, snapshots = cut(sampler.requests(docs)), resume is None, []
     for it in range(done, done + cfg.iterations):
         began = time.monotonic()
-        m = freeze(docs, cfg, n_words)
+        snapshots.append(freeze(docs, cfg, n_words))
+        m = snapshots[0]
         new = cut(sampler.sample(docs, asked, m.rows, m.shared, cfg.seed, it, cfg.mh_steps))
-        forget(m.rows)
+        if len(snapshots) > cfg.staleness:
+            forget(snapshots.pop(0).rows)
         if own:
             forget(docs)
         docs, own = new, True
@@ -136,5 +140,7 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
         metrics.append(row)
         if on_dump and due(it, cfg.dump_every):
             on_dump(it, C.word_topic(unpack(docs)))
+    for m in snapshots:
+        forget(m.rows)
     forget(asked)
     return Model(cfg, ids, docs, n_words, metrics, done + cfg.iterations)
