@@ -175,9 +175,10 @@ def sweep(items: DataFrame, gaps: DataFrame, shortest: int, longest: int, capaci
     said = {(r["part"], r["kind"]): r["n"] for r in m.filter(F.col("kind") != MATCHED).groupBy("part", "kind").agg(F.count("*").alias("n")).collect()}
     parts = sorted({p for p, _ in said})  # at most one row per range and kind
     segments, taken, left = carry([said.get((p, WAITING), 0) for p in parts], [said.get((p, FREE), 0) for p in parts])
-    bounds = F.broadcast(spark.createDataFrame([(p, taken[i], left[i]) for i, p in enumerate(parts)], "part int, taken long, left long"))
-    known = m.join(bounds, "part")
-    wait = known.filter((F.col("kind") == WAITING) & (F.col("rank") >= F.col("taken"))).select(F.col("item").alias("pid"), "length")
+    # Two numbers a range, by its number, as constants of the plan.
+    number = {p: i for i, p in enumerate(parts)}
+    by_part = lambda values: F.element_at(F.lit([values[number[p]] if p in number else 0 for p in range(max(parts, default=0) + 1)]).cast("array<long>"), F.col("part") + 1)
+    wait = m.filter((F.col("kind") == WAITING) & (F.col("rank") >= by_part(taken))).select(F.col("item").alias("pid"), "length")
     touched = m.filter(F.col("kind") == MATCHED).select("item", "length", "seq", "room")
     if segments:
         rows = [(parts[p], lo, hi, parts[q], at) for p, lo, hi, q, at in segments]
@@ -185,7 +186,7 @@ def sweep(items: DataFrame, gaps: DataFrame, shortest: int, longest: int, capaci
         late = m.filter(F.col("kind") == WAITING).join(meet, "part").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         late = late.select("item", "length", F.col("there").alias("part"), (F.col("at") - F.col("rank") + F.col("lo")).alias("rank"))
         touched = touched.unionByName(late.join(m.filter(F.col("kind") == FREE).select("part", "rank", "seq", "room"), ["part", "rank"]).select("item", "length", "seq", "room"))
-    idle = known.filter((F.col("kind") == FREE) & (F.col("rank") < F.col("left"))).select("item", "length", "seq", "room")
+    idle = m.filter((F.col("kind") == FREE) & (F.col("rank") < by_part(left))).select("item", "length", "seq", "room")
     small = gaps.filter(F.col("room") < shortest).select(F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("length"), "seq", "room")
     # What a gap took in this sweep stands in it one after another.
     here = Window.partitionBy("seq").orderBy(F.col("item").asc_nulls_last())
