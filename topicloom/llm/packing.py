@@ -9,9 +9,8 @@ ranks of a range meet which ranks of a larger one.  A gap that holds several of
 longest documents left counts as so many, so ranks, not tasks, resolve conflicts.  Then
 the gaps that were filled shrink, and the sweep repeats until nothing matches.
 
-Documents longer than half a sequence open one each.  The others come in tiers, each
-of an eighth of the lengths of the one before, so that few sweeps fill a gap with many
-small documents.  What finds no gap opens as many sequences as its tokens fill at
+Documents longer than half a sequence open one each.  The others come in two tiers, down
+to an ``1 / TIER`` of that and below, so that few sweeps fill a gap with many small ones.  What finds no gap opens as many sequences as its tokens fill at
 least; after ``OPENINGS`` such rounds the rest of a tier opens enough to place it.
 """
 
@@ -219,9 +218,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = rows.filter(opens).select(*pieces.columns, F.col("__pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     gaps = rows.filter(opens & (F.col("length") < capacity)).select(F.col("__pid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("room"))
     small = rows.filter(~opens).select(F.col("__pid").alias("pid"), F.col("length").cast("long").alias("length"))
-    placed, opened, high = [], 0, capacity // 2
-    while high:
-        low = high // TIER
+    placed, opened, half = [], 0, capacity // 2
+    for low, high in ((half // TIER, half), (0, half // TIER)):
         items, rounds, stood, waited = small.filter((F.col("length") > low) & (F.col("length") <= high)), 0, None, None
         count, shortest, longest, tokens, widest = _extent(items, gaps)
         while count:
@@ -238,7 +236,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             count, shortest, longest, tokens, widest = _extent(items, gaps)
         if waited is not None:
             forget(waited)
-        high = low
     if not placed:
         return own
     where = placed[0]
