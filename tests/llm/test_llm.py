@@ -129,7 +129,11 @@ def test_wrapper_with_a_noise_word_is_kept():
     assert Page('<p>text</p><div class="comments"><p>a comment longer than the text</p></div>').main_text() == "text"
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("tile,few", [(512, 20_000), (4, 0)])
+def test_embeddings_against_brute_force(spark, monkeypatch, tile, few):
+    """Also with buckets cut into tiles, and nothing broadcast."""
+    monkeypatch.setattr(embed_dedup, "TILE", tile)
+    monkeypatch.setattr("topicloom.llm.common.BROADCAST_ROWS", few)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
     x = np.concatenate([base, base[:40] + rng.standard_normal((40, 16)) * 0.08, base[:5], base[7:8] * 3])
@@ -422,7 +426,9 @@ def test_rebalance_moves_little(spark, tmp_path):
     assert max(rest) - min(rest) <= 10
 
 
-def test_mixture(spark, odd):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_mixture(spark, odd, monkeypatch, few):
+    monkeypatch.setattr("topicloom.llm.common.BROADCAST_ROWS", few)
     rng = np.random.default_rng(0)
     rows = [(i, "w " * int(rng.lognormal(3, 1)), "en", [None, "a", "b", "c"][i % 4 if i % 3 else 1]) for i in range(2000)]
     df = documents(spark, rows)
