@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicloom.llm import embed_dedup, mixing, url_filter
+from topicloom.llm import embed_dedup, lm, mixing, spelling, url_filter, whitening
 from topicloom.llm.common import LOWER, UPPER
 
 
@@ -91,11 +91,63 @@ FROM (SELECT doc_id, text, n_bytes, CASE WHEN n_bytes = 0 THEN {unit} ELSE ({uni
   FROM (SELECT doc_id, text, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents))"""
 
 
+def _crc32(blob: str) -> str:
+    """Checksum of a BLOB, bit by bit."""
+    octets = f"[('0x' || substr(hex({blob}), 2 * i - 1, 2))::BIGINT for i in range(1, octet_length({blob}) + 1)]"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295)"
+
+
+def whitening_deviations(scale: int = whitening.SCALE, components: int = whitening.COMPONENTS) -> str:
+    """Exact deviations of usable vectors; a component has a row where the vectors' rank allows one."""
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS i, vec_id, [CAST(floor({scale} * c::DOUBLE) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM e),
+s AS (SELECT d, CAST(sum(c) AS BIGINT) AS total, count(*) AS n FROM (SELECT unnest(x) AS c, unnest(range(len(x))) AS d FROM f) GROUP BY d),
+v AS (SELECT i, any_value(vec_id) AS vec_id, any_value(n) AS n, CAST(sum((n * c - total) * (n * c - total)) AS BIGINT) AS deviation
+  FROM (SELECT i, vec_id, unnest(x) AS c, unnest(range(len(x))) AS d FROM e) JOIN s USING (d) GROUP BY i)
+SELECT vec_id, CAST(k AS INTEGER) AS component, n, deviation FROM v, range(1, {components} + 1) t(k) WHERE k < n"""
+
+
+def spelling_variants() -> str:
+    """Near words by their remains without one letter; forms by count; roots by recursion."""
+    of, least, enough, ratio = spelling.DAMAGE, spelling.LEAST_LETTERS, spelling.LEAST_COUNT, spelling.RATIO
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{spelling.RUN}')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM t WHERE length(run) >= {least} GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc32("encode(id || ':' || run)")} AS h FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, n FROM g)),
+c AS (SELECT CASE WHEN h % {of} = 0 THEN substr(run, 1, k) || substr(run, k + 2) ELSE run END AS word, n FROM (SELECT *, CAST(h % length(run) AS INTEGER) AS k FROM h)),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= {least} GROUP BY word HAVING sum(n) >= {enough}),
+p AS MATERIALIZED (SELECT word, n, substr(word, 1, CAST(i AS INTEGER) - 1) AS l, substr(word, CAST(i AS INTEGER) + 1) AS r FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+d AS (SELECT DISTINCT p.word AS a, p.n AS na, w.word AS b, w.n AS nb FROM p JOIN w ON w.word = p.l || p.r),
+near AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM p a JOIN p b ON a.l = b.l AND a.r = b.r AND a.word <> b.word UNION SELECT a, b, nb FROM d UNION SELECT b, a, na FROM d),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS rank FROM near),
+x AS MATERIALIZED (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= {ratio} * w.n THEN near END AS form, CASE WHEN near_n >= {ratio} * w.n THEN near_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND rank = 1),
+f(word, root) AS (SELECT word, word FROM x UNION ALL SELECT f.word, x.form FROM f JOIN x ON x.word = f.root WHERE x.form IS NOT NULL)
+SELECT x.word, x.form, f.root, x.n, x.n_near, x.form_n FROM x JOIN f USING (word) JOIN x AS e ON e.word = f.root WHERE e.form IS NULL"""
+
+
+def lm_base_scores() -> str:
+    """Counts of the training documents' tokens, and what they say of each document."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), ' ') AS ws,
+    {_crc32("encode(coalesce(CAST(doc_id AS VARCHAR), ''))")} % {lm.OF} = {lm.HELD_OUT} AS held_out FROM documents),
+t AS MATERIALIZED (SELECT i, held_out, unnest(ws) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+s AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+p AS (SELECT i, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))) AS base FROM t LEFT JOIN c USING (w) CROSS JOIN s GROUP BY i)
+SELECT d.doc_id, d.held_out, p.n_tokens, p.n_known, CAST(s.n AS BIGINT) AS train_tokens, round(p.base, 3) AS base_score FROM d JOIN p USING (i) CROSS JOIN s"""
+
+
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": embeddings(),
     "op4_chat_formatting": chat(),
     "op5_url_filter": urls(),
     "shard_sizes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, 'bytes' AS law FROM documents",
     "mixing_targets": mixing_targets(),
+    "op12_spelling_variants": spelling_variants(),
+    "whitening_deviations": whitening_deviations(),
+    "lm_base_scores": lm_base_scores(),
     "media_payloads": media_payloads(),
 }

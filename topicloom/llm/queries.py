@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm import chat, embed_dedup, html_extract, langid, media, minhash, mixing, packing, sharding, url_filter
+from topicloom.llm import chat, embed_dedup, html_extract, langid, lm, media, minhash, mixing, packing, sharding, spelling, url_filter, whitening
 from topicloom.llm.common import cut, table
 from topicloom.llm.oracles import ORACLES as ORACLES
 
@@ -63,6 +63,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op7: what SQL can say of it."""
     return op7_media_sniffing(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -78,6 +90,17 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_entropy_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op11: what SQL can say of it."""
+    return op11_embedding_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op13: what SQL can say of it."""
+    got = lm.score_documents(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,8 +114,13 @@ QUERIES = {
         op8_virtual_slots,
         op9_entropy_mixing,
         op10_order_minhash,
+        op11_embedding_whitening,
+        op12_spelling_variants,
+        op13_lm_scoring,
         media_payloads,
         shard_sizes,
         mixing_targets,
+        whitening_deviations,
+        lm_base_scores,
     )
 }
