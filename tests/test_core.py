@@ -11,10 +11,10 @@ from topicloom.functions import text as T
 from topicloom.operators import corpus as P
 from topicloom.operators import counts as C
 from topicloom.operators import planning, report, sampler, stats
-from topicloom.operators.alias import alias_tables, sparse_tables, table_mass
+from topicloom.operators.alias import CHUNK, Tables, table_mass
 from topicloom.plans import lineage
 from topicloom.plans.lineage import dense_ids
-from topicloom.plans.train import Model, fit, unpack
+from topicloom.plans.train import Counts, Log, Model, by_word, changes, fit, unpack
 from topicloom.sources import files
 from topicloom.streaming.infer import infer_stream
 
@@ -83,35 +83,42 @@ def test_slices_roll_over_and_refuse_large_words(spark):
         planning.slices(sizes, 3, 99, 99).collect()
 
 
-def test_alias_tables_keep_the_mass():
-    mass = np.random.default_rng(1).gamma(0.1, size=(50, 37)) + 1e-9
-    t, a = alias_tables(mass)
-    assert np.allclose(table_mass(t, a), mass / mass.sum(1, keepdims=True))
-    assert np.allclose(table_mass(*alias_tables(np.ones((2, 1)))), 1)
-
-
-@pytest.mark.parametrize("rows", [3, 40])
-def test_tables_row_by_row_and_together_agree(rows):
-    mass = np.random.default_rng(2).gamma(0.2, size=(rows, 100)) + 1e-12
-    assert np.allclose(table_mass(*alias_tables(mass)), mass / mass.sum(1, keepdims=True))
-
-
-def test_sparse_tables_keep_the_mass():
-    rng = np.random.default_rng(3)
-    size = rng.integers(1, 30, 200)
-    start = np.concatenate([[0], np.cumsum(size)])
-    mass = rng.gamma(0.3, size=start[-1]) + 1e-9
-    t, a = sparse_tables(mass, start)
-    for lo, hi in zip(start[:-1], start[1:], strict=True):
-        assert np.allclose(table_mass(t[None, lo:hi], a[None, lo:hi])[0], mass[lo:hi] / mass[lo:hi].sum())
+@pytest.mark.parametrize("sizes", [[37] * 50, [100] * 3, range(1, 60), [1, CHUNK, CHUNK + 1, 5 * CHUNK + 3, 2]])
+def test_alias_tables_keep_the_mass(sizes):
+    """Rows of equal and of all lengths, and rows of several chunks; weights of 40 bits."""
+    rng = np.random.default_rng(1)
+    start = np.concatenate([[0], np.cumsum(list(sizes))])
+    mass = rng.gamma(0.1, size=start[-1]) + 1e-9
+    t = Tables(mass, start)
+    got = table_mass(t)
+    for i, (lo, hi) in enumerate(zip(start[:-1], start[1:], strict=True)):
+        assert np.allclose(got[lo:hi], mass[lo:hi] / mass[lo:hi].sum(), rtol=1e-6, atol=1e-11) and t.mass[i] == pytest.approx(mass[lo:hi].sum(), rel=1e-9)
+    assert (t.threshold <= np.repeat(t.total, t.size)).all() and (t.threshold >= 0).all()
 
 
 def rows_of(nw, s, words):
     """Model rows of a dense count matrix."""
     w, t = np.nonzero(nw)
-    start = np.searchsorted(w, np.arange(len(nw) + 1))
-    mass = nw[w, t] / (s.nt[t] + s.vb)
-    return sampler.Rows(np.asarray(words), start, t, nw[w, t], *sparse_tables(mass, start), np.add.reduceat(mass, start[:-1]), nw.shape[1])
+    return sampler.Rows.of(np.asarray(words)[w], t, nw[w, t], s)
+
+
+def test_a_word_with_a_million_topics(spark):
+    """Its chunks are drawn by their mass; it is sampled in pieces of the model smaller than it."""
+    k = 1_000_000
+    rng = np.random.default_rng(10)
+    s = sampler.Shared(np.full(k, 50), 10, 0.1, 0.01)
+    cnt = np.where(np.arange(k) < 1000, 400, 1)
+    rows = sampler.Rows.of(np.full(k, 3), np.arange(k), cnt, s)
+    assert len(rows.table.size) == -(-k // CHUNK)
+    row = rows.place(np.full(100_000, 3))
+    t = rows.propose(s, row, list(rng.random((5, len(row)))))
+    own = (cnt / (s.nt + s.vb)).sum()
+    assert (t < 1000).mean() == pytest.approx((400 * 1000 / 50.1 + 1000 * 0.01 / 50.1) / (own + s.mass), rel=0.03)
+    model = spark.range(k).select(F.lit(3).alias("word_id"), F.col("id").cast("int").alias("topic"), F.when(F.col("id") < 1000, 400).otherwise(1).cast("long").alias("cnt"))
+    docs = spark.createDataFrame([(1, 0, [3, 3, 5], [7, 8, 9])], "doc_id long, block int, words array<int>, topics array<int>")
+    sent = spark.sparkContext.broadcast(s)
+    got = [sampler.sample(docs, sampler.requests(docs), model, sent, 1, 0, 4, max_entries=n).first().topics for n in (sampler.MAX_ENTRIES, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 3
 
 
 def test_proposal_has_both_parts():
@@ -122,14 +129,14 @@ def test_proposal_has_both_parts():
     rows, n = rows_of(nw, s, [5, 6, 9]), 200_000
     for word, counts in ((6, nw[1]), (7, np.zeros(20))):
         row = rows.place(np.full(n, word))
-        got = np.bincount(rows.propose(s, row, *rng.random((3, n))), minlength=20) / n
+        got = np.bincount(rows.propose(s, row, list(rng.random((5, n)))), minlength=20) / n
         want = (counts + 0.3) / (s.nt + 50 * 0.3)
         assert np.abs(got - want / want.sum()).max() < 0.005
         assert rows.count(row[:20], np.arange(20)).tolist() == counts.tolist()
 
 
-@pytest.mark.parametrize("infer", [False, True])
-def test_a_sweep_leaves_the_target_distribution(infer, monkeypatch):
+@pytest.mark.parametrize("kind", ["train", "infer"])
+def test_a_sweep_leaves_the_target_distribution(kind, monkeypatch):
     """One token, many chains: topics follow the target, with counts held densely and counted as needed."""
     rng = np.random.default_rng(5)
     nw, k, a, b = rng.integers(1, 9, (4, 6)), 6, 0.3, 0.2
@@ -139,10 +146,10 @@ def test_a_sweep_leaves_the_target_distribution(infer, monkeypatch):
         monkeypatch.setattr(sampler, "MAX_CELLS", cells)
         rest = np.array([3, 3, 3]), np.array([1, 1, 4])  # tokens of a word that is not swept
         batch = sampler.Batch(np.arange(len(docs)), [np.concatenate([w, rest[0]]) for w, _ in docs], [np.concatenate([z, rest[1]]) for _, z in docs], k)
-        batch.sweep(s, rows_of(nw, s, range(4)), 0, 3, 1, 1, 60, infer)
-        got = batch.topics()
+        batch.sweep(s, rows_of(nw, s, range(4)), 0, 3, 1, 1, 60, kind)
+        got = batch.topics(kind)
         assert all((z[1:] == rest[1]).all() for z in got)
-        if not infer:  # the model's counts hold the token in its old topic
+        if kind == "train":  # the model's counts hold the token in its old topic
             first = [z for (_, (o,)), z in zip(docs, got, strict=True) if o == 2]
             want = (np.bincount(rest[1], minlength=k) + a) * (nw[2] - (np.arange(k) == 2) + b) / (s.nt - (np.arange(k) == 2) + s.vb)
             assert np.abs(np.bincount([z[0] for z in first], minlength=k) / len(first) - want / want.sum()).max() < 0.025
@@ -154,10 +161,10 @@ def test_many_topics_and_chunks_of_the_model(spark):
     texts = [(i, " ".join(f"w{rng.integers(300)}" for _ in range(60))) for i in range(80)]
     m = fit(spark.createDataFrame(texts, "doc_id long, text string"), Config(min_count=1, topics=10_000, iterations=1))
     assert unpack(m.docs).count() == 80 * 60 and unpack(m.docs).agg(F.max("topic")).first()[0] > 5000
-    f, got = m.frozen(), []
+    sent, got = m.frozen().send(m.cfg, m.n_words), []
     for blocks, entries in ((1, 10**9), (7, 50)):
         docs = m.docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-        out = sampler.sample(docs, sampler.requests(docs), f.rows, f.shared, 42, 1, 2, max_entries=entries)
+        out = sampler.sample(docs, sampler.requests(docs), m.word_topic(), sent, 42, 1, 2, max_entries=entries)
         got.append(sorted((r.doc_id, r.topics, r.by_word, r.by_doc) for r in out.collect()))
     assert got[0] == got[1] and len(got[0]) == 80
 
@@ -176,6 +183,46 @@ def test_resume_from_disk_equals_an_unbroken_run(spark, tmp_path):
     assert all(0 < m["accepted_word"] < 1 and 0 < m["accepted_doc"] < 1 for m in two.metrics)
 
 
+def test_counts_follow_what_moved(spark):
+    """After each pass they equal a recount, and neither they nor what asks for them is shuffled."""
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(50)}" for _ in range(40))) for i in range(50)], "doc_id long, text string")
+    for n in (1, 3):
+        m = fit(docs, Config(min_count=1, topics=4, iterations=n))
+        recount = C.word_topic(unpack(m.docs))
+        assert recount.exceptAll(m.word_topic()).isEmpty() and m.word_topic().exceptAll(recount).isEmpty()
+        assert m.counts.totals.tolist() == [r.cnt for r in C.topic_summary(unpack(m.docs)).orderBy("topic").collect()]
+        assert sum(x["moved"] for x in m.metrics) > 0 and all(x["tokens"] == 2000 for x in m.metrics)
+    delta, asked = (lineage.cut(by_word(x), dealt=True) for x in (changes(m.docs), sampler.requests(m.docs)))
+    for x in (C.apply_deltas(m.counts.rows, delta), asked.hint("merge").join(m.counts.rows, "word_id")):
+        assert "Exchange" not in x._jdf.queryExecution().toString()
+    same = Counts(m.counts.rows, m.counts.totals).after(m.docs.withColumn("moved", F.slice("moved", 1, 0)))
+    assert same.rows.exceptAll(m.counts.rows).isEmpty()
+
+
+def test_a_run_survives_its_driver(spark, tmp_path):
+    """It stops in the third iteration; what was committed goes on to where an unbroken run arrives."""
+    rng = np.random.default_rng(12)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(30)}" for _ in range(30))) for i in range(40)], "doc_id long, text string")
+    cfg, path = Config(min_count=1, topics=3, iterations=4, dump_every=1), str(tmp_path / "log")
+
+    def lost(it, _):
+        if it == 2:
+            raise KeyboardInterrupt
+
+    log = Log(spark, path)
+    assert log.recover() is None
+    with pytest.raises(KeyboardInterrupt):
+        fit(docs, cfg, log=path, on_dump=lost)
+    assert log.iterations() == [2, 3]
+    (tmp_path / "log/it=4").mkdir()  # one that was begun
+    back = log.recover()
+    assert back.done == 3 and len(back.metrics) == 3
+    rest, whole = fit(None, replace(cfg, iterations=1), resume=back, log=path), fit(docs, cfg)
+    assert rest.done == whole.done == 4 and log.iterations() == [3, 4]
+    assert unpack(rest.docs).exceptAll(unpack(whole.docs)).isEmpty() and rest.word_topic().exceptAll(whole.word_topic()).isEmpty()
+
+
 def test_stale_snapshots(spark):
     """The second iteration samples against the first one's counts; no token is lost."""
     rng = np.random.default_rng(9)
@@ -198,6 +245,22 @@ def test_stream_is_folded_in(spark, tmp_path):
     assert {r.doc_id: r.n for r in got} == {i: 30 for i in range(20)}
 
 
+def test_transforming_leaves_no_files(spark):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(i, "x y z x y") for i in range(20)], "doc_id long, text string")
+    m = fit(docs, Config(min_count=1, topics=3, iterations=1))
+    folder = Path(lineage.shared_folder(spark).removeprefix("file:"))
+    held = lambda: {str(p) for p in folder.rglob("rdd-*")}
+    m.frozen()
+    before = held()
+    for _ in range(3):
+        got = m.transform(docs, 2)
+        assert got.agg(F.sum("cnt")).first()[0] == 100
+        lineage.forget(got)
+    assert held() == before
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace as N
 

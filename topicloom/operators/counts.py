@@ -25,6 +25,11 @@ def topic_summary(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("topic").agg(F.count("*").alias("cnt"))
 
 
+def topic_summary_of(model: DataFrame) -> DataFrame:
+    """``topic, cnt`` from word-topic counts."""
+    return model.groupBy("topic").agg(F.sum("cnt").alias("cnt"))
+
+
 def deltas(tokens: DataFrame) -> DataFrame:
     """``topic`` to ``new_topic``: -1 and +1 for every token that changes."""
     pair = F.array(F.struct(F.col("topic"), F.lit(-1).alias("delta")), F.struct(F.col("new_topic").alias("topic"), F.lit(1).alias("delta")))

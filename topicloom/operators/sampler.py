@@ -2,14 +2,15 @@
 
 Given the counts of the last iteration documents are independent.  All documents
 that have a token at rank r take their step for it together.  Draws are a hash of
-(seed, iteration, document, position, draw), so a retried task repeats itself and
+(seed, iteration, document, rank, draw), so a retried task repeats itself and
 neither the layout of documents nor of the model changes a result.
 
-The model is sparse.  A word's proposal has two parts: its own topics with mass
-n_tw / (n_t + V beta), for which its row carries an alias table, and a part that all
-words share, beta / (n_t + V beta), with one table for all topics.  Rows are built where
-their words are counted, and go to the blocks of documents that hold these words; a
-block takes them in order of words, a bounded number of entries at a time.
+The model is sparse: rows ``word_id, topic, cnt``.  A word's proposal has two parts: its
+own topics with mass n_tw / (n_t + V beta), and a part that all words share,
+beta / (n_t + V beta); each has its alias table.  Model rows go to the blocks of
+documents that hold their words; a block takes them in order of words, a bounded number
+at a time (``MAX_ENTRIES``), and builds their tables.  Blocks are large, so a row is sent
+to few of them.
 """
 
 from __future__ import annotations
@@ -18,32 +19,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.alias import alias_tables, sparse_tables
+from topicloom.operators.alias import Tables
+from topicloom.plans.lineage import bounded_batches
 
 DOCS = 1024
-#: Documents of a block, in expectation.
-BLOCK = 4096
-#: Entries of model rows that a block holds at a time; a row is never split.
+#: Documents of a block at most, in expectation, and at least where there are tasks to spare.
+BLOCK, LEAST_BLOCK = 32_768, 256
+#: Entries of model rows that a block holds at a time; a word is never split.
 MAX_ENTRIES = 4_000_000
 #: Cells of the dense topic counts of a batch of documents; with more topics they are counted as needed.
 MAX_CELLS = 8_000_000
-_U = np.uint64
-MODEL = "word_id int, topics array<int>, cnts array<int>, threshold array<double>, alias array<int>, mass double"
+_U, _MASK = np.uint64, np.uint64(0xFFFFFFFF)
+MULTIPLIER = 73244475
+#: Draws of a step: own or shared, column, stay, accept; place, prior, topic, accept; the chunk's column and stay.
+DRAWS = 16
 
 
-def uniforms(seed: int, iteration: int, doc: np.ndarray, pos: int, draw: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(((seed * 1_000_003 + iteration) * 1_000_033 + pos) * 64 + draw & (1 << 64) - 1)
-        for _ in range(2):
-            x ^= x >> _U(30)
-            x *= _U(0xBF58476D1CE4E5B9)
-            x ^= x >> _U(27)
-            x *= _U(0x94D049BB133111EB)
-            x ^= x >> _U(31)
-    return (x >> _U(11)) * 2.0**-53
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 32-bit values, held in 64 bits, one to one."""
+    for _ in range(2):
+        x = ((x ^ (x >> _U(16))) * _U(MULTIPLIER)) & _MASK
+    return x ^ (x >> _U(16))
+
+
+def document_hash(seed: int, iteration: int, doc: np.ndarray) -> np.ndarray:
+    d = np.asarray(doc).astype(np.uint64)
+    h = mixed(np.full(d.shape, seed & 0xFFFFFFFF, np.uint64))
+    h = mixed(h ^ _U(iteration & 0xFFFFFFFF))
+    return mixed(mixed(h ^ (d & _MASK)) ^ (d >> _U(32)))
+
+
+def uniform(h: np.ndarray, draw: int) -> np.ndarray:
+    """In [0, 1), from a token's hash and the number of the draw."""
+    return mixed(h ^ _U(draw)) * 2.0**-32
 
 
 class Shared:
@@ -51,28 +63,25 @@ class Shared:
 
     def __init__(self, nt: np.ndarray, n_words: int, alpha: float, beta: float):
         self.nt, self.alpha, self.beta, self.vb = nt.astype(np.float64), alpha, beta, n_words * beta
-        mass = beta / (self.nt + self.vb)
-        self.mass = mass.sum()
-        (self.threshold,), (self.alias,) = alias_tables(mass[None, :])
+        self.table = Tables(beta / (self.nt + self.vb), np.array([0, len(nt)]))
+        self.mass = self.table.mass[0]
 
 
 class Rows:
-    """Model rows of some words, sorted by word: topics (sorted), counts, alias tables, masses."""
+    """Model rows of some words: ``words``, sorted, and where the entries of each start; topics sorted in a word."""
 
-    def __init__(self, words, start, topics, cnts, threshold, alias, mass, k: int):
-        self.words, self.start, self.topics, self.threshold, self.alias, self.k = words, start, topics, threshold, alias, k
-        self.mass = np.append(mass, 0.0)  # a word without a row has its last
-        self.size = np.append(np.diff(start), 0)
-        self.key = np.append(np.repeat(np.arange(len(words)), np.diff(start)) * k + topics, np.iinfo(np.int64).max)
+    def __init__(self, words: np.ndarray, start: np.ndarray, topics: np.ndarray, cnts: np.ndarray, s: Shared):
+        self.words, self.topics, self.k = words, topics, len(s.nt)
+        self.table = Tables(cnts / (s.nt[topics] + s.vb), start)
+        self.mass = np.append(self.table.mass, 0.0)  # a word without a row has its last
+        self.key = np.append(np.repeat(np.arange(len(words)), np.diff(start)) * self.k + topics, np.iinfo(np.int64).max)
         self.cnt = np.append(cnts, 0).astype(np.float64)
 
     @classmethod
-    def of(cls, batches: list[pa.RecordBatch], k: int) -> Rows:
-        t = pa.Table.from_batches(batches).combine_chunks()
-        lists = [t.column(c).combine_chunks() for c in ("a", "b", "c", "d")]
-        size = np.diff(lists[0].offsets.to_numpy())
-        flat = [x.flatten().to_numpy() for x in lists]
-        return cls(t.column("id").to_numpy(), np.concatenate([[0], np.cumsum(size)]), flat[0].astype(np.int64), *flat[1:], t.column("mass").to_numpy(), k)
+    def of(cls, word: np.ndarray, topic: np.ndarray, cnt: np.ndarray, s: Shared) -> Rows:
+        """From entries sorted by word and topic."""
+        at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        return cls(word[at], np.append(at, len(word)), topic.astype(np.int64), cnt, s)
 
     def place(self, word: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -85,16 +94,16 @@ class Rows:
         at = np.searchsorted(self.key, wanted)
         return np.where((self.key[at] == wanted) & (row >= 0), self.cnt[at], 0.0)
 
-    def propose(self, s: Shared, row: np.ndarray, part: np.ndarray, col: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A topic by the word's own entries or by the shared part, each through its alias table."""
-        mass, size = self.mass[row], self.size[row]
-        own = part * (mass + s.mass) < mass
-        c = np.minimum((col * self.k).astype(np.int64), self.k - 1)
-        out = np.where(u < s.threshold[c], c, s.alias[c])
-        i = np.flatnonzero(own)
-        first = self.start[row[i]]
-        e = first + np.minimum((col[i] * size[i]).astype(np.int64), size[i] - 1)
-        out[i] = self.topics[np.where(u[i] < self.threshold[e], e, first + self.alias[e])]
+    def propose(self, s: Shared, row: np.ndarray, u: list[np.ndarray]) -> np.ndarray:
+        """A topic by the word's own entries or by the shared part, each through its alias table; ``u``: part, column, stay, and a chunk's."""
+        mass = self.mass[row]
+        own = u[0] * (mass + s.mass) < mass
+        out = np.empty(len(row), np.int64)
+        for rest, table, of in ((~own, s.table, None), (own, self.table, self.topics)):
+            i = np.flatnonzero(rest)
+            if len(i):
+                at = table.draw(np.zeros(len(i), np.int64) if of is None else row[i], *(x[i] for x in u[1:]))
+                out[i] = at if of is None else of[at]
         return out
 
 
@@ -106,42 +115,51 @@ class Batch:
         self.size = np.array([len(words[i]) for i in self.order], np.int64)
         n, self.k = len(self.order), k
         self.longest = int(self.size.max(initial=0))
-        self.w, self.z = np.full((n, self.longest), -1, np.int64), np.full((n, self.longest), -1, np.int64)
+        self.w, self.z = np.full((n, self.longest), -1, np.int32), np.full((n, self.longest), -1, np.int32)
         self.nd = np.zeros((n, k), np.int32) if n * k <= MAX_CELLS else None
         for r, i in enumerate(self.order):
             self.w[r, : self.size[r]], self.z[r, : self.size[r]] = words[i], topics[i]
             if self.nd is not None:
                 self.nd[r] = np.bincount(topics[i], minlength=k)
+        self.before = self.z.copy()
         self.doc = np.asarray(ids, np.int64)[self.order]
         self.moves = np.zeros((n, 2), np.int64)
 
     def count(self, live: np.ndarray, topic: np.ndarray) -> np.ndarray:
         return self.nd[live, topic] if self.nd is not None else (self.z[live] == topic[:, None]).sum(1)
 
-    def sweep(self, s: Shared, rows: Rows, first: int, last: int, seed: int, iteration: int, steps: int, infer: bool = False) -> None:
+    def sweep(self, s: Shared, rows: Rows, first: int, last: int, seed: int, iteration: int, steps: int, kind: str = "train") -> None:
         """Sample the tokens of words from ``first`` to before ``last``.
 
-        ``infer`` samples against a model that does not hold the documents: own tokens
-        are not excluded from its counts.
+        ``kind``: train; infer samples against a model that does not hold the documents, so
+        own tokens are not excluded from its counts; chain leaves a document's counts and
+        topics as they were for its other tokens; propose takes one word proposal as it is.
         """
+        hashes = document_hash(seed, iteration, self.doc)
         for r in range(self.longest):
             live = np.arange(np.searchsorted(-self.size, -r, side="left"))
             live = live[(self.w[live, r] >= first) & (self.w[live, r] < last)]
             if not len(live):
                 continue
-            row, old, d = rows.place(self.w[live, r]), self.z[live, r].copy(), self.doc[live]
+            row, old, h = rows.place(self.w[live, r]), self.before[live, r].astype(np.int64), mixed(hashes[live] ^ _U(r))
             cur, total = old.copy(), self.size[live]
             for step in range(steps):
-                u = [uniforms(seed, iteration, d, r, step * 8 + j) for j in range(8)]
+                u = lambda j: uniform(h, step * DRAWS + j)  # noqa: E731, B023
+                t = rows.propose(s, row, [u(j) for j in (0, 1, 2, 8, 9)])
+                if kind == "propose":
+                    cur = t
+                    break
                 before = cur
-                t = rows.propose(s, row, u[0], u[1], u[2])
-                cur = self._accept(s, rows, live, row, old, cur, t, u[3], True, infer)
+                cur = self._accept(s, rows, live, row, old, cur, t, u(3), True, kind == "infer")
                 self.moves[live, 0] += cur != before
                 before = cur
-                pick = self.z[live, np.minimum((u[4] * total).astype(np.int64), total - 1)]
-                t = np.where(u[5] < total / (total + s.alpha * self.k), pick, np.minimum((u[6] * self.k).astype(np.int64), self.k - 1))
-                cur = self._accept(s, rows, live, row, old, cur, t, u[7], False, infer)
+                pick = self.z[live, np.minimum((u(4) * total).astype(np.int64), total - 1)]
+                t = np.where(u(5) < total / (total + s.alpha * self.k), pick, np.minimum((u(6) * self.k).astype(np.int64), self.k - 1))
+                cur = self._accept(s, rows, live, row, old, cur, t, u(7), False, kind == "infer")
                 self.moves[live, 1] += cur != before
+            if kind in ("chain", "propose"):
+                self.before[live, r] = cur  # ``z`` keeps what the other tokens see
+                continue
             if self.nd is not None:
                 np.add.at(self.nd, (live, old), -1)
                 np.add.at(self.nd, (live, cur), 1)
@@ -163,12 +181,23 @@ class Batch:
             up, down = up * (nd_s + a), down * (nd_t + a)
         return np.where(u * down < up, t, cur)
 
-    def topics(self) -> list[np.ndarray]:
+    def topics(self, kind: str = "train") -> list[np.ndarray]:
+        z = self.before if kind in ("chain", "propose") else self.z
         out: list[np.ndarray] = [None] * len(self.order)  # type: ignore[list-item]
         for r, i in enumerate(self.order):
-            out[i] = self.z[r, : self.size[r]]
+            out[i] = z[r, : self.size[r]]
         return out
 
+    def changed(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of the documents in the order given: how many tokens changed, and words, old and new topics of these."""
+        moved = self.before != self.z
+        n = np.empty(len(self.order), np.int64)
+        n[self.order] = moved.sum(1)
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        moved = moved[back]
+        return n, [x[back][moved] for x in (self.w, self.before, self.z)]
+
     def accepted(self) -> np.ndarray:
         """Accepted word and document proposals by document, in the order given."""
         out = np.empty_like(self.moves)
@@ -183,25 +212,39 @@ def shared(summary: DataFrame, topics: int, n_words: int, alpha: float, beta: fl
     return Shared(nt, n_words, alpha, beta)
 
 
-def model_rows(model: DataFrame, nt: np.ndarray, vb: float) -> DataFrame:
-    """``word_id, topic, cnt`` -> a row per word with its alias table (``MODEL``), built where the word is."""
-    one = F.struct("topic", F.col("cnt").cast("int").alias("cnt"))
-    per = model.filter("cnt <> 0").groupBy("word_id").agg(F.sort_array(F.collect_list(one)).alias("e"))  # at most a row per topic
-    sent = model.sparkSession.sparkContext.broadcast(nt)  # one number per topic
+def own_tables(model: DataFrame, s: Shared) -> DataFrame:
+    """``word_id, topic, size, stay, alias_topic`` of every entry's place in its word's table (rows of one chunk each).
+
+    A word's entries are together and sorted; those of a batch's last word wait for the next.
+    """
+    sent = model.sparkSession.sparkContext.broadcast(s)  # a few numbers per topic
+    names = ["word_id", "topic", "size", "stay", "alias_topic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit(word, topic, cnt) -> pa.RecordBatch:
+            rows = Rows.of(word, topic, cnt, sent.value)
+            t = rows.table
+            if (t.chunks > 1).any():
+                raise ValueError("a word has several chunks")
+            chunk = np.repeat(np.arange(len(t.size)), t.size)
+            cols = word, topic, t.size[chunk], t.threshold / t.total[chunk], topic[t.start[chunk] + t.alias]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
         for b in batches:
-            topics, cnts = b.column("topics"), b.column("cnts")
-            size = np.diff(topics.offsets.to_numpy())
-            start = np.concatenate([[0], np.cumsum(size)])
-            mass = cnts.flatten().to_numpy() / (sent.value[topics.flatten().to_numpy()] + vb)
-            threshold, alias = sparse_tables(mass, start)
-            at = pa.array(start, pa.int32())
-            total = np.add.reduceat(mass, start[:-1]) if len(mass) else np.zeros(0)
-            cols = [b.column("word_id"), topics, cnts, pa.ListArray.from_arrays(at, pa.array(threshold)), pa.ListArray.from_arrays(at, pa.array(alias, pa.int32())), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(cols, ["word_id", "topics", "cnts", "threshold", "alias", "mass"])
+            if b.num_rows:
+                held.append(tuple(b.column(c).to_numpy() for c in ("word_id", "topic", "cnt")))
+                word, topic, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
+                n = int(np.searchsorted(word, word[-1]))
+                held = [(word[n:], topic[n:], cnt[n:])]
+                if n:
+                    yield emit(word[:n], topic[:n], cnt[:n])
+        if held:
+            yield emit(*held[0])
 
-    return per.select("word_id", F.col("e.topic").alias("topics"), F.col("e.cnt").alias("cnts")).mapInArrow(run, MODEL)
+    x = bounded_batches(model.filter("cnt <> 0").select("word_id", "topic", "cnt").repartition("word_id").sortWithinPartitions("word_id", "topic"))
+    return x.mapInArrow(run, "word_id int, topic int, size long, stay double, alias_topic int")
 
 
 def requests(docs: DataFrame) -> DataFrame:
@@ -209,39 +252,46 @@ def requests(docs: DataFrame) -> DataFrame:
     return docs.select("block", F.explode(F.array_distinct("words")).alias("word_id")).distinct()
 
 
-def sample(docs: DataFrame, asked: DataFrame, rows: DataFrame, s: Shared, seed: int, iteration: int, steps: int, infer: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``doc_id, block, words, topics, by_word, by_doc`` after one pass over all tokens.
+def sample(docs: DataFrame, asked: DataFrame, model: DataFrame, sent: Broadcast, seed: int, iteration: int, steps: int, kind: str = "train", max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``doc_id, block, words, topics, moved, by_word, by_doc`` after one pass over all tokens.
 
     ``docs``: ``doc_id, block, words, topics``, words sorted; ``asked``: ``requests``;
-    ``rows``: ``model_rows``.  ``by_word`` and ``by_doc`` count accepted moves.
+    ``model``: ``word_id, topic, cnt``; ``sent``: a broadcast ``Shared``, the caller's to
+    destroy.  ``moved`` has word, old and new topic of the tokens that changed; ``by_word``
+    and ``by_doc`` count accepted moves.  ``kind`` as in ``Batch.sweep``.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    held = docs.select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.col("words").alias("a"), F.col("topics").alias("b"), none("array<double>").alias("c"), none("array<int>").alias("d"), none("double").alias("mass"))
-    pulled = asked.join(rows, "word_id").select("block", F.lit(1).alias("kind"), F.col("word_id").cast("long").alias("id"), F.col("topics").alias("a"), F.col("cnts").alias("b"), F.col("threshold").alias("c"), F.col("alias").alias("d"), "mass")
-    sent = docs.sparkSession.sparkContext.broadcast(s)  # a few numbers per topic
+    none = lambda t: F.lit(None).cast(t)
+    held = docs.select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), none("int").alias("topic"), none("long").alias("cnt"), "words", "topics")
+    pulled = asked.join(model, "word_id").select("block", F.lit(1).alias("kind"), F.col("word_id").cast("long").alias("id"), "topic", "cnt", none("array<int>").alias("words"), none("array<int>").alias("topics"))
+    out = ["doc_id", "block", "words", "topics", "moved", "by_word", "by_doc"]
+    move = pa.struct([("word_id", pa.int32()), ("old", pa.int32()), ("new", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         k = len(m.nt)
-        parts: list[pa.RecordBatch] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         entries, block, first, texts, groups = 0, None, 0, [], []
 
         def flush(final: bool):
             nonlocal entries, first
-            empty = np.zeros(0, np.int64)
-            got = Rows.of(parts, k) if parts else Rows(empty, np.zeros(1, np.int64), empty, empty, empty, empty, empty, k)
-            last = 1 << 62 if final else int(got.words[-1]) + 1
-            for g in groups:
-                g.sweep(m, got, first, last, seed, iteration, steps, infer)
-            parts.clear()
-            entries, first = 0, last
+            word, topic, cnt = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+            # The last word's entries may go on: they wait.
+            n = len(word) if final else int(np.searchsorted(word, word[-1]))
+            last = 1 << 31 if final else int(word[-1])
+            if n or final:
+                got = Rows.of(word[:n], topic[:n], cnt[:n], m)
+                for g in groups:
+                    g.sweep(m, got, first, last, seed, iteration, steps, kind)
+                first = last
+            parts[:] = [(word[n:], topic[n:], cnt[n:])] if n < len(word) else []
+            entries = len(word) - n
 
         def load():
             for b in texts:
-                flat = {c: (b.column(c).offsets.to_numpy(), b.column(c).flatten().to_numpy().astype(np.int64)) for c in ("a", "b")}
+                flat = [(b.column(c).offsets.to_numpy(), b.column(c).flatten().to_numpy()) for c in ("words", "topics")]
                 for lo in range(0, b.num_rows, DOCS):
                     hi = min(lo + DOCS, b.num_rows)
-                    words, topics = ([v[o[i] - o[0] : o[i + 1] - o[0]] for i in range(lo, hi)] for o, v in (flat["a"], flat["b"]))
+                    words, topics = ([v[o[i] - o[0] : o[i + 1] - o[0]] for i in range(lo, hi)] for o, v in flat)
                     groups.append(Batch(b.column("id").to_numpy()[lo:hi], words, topics, k))
 
         def finish() -> Iterator[pa.RecordBatch]:
@@ -251,16 +301,21 @@ def sample(docs: DataFrame, asked: DataFrame, rows: DataFrame, s: Shared, seed:
             flush(True)
             at = 0
             for b in texts:
-                new, moved = [], []
+                new, by, sizes, moves = [], [], [], []
                 while len(new) < b.num_rows:
-                    new += groups[at].topics()
-                    moved.append(groups[at].accepted())
+                    g = groups[at]
+                    new += g.topics(kind)
+                    by.append(g.accepted())
+                    n, cols = g.changed()
+                    sizes.append(n)
+                    moves.append(cols)
+                    groups[at] = None
                     at += 1
-                by = np.concatenate(moved) if moved else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("block"), b.column("a"), pa.array(new, pa.list_(pa.int32())), pa.array(by[:, 0]), pa.array(by[:, 1])],
-                    ["doc_id", "block", "words", "topics", "by_word", "by_doc"],
-                )
+                by = np.concatenate(by) if by else np.zeros((0, 2), np.int64)
+                flat = [pa.array(np.concatenate(c), pa.int32()) for c in zip(*moves, strict=True)] or [pa.array([], pa.int32())] * 3
+                edges = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+                moved = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(move)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), b.column("words"), pa.array(new, pa.list_(pa.int32())), moved, pa.array(by[:, 0]), pa.array(by[:, 1])], out)
             texts.clear()
             groups.clear()
             block, first = None, 0
@@ -268,23 +323,23 @@ def sample(docs: DataFrame, asked: DataFrame, rows: DataFrame, s: Shared, seed:
         for b in batches:
             if not b.num_rows:
                 continue
-            here, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
-            edge = [0, *(np.flatnonzero((here[1:] != here[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
+            here, what = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edge = [0, *(np.flatnonzero((here[1:] != here[:-1]) | (what[1:] != what[:-1])) + 1).tolist(), b.num_rows]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if block is not None and here[lo] != block:
                     yield from finish()
                 block, piece = here[lo], b.slice(lo, hi - lo)
-                if not kind[lo]:
+                if not what[lo]:
                     texts.append(piece)
                     continue
                 if not groups:
                     load()
-                parts.append(piece)
-                entries += len(piece.column("a").flatten())
+                parts.append(tuple(piece.column(c).to_numpy() for c in ("id", "topic", "cnt")))
+                entries += hi - lo
                 if entries >= max_entries:
                     flush(False)
         if block is not None:
             yield from finish()
 
-    x = held.unionByName(pulled).repartition("block").sortWithinPartitions("block", "kind", "id")
-    return x.mapInArrow(run, "doc_id long, block int, words array<int>, topics array<int>, by_word long, by_doc long")
+    x = bounded_batches(held.unionByName(pulled).repartition("block").sortWithinPartitions("block", "kind", "id", "topic"))
+    return x.mapInArrow(run, "doc_id long, block int, words array<int>, topics array<int>, moved array<struct<word_id:int,old:int,new:int>>, by_word long, by_doc long")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,10 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named or current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """Reliable checkpoint in the session's shared folder.
+
+    ``dealt`` keeps how the rows are dealt to partitions (by ``repartition`` with a key), so
+    that joins and sums by that key leave them where they are.  A plan that is made anew as
+    it runs does not say so beforehand: this one is made at once.
+    """
+    spark, adaptive = df.sparkSession, "spark.sql.adaptive.enabled"
+    shared_folder(spark)
+    if not dealt:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(adaptive, before)
 
 
 def forget(done: DataFrame) -> None:
@@ -35,6 +50,14 @@ def forget(done: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches bounded in bytes, where the session sets no bound of its own."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in conf.getAll:
+        conf.set(limit, str(BATCH_BYTES))
+    return df
+
+
 def lookup(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A side to join with: broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= most else df

@@ -7,7 +7,9 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.config import Config, due
@@ -31,23 +33,50 @@ def unpack(docs: DataFrame) -> DataFrame:
 
 
 def blocks_of(docs: DataFrame) -> int:
-    """Blocks of about ``sampler.BLOCK`` documents."""
-    return max(1, -(-docs.count() // sampler.BLOCK))
+    """Blocks of at most ``sampler.BLOCK`` documents, as many as tasks run at once where there are documents for them."""
+    n = docs.count()
+    return max(1, -(-n // sampler.BLOCK), min(docs.sparkSession.sparkContext.defaultParallelism, n // sampler.LEAST_BLOCK))
+
+
+def by_word(counts: DataFrame) -> DataFrame:
+    """Counts dealt by word; what is cut so keeps it, and joins and merges by word leave it where it is."""
+    return counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word_id")
+
+
+def changes(docs: DataFrame) -> DataFrame:
+    """``word_id, topic, delta`` of the tokens that the last pass moved; zeros vanish."""
+    moved = docs.select(F.explode("moved").alias("m")).select("m.word_id", F.col("m.old").alias("topic"), F.col("m.new").alias("new_topic"))
+    return C.sum_deltas(C.deltas(moved))
 
 
 @dataclass
-class Frozen:
-    """A model's rows and shared part; ``rows`` is cut."""
+class Counts:
+    """A model's counts: ``rows`` (cut) ``word_id, topic, cnt``, dealt by word, and the totals of all topics."""
 
     rows: DataFrame
-    shared: sampler.Shared
-    tokens: int
+    totals: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame, topics: int) -> Counts:
+        out = cls(cut(by_word(rows), dealt=True), np.zeros(topics, np.int64))
+        out._add(C.topic_summary_of(out.rows))
+        return out
 
+    def _add(self, by_topic: DataFrame) -> None:
+        for r in by_topic.collect():  # a row per topic
+            self.totals[r[0]] += r[1]
 
-def freeze(docs: DataFrame, cfg: Config, n_words: int) -> Frozen:
-    tokens = unpack(docs)
-    s = sampler.shared(C.topic_summary(tokens), cfg.topics, n_words, cfg.alpha, cfg.beta)
-    return Frozen(cut(sampler.model_rows(C.word_topic(tokens), s.nt, s.vb)), s, int(s.nt.sum()))
+    def after(self, docs: DataFrame) -> Counts:
+        """With what the last pass changed: only changed pairs of word and topic are shuffled, the rows stay where they are."""
+        delta = cut(by_word(changes(docs)), dealt=True)
+        out = Counts(cut(C.apply_deltas(self.rows, delta), dealt=True), self.totals.copy())
+        out._add(C.sum_summary_deltas(delta))
+        forget(delta)
+        return out
+
+    def send(self, cfg: Config, n_words: int) -> Broadcast:
+        """What all words share; the caller destroys it."""
+        return self.rows.sparkSession.sparkContext.broadcast(sampler.Shared(self.totals, n_words, cfg.alpha, cfg.beta))
 
 
 @dataclass
@@ -58,10 +87,11 @@ class Model:
     n_words: int
     metrics: list[dict]
     done: int = 0
-    _frozen: Frozen | None = field(default=None, repr=False)
+    counts: Counts | None = field(default=None, repr=False)
+    _sent: Broadcast | None = field(default=None, repr=False)
 
     def word_topic(self) -> DataFrame:
-        return C.word_topic(unpack(self.docs))
+        return self.frozen().rows
 
     def topic_words(self, top: int | None = None) -> DataFrame:
         return report.topic_words(self.word_topic(), self.ids, top)
@@ -69,78 +99,141 @@ class Model:
     def log_likelihood(self, mode: str = "reference") -> dict[str, float]:
         return stats.corpus_llh(unpack(self.docs), self.cfg.topics, self.cfg, self.n_words, mode)
 
-    def frozen(self) -> Frozen:
-        """Rows of the model, counted once however often it is asked."""
-        if self._frozen is None:
-            self._frozen = freeze(self.docs, self.cfg, self.n_words)
-        return self._frozen
+    def frozen(self) -> Counts:
+        """The model's counts, made once however often they are asked for."""
+        if self.counts is None:
+            self.counts = Counts.of(C.word_topic(unpack(self.docs)), self.cfg.topics)
+        return self.counts
 
     def transform(self, docs: DataFrame, iterations: int = 10) -> DataFrame:
-        """``doc_id, topic, cnt`` of other documents against the frozen model."""
+        """``doc_id, topic, cnt`` of other documents against the frozen model.
+
+        The result is cut; ``lineage.forget`` removes its files once it has been read.
+        """
+        m = self.frozen()
+        if self._sent is None:
+            self._sent = m.send(self.cfg, self.n_words)  # once for the model's life
         enc = cut(P.encode(docs, self.ids, self.cfg.max_tokens))
-        blocks = blocks_of(enc.select("doc_id").distinct())
-        x = cut(pack(C.init_topics(enc, self.cfg.topics, self.cfg.seed), blocks))
-        asked, m = cut(sampler.requests(x)), self.frozen()
+        x = cut(pack(C.init_topics(enc, self.cfg.topics, self.cfg.seed), blocks_of(enc.select("doc_id").distinct())))
+        forget(enc)
+        asked = cut(by_word(sampler.requests(x)), dealt=True)
         for it in range(iterations):
-            new = cut(sampler.sample(x, asked, m.rows, m.shared, self.cfg.seed, it, self.cfg.mh_steps, infer=True))
+            new = cut(sampler.sample(x, asked, m.rows, self._sent, self.cfg.seed, it, self.cfg.mh_steps, "infer"))
             forget(x)
             x = new
+        out = cut(C.doc_topic(unpack(x)))
         forget(asked)
-        return C.doc_topic(unpack(x))
+        forget(x)
+        return out
 
     def save(self, path: str) -> None:
-        """Vocabulary, documents with their topics, and state, each under a new path."""
-        spark = self.docs.sparkSession
+        """Vocabulary, documents with their topics, counts and state, each under a new path."""
         self.ids.write.mode("errorifexists").parquet(f"{path}/ids")
-        self.docs.select("doc_id", "block", "words", "topics").write.mode("errorifexists").parquet(f"{path}/docs")
+        self._commit(path)
+
+    def _commit(self, path: str) -> None:
+        self.docs.select("doc_id", "block", "words", "topics").write.mode("overwrite").parquet(f"{path}/docs")
+        self.word_topic().write.mode("overwrite").parquet(f"{path}/counts")
         state = json.dumps({"cfg": asdict(self.cfg), "n_words": self.n_words, "done": self.done, "metrics": self.metrics})
-        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/state")  # last: what has a state is whole
+        self.docs.sparkSession.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")  # last: what has a state is whole
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Model:
+    def load(cls, spark: SparkSession, path: str, ids: str | None = None) -> Model:
         state = json.loads(spark.read.text(f"{path}/state").first()["value"])
-        ids, docs = (cut(spark.read.parquet(f"{path}/{n}")) for n in ("ids", "docs"))
-        return cls(Config(**state["cfg"]), ids, docs, state["n_words"], state["metrics"], state["done"])
+        cfg = Config(**state["cfg"])
+        words, docs = (cut(spark.read.parquet(p)) for p in (ids or f"{path}/ids", f"{path}/docs"))
+        counts = Counts.of(spark.read.parquet(f"{path}/counts"), cfg.topics)
+        return cls(cfg, words, docs, state["n_words"], state["metrics"], state["done"], counts)
+
+
+class Log:
+    """Committed iterations of a run under a folder: ``it=n`` is whole once its state, written last, is.
+
+    The last two are kept, so one that is being written never replaces the only one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def iterations(self) -> list[int]:
+        """Whole iterations, in order."""
+        if not self._fs.exists(self._folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._folder)]
+        found = [int(n.removeprefix("it=")) for n in names if n.startswith("it=")]
+        return sorted(n for n in found if self._fs.exists(self._at(f"it={n}/state/_SUCCESS")))
+
+    def begin(self, ids: DataFrame) -> None:
+        ids.write.mode("overwrite").parquet(f"{self.path}/ids")
+
+    def commit(self, m: Model) -> None:
+        m._commit(f"{self.path}/it={m.done}")
+        for old in self.iterations()[:-2]:
+            self._fs.delete(self._at(f"it={old}"), True)
+
+    def recover(self) -> Model | None:
+        """The model of the last whole iteration, to ``resume`` from; None if there is none."""
+        whole = self.iterations()
+        return Model.load(self.spark, f"{self.path}/it={whole[-1]}", f"{self.path}/ids") if whole else None
 
 
-def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_dump: Callable[[int, DataFrame], None] | None = None) -> Model:
+def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_dump: Callable[[int, DataFrame], None] | None = None, log: str | None = None) -> Model:
     """Train on ``doc_id, text``; ``resume`` goes on from an earlier model and equals an unbroken run.
 
-    An iteration samples every document against the counts of the last one and
-    counts anew.  Each is checkpointed, so lineage stays short and a lost executor
-    costs one iteration's tasks at most; the state before the last is removed.
+    An iteration samples every document against the counts of the last one, to which it
+    then adds what it changed.  Each is checkpointed, so lineage stays short and a lost
+    executor costs one iteration's tasks at most; the state before the last is removed.
+    With ``log``, a folder, each iteration is committed there, too, and ``Log.recover``
+    gives the last whole one after the driver is lost.
     Documents of a block are sampled together with the model rows of its words.
     With ``cfg.staleness`` n an iteration samples against the counts of n iterations
     before the last, or the oldest of this run; a resumed run starts with fresh ones.
     """
     if resume is not None:
-        ids, docs, n_words, done, metrics = resume.ids, resume.docs, resume.n_words, resume.done, list(resume.metrics)
+        ids, docs, n_words, done, metrics, counts = resume.ids, resume.docs, resume.n_words, resume.done, list(resume.metrics), resume.frozen()
     else:
         ids, enc = P.prepare(corpus, cfg)
         blocks = blocks_of(enc.select("doc_id").distinct())
         docs, n_words, done, metrics = cut(pack(C.init_topics(enc, cfg.topics, cfg.seed), blocks)), ids.count(), 0, []
         forget(enc)
-    asked, own, snapshots = cut(sampler.requests(docs)), resume is None, []
+        counts = Counts.of(C.word_topic(unpack(docs)), cfg.topics)
+    spark = docs.sparkSession
+    written = Log(spark, log) if log else None
+    if written and resume is None:
+        written.begin(ids)
+    asked, given = cut(by_word(sampler.requests(docs)), dealt=True), (docs, counts) if resume is not None else (None, None)
+    snapshots, model = [counts], Model(cfg, ids, docs, n_words, metrics, done, counts)
     for it in range(done, done + cfg.iterations):
         began = time.monotonic()
-        snapshots.append(freeze(docs, cfg, n_words))
-        m = snapshots[0]
-        new = cut(sampler.sample(docs, asked, m.rows, m.shared, cfg.seed, it, cfg.mh_steps))
-        if len(snapshots) > cfg.staleness:
-            forget(snapshots.pop(0).rows)
-        if own:
+        old, seen = snapshots[0], Observation()
+        sent = old.send(cfg, n_words)
+        new = sampler.sample(docs, asked, old.rows, sent, cfg.seed, it, cfg.mh_steps)
+        new = cut(new.observe(seen, F.sum("by_word").alias("by_word"), F.sum("by_doc").alias("by_doc"), F.sum(F.size("words")).alias("tokens"), F.sum(F.size("moved")).alias("moved")))
+        sent.destroy()
+        snapshots.append(snapshots[-1].after(new))
+        if len(snapshots) > cfg.staleness + 1 and (gone := snapshots.pop(0)) is not given[1]:
+            forget(gone.rows)
+        if docs is not given[0]:
             forget(docs)
-        docs, own = new, True
-        by_word, by_doc = docs.agg(F.sum("by_word"), F.sum("by_doc")).first()
-        row = {"iteration": it, "seconds": time.monotonic() - began, "tokens": m.tokens}
-        proposed = max(1, m.tokens * cfg.mh_steps)
-        row |= {"tokens_per_s": row["tokens"] / row["seconds"], "accepted_word": (by_word or 0) / proposed, "accepted_doc": (by_doc or 0) / proposed}
+        docs, got = new, {k: v or 0 for k, v in seen.get.items()}
+        row = {"iteration": it, "seconds": time.monotonic() - began, "tokens": got["tokens"], "moved": got["moved"]}
+        proposed = max(1, got["tokens"] * cfg.mh_steps)
+        row |= {"tokens_per_s": row["tokens"] / row["seconds"], "accepted_word": got["by_word"] / proposed, "accepted_doc": got["by_doc"] / proposed}
         if due(it, cfg.llh_every):
             row |= stats.corpus_llh(unpack(docs), cfg.topics, cfg, n_words)
         metrics.append(row)
+        model = Model(cfg, ids, docs, n_words, metrics, it + 1, snapshots[-1])
+        if written:
+            written.commit(model)
         if on_dump and due(it, cfg.dump_every):
-            on_dump(it, C.word_topic(unpack(docs)))
-    for m in snapshots:
-        forget(m.rows)
+            on_dump(it, model.word_topic())
+    for m in snapshots[:-1]:
+        if m is not given[1]:
+            forget(m.rows)
     forget(asked)
-    return Model(cfg, ids, docs, n_words, metrics, done + cfg.iterations)
+    return model

@@ -14,6 +14,8 @@ from topicloom.functions import text as T
 from topicloom.operators import corpus as P
 from topicloom.operators import counts as C
 from topicloom.operators import planning, proposals, report, sampler, stats
+from topicloom.operators.alias import BITS
+from topicloom.plans.lineage import cut
 
 CFG = Config()
 CAPS = (40_000, 40_000, 40_000)
@@ -47,7 +49,7 @@ class State:
         return self.ids.count()
 
     def _encoded(self):
-        return P.encode(self.docs, self.ids, self.cfg.max_tokens)
+        return cut(P.encode(self.docs, self.ids, self.cfg.max_tokens))  # the texts are read and split once
 
     def _blocks(self):
         return P.doc_blocks(self.docs, self.cfg.block_size)
@@ -88,12 +90,9 @@ def _accept(kind: str, s: State) -> DataFrame:
 
 def _drawn(s: State) -> DataFrame:
     """``word_id, topic, prob``: what the alias tables of the words' own entries draw."""
-    shared = sampler.shared(s.summary, s.cfg.topics, s.n_words, s.cfg.alpha, s.cfg.beta)
-    rows = sampler.model_rows(s.model, shared.nt, shared.vb)
-    n = F.size("topics")
-    at = rows.select("word_id", "topics", "threshold", "alias", F.posexplode("topics").alias("i", "topic"), n.alias("n"))
-    stays = at.select("word_id", "topic", (F.element_at("threshold", F.col("i") + 1) / F.col("n")).alias("prob"))
-    goes = at.select("word_id", F.element_at("topics", F.element_at("alias", F.col("i") + 1) + 1).alias("topic"), ((1 - F.element_at("threshold", F.col("i") + 1)) / F.col("n")).alias("prob"))
+    at = sampler.own_tables(s.model, sampler.shared(s.summary, s.cfg.topics, s.n_words, s.cfg.alpha, s.cfg.beta))
+    stays = at.select("word_id", "topic", (F.col("stay") / F.col("size")).alias("prob"))
+    goes = at.select("word_id", F.col("alias_topic").alias("topic"), ((1 - F.col("stay")) / F.col("size")).alias("prob"))
     return stays.unionByName(goes).groupBy("word_id", "topic").agg(F.sum("prob").alias("prob"))
 
 
@@ -154,47 +153,70 @@ BUILD = {
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(State(spark, sf_dir))) for name, f in BUILD.items()}
 
 
+def _sampled(s: State, kind: str) -> DataFrame:
+    """``doc_id, rank, word_id, topic``: every token after a pass that leaves the other tokens as they were; rank from 0 by word and position."""
+    from topicloom.plans.train import blocks_of, pack
+
+    docs = cut(pack(s.init, blocks_of(s.docs)))
+    sent = s.docs.sparkSession.sparkContext.broadcast(sampler.shared(s.summary, s.cfg.topics, s.n_words, s.cfg.alpha, s.cfg.beta))  # a few numbers per topic
+    new = sampler.sample(docs, sampler.requests(docs), s.model, sent, s.cfg.seed, 0, s.cfg.mh_steps, kind)
+    return new.select("doc_id", F.posexplode(F.arrays_zip("words", "topics")).alias("rank", "t")).select("doc_id", "rank", F.col("t.words").alias("word_id"), F.col("t.topics").alias("topic"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def propose_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One word proposal of every token, drawn through the alias tables."""
+    return _sampled(State(spark, sf_dir), "propose")
+
+
+def mh_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token's chain of word and document proposals, the other tokens as they were."""
+    return _sampled(State(spark, sf_dir), "chain")
+
+
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic counts by word after a few iterations (no SQL: iterative sampling)."""
+    """Topic counts by word after a few iterations (no SQL: ``train_step`` is one of them)."""
     from topicloom.plans.train import fit
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fit(docs, replace(CFG, iterations=3)).word_topic()
+    return fit(_documents(spark, sf_dir), replace(CFG, iterations=3)).word_topic()
 
 
 def train_step_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens before and after an iteration: sampling moves tokens, it loses none."""
     from topicloom.plans.train import fit, unpack
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    m = fit(docs, replace(CFG, iterations=1))
+    m = fit(_documents(spark, sf_dir), replace(CFG, iterations=1))
     return unpack(m.docs).groupBy("word_id").agg(F.count("*").alias("n_tokens"))
 
 
 def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every word and topic after one iteration (no SQL: sampling)."""
+    """Counts of every word and topic after one iteration."""
     from topicloom.plans.train import fit
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fit(docs, replace(CFG, iterations=1)).word_topic()
+    return fit(_documents(spark, sf_dir), replace(CFG, iterations=1)).word_topic()
 
 
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each iteration, whether their rate was measured, and whether moves were accepted."""
-    from topicloom.plans.train import fit
+    """``topic, tokens_before, tokens_after, moved_in, moved_out`` of an iteration, from what its sampling moved."""
+    from topicloom.plans.train import fit, unpack
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = [(m["iteration"], m["tokens"], m["tokens_per_s"] > 0, 0 < m["accepted_word"] < 1 and 0 < m["accepted_doc"] < 1) for m in fit(docs, replace(CFG, iterations=2)).metrics]
-    return spark.createDataFrame(rows, "iteration int, tokens long, timed boolean, moves boolean")
+    docs = fit(_documents(spark, sf_dir), replace(CFG, iterations=1)).docs
+    moved = docs.select(F.explode("moved").alias("m")).select("m.old", "m.new")
+    after = C.topic_summary(unpack(docs)).withColumnRenamed("cnt", "tokens_after")
+    came, went = (moved.groupBy(F.col(c).alias("topic")).agg(F.count("*").alias(n)) for c, n in (("new", "moved_in"), ("old", "moved_out")))
+    x = after.join(came, "topic", "full").join(went, "topic", "full").fillna(0)
+    return x.select("topic", (F.col("tokens_after") - F.col("moved_in") + F.col("moved_out")).alias("tokens_before"), "tokens_after", "moved_in", "moved_out")
 
 
 def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the benchmark passages against a trained model."""
     from topicloom.plans.train import fit
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    return fit(docs, replace(CFG, iterations=2)).transform(items, 2)
+    return fit(_documents(spark, sf_dir), replace(CFG, iterations=2)).transform(items, 2)
 
 
 def infer_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +224,7 @@ def infer_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer(spark, sf_dir).groupBy("doc_id").agg(F.sum("cnt").alias("n_tokens"))
 
 
-QUERIES |= {f.__name__: f for f in (train, train_step, train_step_conservation, throughput, infer, infer_conservation)}
+QUERIES |= {f.__name__: f for f in (propose_topics, mh_chain, train, train_step, train_step_conservation, throughput, infer, infer_conservation)}
 
 
 def _llg(x: str) -> str:
@@ -222,6 +244,90 @@ def _topic(seed: int, c: Config) -> str:
     return f"CAST(floor({d} * CAST({M.UNIT!r} AS DOUBLE) * {c.topics}) AS INTEGER)"
 
 
+def _mixed(x: str) -> str:
+    return f"list_reduce([({x})::BIGINT, {sampler.MULTIPLIER}, {sampler.MULTIPLIER}, 1], lambda a, k: (xor(a, a >> 16) * k) & 4294967295)"
+
+
+def _document_hash(seed: int, iteration: int) -> str:
+    run = f"xor({_mixed(str(seed))}, {iteration})"
+    return _mixed(f"xor({_mixed(f'xor({_mixed(run)}, doc_id & 4294967295)')}, (doc_id >> 32) & 4294967295)")
+
+
+def _uniform(draw: int) -> str:
+    return f"({_mixed(f'xor(h, {draw})')} / 4294967296::DOUBLE)"
+
+
+def _tables(c: Config) -> list[tuple[str, str]]:
+    """Alias tables of all words, and of the shared part as word -1, in lists by entry; topic totals; packed documents."""
+    one = f"{1 << BITS}::DOUBLE"
+    return [
+        ("tot", f"SELECT k.topic, coalesce(t.cnt, 0) AS nt, v * CAST({c.beta} AS DOUBLE) AS vb FROM ks k CROSS JOIN nv LEFT JOIN nt t ON t.topic = k.topic"),
+        ("ent", f"SELECT word_id, topic, n.cnt / (nt + vb) AS mass FROM ntw n JOIN tot USING (topic) UNION ALL SELECT -1, topic, CAST({c.beta} AS DOUBLE) / (nt + vb) FROM tot"),
+        ("wts", f"SELECT *, greatest(1, CAST(floor(mass / max(mass) OVER p * {one}) AS BIGINT)) AS w, max(mass) OVER p / {one} AS unit, count(*) OVER p AS n FROM ent WINDOW p AS (PARTITION BY word_id)"),
+        ("exc", "SELECT *, CAST(sum(w) OVER (PARTITION BY word_id) AS BIGINT) AS m, n * w - CAST(sum(w) OVER (PARTITION BY word_id) AS BIGINT) AS x FROM wts"),
+        ("run", "SELECT *, CAST(sum(greatest(-x, 0)) OVER p AS BIGINT) AS d, CAST(sum(greatest(x, 0)) OVER p AS BIGINT) AS e FROM exc WINDOW p AS (PARTITION BY word_id ORDER BY topic)"),
+        ("lists", "SELECT word_id, list(d ORDER BY topic) AS ds, list(e ORDER BY topic) AS es FROM run GROUP BY word_id"),
+        ("ali", "SELECT r.*, least(n - 1, len(list_filter(es, lambda y: y <= CASE WHEN x <= 0 THEN d + x ELSE e END))) AS alias, ds[least(n - 1, len(list_filter(ds, lambda y: y < e))) + 1] AS reached FROM run r JOIN lists USING (word_id)"),
+        ("tab", "SELECT word_id, any_value(n) AS n, any_value(m) AS m, any_value(m)::DOUBLE * any_value(unit) AS mass, list(topic ORDER BY topic) AS tp, list(alias ORDER BY topic) AS al, list(CASE WHEN x <= 0 THEN n * w ELSE m - (reached - e) END ORDER BY topic) AS th FROM ali GROUP BY word_id"),
+        ("nwl", "SELECT word_id, list(coalesce(cnt, 0) ORDER BY topic) AS nw FROM (SELECT word_id, topic FROM (SELECT DISTINCT word_id FROM ntw) CROSS JOIN ks) LEFT JOIN ntw USING (word_id, topic) GROUP BY word_id"),
+        ("wrd", "SELECT * FROM tab JOIN nwl USING (word_id)"),
+        ("sha", "SELECT t.n AS sn, t.m AS sm, t.mass AS smass, t.al AS sal, t.th AS sth, q.nts, q.vb FROM tab t CROSS JOIN (SELECT list(nt ORDER BY topic) AS nts, any_value(vb) AS vb FROM tot) q WHERE t.word_id = -1"),
+        ("pck", f"SELECT doc_id, count(*) AS total, list(word_id ORDER BY word_id, pos) AS ws, list(topic ORDER BY word_id, pos) AS z, {_document_hash(c.seed, 0)} AS hd FROM init GROUP BY doc_id"),
+        ("cnd", f"SELECT *, [len(list_filter(z, lambda y: y = t)) FOR t IN range({c.topics})] AS nd FROM pck"),
+    ]
+
+
+def _chain(source: str, c: Config, steps: int) -> str:
+    """``source`` with ``cur``: a token's topic ``old`` after the steps of its chain; ``t``: its first word proposal."""
+    k, a, b = c.topics, f"{c.alpha!r}::DOUBLE", f"{c.beta!r}::DOUBLE"
+    q = f"SELECT *, old AS c0 FROM ({source})"
+
+    def add(name: str, expr: str) -> None:
+        nonlocal q
+        q = f"SELECT *, {expr} AS {name} FROM ({q})"
+
+    def drawn(u1: str, u2: str, n: str, m: str, th: str, al: str) -> str:
+        i = f"least(CAST(floor({u1} * {n}) AS BIGINT), {n} - 1) + 1"
+        return f"CASE WHEN {u2} * {m} < {th}[{i}] THEN {i} - 1 ELSE {al}[{i}] END"
+
+    def accept(cur: str, t: str, u: str, by_word: bool) -> None:
+        same = {x: f"CAST({x} = old AS INTEGER)" for x in (cur, t)}
+        nd, nw, nt = ({x: f"{n}[{x} + 1]" for x in (cur, t)} for n in ("nd", "nw", "nts"))
+        side = lambda x, y: f"({nd[x]} - {same[x]} + {a}) * (greatest({nw[x]} - {same[x]}, 0) + {b}) * (greatest({nt[y]} - {same[y]}, 0) + vb)"
+        up, down = side(t, cur), side(cur, t)
+        if by_word:
+            up, down = f"{up} * ({nw[cur]} + {b}) * ({nt[t]} + vb)", f"{down} * ({nw[t]} + {b}) * ({nt[cur]} + vb)"
+        else:
+            up, down = f"{up} * ({nd[cur]} + {a})", f"{down} * ({nd[t]} + {a})"
+        add("u", u)
+        add("took", f"u * ({down}) < {up}")
+
+    cur = "c0"
+    for step in range(steps):
+        u = [_uniform(step * sampler.DRAWS + j) for j in range(8)]
+        add("u1", u[1])
+        add("u2", u[2])
+        own, rest = drawn("u1", "u2", "n", "m", "th", "al"), drawn("u1", "u2", "sn", "sm", "sth", "sal")
+        add(f"t{step}", f"CASE WHEN {u[0]} * (mass + smass) < mass THEN tp[{own} + 1] ELSE {rest} END")
+        accept(cur, f"t{step}", u[3], True)
+        q = f"SELECT * EXCLUDE (u, u1, u2, took), CASE WHEN took THEN t{step} ELSE {cur} END AS w{step} FROM ({q})"
+        add(f"d{step}", f"CASE WHEN {u[5]} < total / (total + {c.alpha * k!r}::DOUBLE) THEN z[least(CAST(floor({u[4]} * total) AS BIGINT), total - 1) + 1] ELSE least(CAST(floor({u[6]} * {k}) AS BIGINT), {k} - 1) END")
+        accept(f"w{step}", f"d{step}", u[7], False)
+        cur = f"c{step + 1}"
+        q = f"SELECT * EXCLUDE (u, took), CASE WHEN took THEN d{step} ELSE w{step} END AS {cur} FROM ({q})"
+    return f"SELECT *, {cur} AS cur FROM ({q})"
+
+
+def _sampling(c: Config) -> dict[str, str]:
+    """One pass over all tokens, each by itself, or each after those before it in its document."""
+    each = f"SELECT d.* EXCLUDE (r), r - 1 AS r, ws[r] AS word_id, z[r] AS old, {_mixed('xor(hd, r - 1)')} AS h FROM (SELECT *, unnest(range(1, total + 1)) AS r FROM cnd) d"
+    alone = _chain(f"SELECT * FROM ({each}) JOIN wrd USING (word_id) CROSS JOIN sha", c, c.mh_steps)
+    turn = _chain(f"SELECT s.*, s.z[r + 1] AS old, {_mixed('xor(hd, r)')} AS h, w.* EXCLUDE (word_id), sha.* FROM s JOIN wrd w ON w.word_id = s.ws[s.r + 1] CROSS JOIN sha WHERE s.r < s.total", c, c.mh_steps)
+    after = "SELECT doc_id, total, ws, hd, r + 1 AS r, list_concat(z[1:r], [CAST(cur AS INTEGER)], z[r + 2:]) AS z, [nd[t + 1] - CAST(t = old AS INTEGER) + CAST(t = cur AS INTEGER) FOR t IN range(len(nd))] AS nd FROM (%s)" % turn
+    swept = f"s AS (SELECT doc_id, total, ws, hd, 0::BIGINT AS r, z, nd FROM cnd UNION ALL {after})"
+    return {"alone": f"SELECT doc_id, CAST(r AS INTEGER) AS rank, word_id, CAST(%s AS INTEGER) AS topic FROM ({alone})", "swept": swept}
+
+
 def oracles(c: Config = CFG) -> dict[str, str]:
     stop = ", ".join(f"('{w}')" for w in T.STOP_WORDS)
     k, a, b, load = c.topics, c.alpha, c.beta, c.load_factor
@@ -310,7 +416,6 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "corpus_llh": corpus,
         "topic_report": f"SELECT topic || chr(9) || string_agg(word || ':' || printf('%.6f', prob), ' ' ORDER BY rank) AS line FROM rep WHERE rank <= {TOP} GROUP BY topic",
         "dump_summary": "SELECT string_agg(topic || ':' || cnt, ' ' ORDER BY topic) AS line FROM nt",
-        "throughput": "SELECT CAST(i AS INTEGER) AS iteration, (SELECT count(*) FROM enc) AS tokens, true AS timed, true AS moves FROM range(2) t(i)",
         "doc_llh": f"SELECT doc_id, round({e(k * c.ll_alpha) - k * e(c.ll_alpha)!r} + {d} * ({e(c.ll_alpha)!r}) - {_llg(f'nd + {k * c.ll_alpha!r}::DOUBLE')}, 3) AS llh FROM (SELECT doc_id, sum({_llg(f'cnt + {c.ll_alpha}::DOUBLE')}) AS lg, count(*) AS nnz, sum(cnt) AS nd FROM ntd GROUP BY doc_id)",
         "word_llh": f"SELECT word_id, round({d} * ({e(b)!r}), 3) AS llh FROM (SELECT word_id, sum({_llg(f'cnt + {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM ntw GROUP BY word_id)",
         "llh_normalizer": f"SELECT round({k} * (lv - v * ({e(b)!r})) - lg - ({k} - nnz) * lv, 2) AS normalizer FROM (SELECT any_value(v) AS v, any_value({_llg(f'v * {b}::DOUBLE')}) AS lv, sum({_llg(f'cnt + v * {b}::DOUBLE')}) AS lg, count(*) AS nnz FROM nt CROSS JOIN nv)",
@@ -321,7 +426,18 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "infer_conservation": f"SELECT item_id AS doc_id, CAST(least({c.max_tokens}, count(*)) AS BIGINT) AS n_tokens FROM (SELECT item_id, unnest({words}) AS word FROM benchmark) JOIN ids USING (word) GROUP BY item_id",
         "train_step_conservation": "SELECT word_id, count(*) AS n_tokens FROM enc GROUP BY word_id",
     }
-    return {n: f"WITH RECURSIVE {mat} {q}" for n, q in ends.items()}
+    out = {n: f"WITH RECURSIVE {mat} {q}" for n, q in ends.items()}
+    part = _sampling(c)
+    more = f"WITH RECURSIVE {mat}, {', '.join(f'{n} AS MATERIALIZED ({q})' for n, q in _tables(c))}"
+    out |= {"propose_topics": f"{more} {part['alone'] % 't0'}", "mh_chain": f"{more} {part['alone'] % 'cur'}"}
+    final = "SELECT doc_id, unnest(ws) AS word_id, unnest(z) AS topic FROM s WHERE r = total"
+    out["train_step"] = f"{more}, {part['swept']} SELECT word_id, topic, count(*) AS cnt FROM ({final}) GROUP BY word_id, topic"
+    both = f"SELECT unnest(s.z) AS new, unnest(p.z) AS old FROM s JOIN pck p USING (doc_id) WHERE s.r = s.total"
+    out["throughput"] = (
+        f"{more}, {part['swept']}, b AS MATERIALIZED ({both}) SELECT topic, (SELECT count(*) FROM b WHERE old = topic) AS tokens_before, (SELECT count(*) FROM b WHERE new = topic) AS tokens_after, "
+        "(SELECT count(*) FROM b WHERE new = topic AND old <> new) AS moved_in, (SELECT count(*) FROM b WHERE old = topic AND old <> new) AS moved_out FROM ks"
+    )
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

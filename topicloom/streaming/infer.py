@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from topicloom.plans.lineage import forget
 from topicloom.plans.train import Model
 
 
@@ -18,6 +19,8 @@ def infer_stream(docs: DataFrame, model: Model, path: str, checkpoint: str, iter
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            model.transform(batch, iterations).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            got = model.transform(batch, iterations)
+            got.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            forget(got)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
