@@ -67,6 +67,31 @@ def test_noise_in_inline_elements_at_any_depth():
     assert Page("<div>" * 3000 + "deep" + "</div>" * 3000).main_text() == "deep"
 
 
+def test_deep_nesting_and_names():
+    """Time is linear in the nesting; only whole names count as marks."""
+    import time
+
+    for deep in ("<div>" * 100_000 + "deep", "<div>" * 50_000 + "<li>x</zz>" * 10_000, "<b>" * 50_000 + "deep"):
+        began = time.monotonic()
+        assert Page(deep).main_text()
+        assert time.monotonic() - began < 8  # about 1 s on an idle machine
+    assert Page('<article><p>a</p><div class="related-work">b</div><div class="share">no</div></article>').main_text() == "a b"
+
+
+def test_the_tree_alone_finds_what_landmarks_say(spark):
+    """Menus, adverts and footers whose words differ from page to page go by their fixed place."""
+    rng = np.random.default_rng(3)
+    said = lambda n: " ".join(f"w{rng.integers(3000)}" for _ in range(n))
+    page = '<nav><ul>{}</ul></nav><div class="ad">{}</div><article><h1>{}</h1>{}</article><footer>{}</footer>'
+    rows = []
+    for i in range(40):
+        items = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in said(6).split())
+        rows.append((i, f"http://h.com/{i}", page.format(items, said(8), said(4), "".join(f"<p>{said(60)}</p>" for _ in range(rng.integers(1, 12))), said(9))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    marked, alone = ({r.page_id: r.text for r in html_extract.extract(pages, landmarks=x).collect()} for x in (True, False))
+    assert marked == alone == {i: Page(h).main_text() for i, _, h in rows}
+
+
 def test_importance_against_the_recursive_formula(spark):
     from collections import Counter, defaultdict
 
@@ -86,7 +111,7 @@ def test_importance_against_the_recursive_formula(spark):
                     styles[e.path][tuple(e.kids)] += 1
                     for k in e.kids:
                         share[k] += 1 / len(e.kids)
-            for path, t in {(e.path, t) for e, t in page.blocks}:
+            for path, t in {(e.path, w) for e, t in page.blocks for w in t.split()}:
                 texts[path][t] += 1
         count = Counter(e.path for page in pages for e in page.elements)
 
@@ -106,6 +131,10 @@ def test_importance_against_the_recursive_formula(spark):
         for path in shown:
             want = max(composite(path), content(path) if texts[path] else 0)
             assert got[host, path].importance == pytest.approx(want, abs=1e-9) and got[host, path].pages == shown[path]
+            told = {p: sum(n * (1 - np.log(n) / np.log(shown[p])) if shown[p] > 1 else n for n in texts[p].values()) for p in shown}
+            below = lambda p: told[p] + sum(below(k) for k in parent if parent[k] == p)
+            if parent[path] in shown and below(parent[path]) > 0:
+                assert got[host, path].share == pytest.approx(below(path) / below(parent[path]), abs=1e-9)
             seen += 1
     assert seen == len(got) > 12
 

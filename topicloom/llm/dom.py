@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import xxhash
 
-#: Elements nested deeper, as browsers nest none, count as their ancestor at this depth in the tree.
+#: Elements nested deeper, as browsers nest none, count as their ancestor at this depth in the site's tree; a page's own blocks and marks know no bound.
 MAX_DEPTH = 512
 
 _TOKEN = re.compile(
@@ -19,7 +19,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[a-z]+")
+_LINK = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # How HTML treats its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,26 +40,26 @@ CLOSES = {
 MAIN_TAGS = frozenset(["article", "main"])
 NOISE_TAGS = frozenset("head nav header footer aside form menu dialog button select input object embed audio video canvas map".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs sidebar sidebars footer header masthead comment comments cookie cookies consent gdpr notice notices newsletter "
-    "subscribe subscription share sharing social related popup modal overlay login signup search widget widgets disqus reply replies respond".split()
+#: Whole names of classes or ids that say as much as a tag does; parts of longer names do not count.
+NOISE_NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead "
+    "comment comments cookie-notice notice newsletter share social widget disqus".split()
 )
-OUTER_WORDS = frozenset(["header", "banner"])
+OUTER_NAMES = frozenset(["header", "banner"])
 
 
 @lru_cache(1 << 16)
 def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
-    """Key of an element among its siblings; main, noise, noise only outside main, noise by its words alone."""
+    """Key of an element among its siblings; main, noise, noise only outside main, noise by its name alone."""
     found = {}
     for name, a, b, c in _ATTR.findall(attrs):
         found.setdefault(name.lower(), (a or b or c).lower())
+    names = set(found.get("class", "").split()) | {found.get("id", "")}
     label = " ".join(sorted(found.get("class", "").split()))
-    words = set(_PART.findall(label)) | set(_PART.findall(found.get("id", "")))
     role = found.get("role", "")
     main = tag in MAIN_TAGS or role == "main"
-    noise = tag in NOISE_TAGS and tag != "header" or role in NOISE_ROLES or bool(words & (NOISE_WORDS - OUTER_WORDS))
-    outer = tag == "header" or bool(words & OUTER_WORDS)
+    noise = tag in NOISE_TAGS and tag != "header" or role in NOISE_ROLES or bool(names & (NOISE_NAMES - OUTER_NAMES))
+    outer = tag == "header" or bool(names & OUTER_NAMES)
     may = not main and tag not in ("html", "body")
     return f"{tag}.{label}", main, noise and may, outer and may, tag not in NOISE_TAGS and role not in NOISE_ROLES
 
@@ -70,15 +70,20 @@ def _path(parent: int, key: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "depth", "noise", "within", "main", "holds", "kids", "worded")
+    __slots__ = ("tag", "path", "parent", "depth", "noise", "within", "main", "holds", "kids", "worded", "dropped", "links")
 
-    def __init__(self, tag: str, attrs: str, parent: Element | None):
+    def __init__(self, tag: str, attrs: str, parent: Element | None, landmarks: bool = True):
         key, self.main, noise, outer, self.worded = _marks(tag, attrs)
+        if not landmarks:
+            self.main = noise = outer = False
         inside = parent is not None and parent.main
         self.noise = noise or outer and not inside
         #: Inside an inline element that is noise, however deep.
         self.within = tag in INLINE and self.noise or parent is not None and parent.within
         self.tag, self.parent, self.holds, self.kids = tag, parent, False, []
+        #: A noise landmark here or above, save one that holds the main part; set when the page has been read.
+        self.dropped = False
+        self.links: list[str] = []
         self.main |= inside
         if parent is None:
             self.depth, self.path = 0, _path(0, key)
@@ -87,24 +92,6 @@ class Element:
         else:
             self.depth, self.path = parent.depth + 1, _path(parent.path, key)
 
-    def dropped(self) -> bool:
-        """A noise landmark here or above, save one that holds the main part."""
-        e = self
-        while e is not None:
-            if e.noise and not e.holds:
-                return True
-            e = e.parent
-        return False
-
-    def low(self, noise: frozenset[int]) -> bool:
-        """A path of ``noise`` here or above, below what holds a main landmark."""
-        e = self
-        while e is not None and not e.holds:
-            if e.path in noise:
-                return True
-            e = e.parent
-        return False
-
     def chain(self) -> list[int]:
         out, e = [], self
         while e is not None:
@@ -115,14 +102,19 @@ class Element:
 
 
 class Page:
-    """``elements`` in page order; ``blocks``: (element, text) with white space collapsed."""
+    """``elements`` in page order; ``blocks``: (element, text) with white space collapsed.
+
+    ``landmarks`` false reads the page without what it says of its own parts.  The time is
+    linear in the page's length, however deep it nests.
+    """
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, landmarks: bool = True):
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
         self.root = Element("#page", "", None)
         self.elements.append(self.root)
         stack, text = [self.root], []
+        opened: Counter = Counter()
         source = source or ""
 
         def flush():
@@ -130,16 +122,13 @@ class Page:
                 whole = " ".join(html.unescape("".join(text)).split())
                 text.clear()
                 if whole:
-                    holder = stack[-1]
-                    while holder.tag in INLINE and holder.parent is not None:
-                        holder = holder.parent
-                    self.blocks.append((holder, whole))
+                    self.blocks.append((self._holder(stack[-1]), whole))
 
         def leave(to: int):
             while len(stack) > to:
                 if stack[-1].tag not in INLINE:
                     flush()
-                stack.pop()
+                opened[stack.pop().tag] -= 1
 
         pos = 0
         while True:
@@ -160,7 +149,7 @@ class Page:
             if close:
                 if tag == "br":
                     flush()
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[i].tag == tag:
                         leave(i)
                         break
@@ -168,9 +157,12 @@ class Page:
                         break  # an inline end tag closes nothing outside its block
                 continue
             if tag in INLINE:
-                inline = Element(tag, attrs, stack[-1])
+                inline = Element(tag, attrs, stack[-1], landmarks)
+                if tag == "a" and not inline.within and (link := _LINK.search(attrs)):
+                    self._holder(stack[-1]).links.append(link[1] or link[2] or link[3] or "")
                 if tag not in VOID and not attrs.endswith("/"):
                     stack.append(inline)  # its text is its block's; it is no node of the tree
+                    opened[tag] += 1
                 continue
             flush()
             if tag in VOID:
@@ -181,11 +173,14 @@ class Page:
                 continue
             if tag in CLOSES:
                 ends, within = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                ends = ends.split()
+                for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                     if stack[i].tag in within:
                         break
-                    if stack[i].tag in ends.split():
+                    if stack[i].tag in ends:
                         leave(i)
+                        if len(ends) == 1 or not any(opened[t] for t in ends):
+                            break
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
@@ -196,39 +191,52 @@ class Page:
             noisy = stack[-1].within
             while not noisy and stack[-1].tag in INLINE:
                 leave(len(stack) - 1)
-            e = Element(tag, attrs, stack[-1])
-            if tag in MAIN_TAGS or e.main and not stack[-1].main:
-                for x in stack:
+            e = Element(tag, attrs, stack[-1], landmarks)
+            if landmarks and (tag in MAIN_TAGS or e.main and not stack[-1].main):
+                for x in reversed(stack):
+                    if x.holds:
+                        break  # and so does all above
                     x.holds = True
             stack[-1].kids.append(e.path)
             stack.append(e)
+            opened[tag] += 1
             self.elements.append(e)
         leave(1)
         flush()
         self._wrappers()
+        for e in self.elements:  # parents come first
+            e.dropped = e.noise and not e.holds or e.parent is not None and self._holder(e.parent).dropped
+
+    @staticmethod
+    def _holder(e: Element) -> Element:
+        """The block that an element's text belongs to."""
+        while e.tag in INLINE and e.parent is not None:
+            e = e.parent
+        return e
 
     def _wrappers(self):
-        """Without a main landmark, an element with a noise word that holds the page's
+        """Without a main landmark, an element with a noise name that holds the page's
         heading and over half of its text is a wrapper, not noise."""
-        if any(e.main for e in self.elements):
+        if any(e.main for e in self.elements) or not any(e.noise for e in self.elements):
             return
-        size, titled, whole = Counter(), set(), 0
+        named, size, titled = {}, Counter(), set()  # by element: all marks from the root on are names; text below; a heading below
+        for e in self.elements:
+            named[e] = (not e.noise or e.worded) and (e.parent is None or named[self._holder(e.parent)])
         for e, t in self.blocks:
-            x = e
-            marks = []
-            while x is not None:
-                if x.noise:
-                    marks.append(x)
-                x = x.parent
-            if all(m.worded for m in marks):
-                whole += len(t)
-                for m in marks:
-                    size[m] += len(t)
-                    if e.tag == "h1":
-                        titled.add(m)
-        for m in titled:
-            if size[m] * 2 > whole:
-                m.noise = False
+            if named[e]:
+                size[e] += len(t)
+                if e.tag == "h1":
+                    titled.add(e)
+        whole = sum(size.values())
+        for e in reversed(self.elements):
+            if e.parent is not None:
+                above = self._holder(e.parent)
+                size[above] += size[e]
+                if e in titled:
+                    titled.add(above)
+        for e in titled:
+            if e.noise and size[e] * 2 > whole:
+                e.noise = False
 
     def main_text(self, noise: frozenset[int] = frozenset(), body: frozenset[int] = frozenset()) -> str:
         """Blocks that stay, in page order.
@@ -237,7 +245,10 @@ class Page:
         landmark has text, blocks outside it stay if their path is in ``body``.  If
         nothing is left, what the landmarks alone leave stays.
         """
-        kept = [(e, t) for e, t in self.blocks if not e.dropped()]
+        low: dict[Element, bool] = {}
+        for e in self.elements:  # below what holds a main landmark, a path of ``noise`` here or above
+            low[e] = not e.holds and (e.path in noise or e.parent is not None and low[self._holder(e.parent)])
+        kept = [(e, t) for e, t in self.blocks if not e.dropped]
         inner = any(e.main for e, _ in kept)
-        left = [t for e, t in kept if (not inner or e.main or e.path in body) and not e.low(noise)]
+        left = [t for e, t in kept if (not inner or e.main or e.path in body) and not low[e]]
         return " ".join(left or [t for e, t in kept if e.main or not inner])
