@@ -10,6 +10,7 @@ go to the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -75,6 +76,10 @@ def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: The one way of splitting texts that ``piece_starts`` knows.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
 class Encoder:
     """Ids of texts, equal to the tokenizer's own ``encode_batch``."""
 
@@ -82,6 +87,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        made = json.loads(self.tok.to_str())
+        if made["model"]["type"] != "BPE" or made["normalizer"] or made["pre_tokenizer"] != PRE_TOKENIZER:
+            raise ValueError(f"{path}: only byte-level pairs whose texts are split as byte-level pieces are read: {made['model']['type']}, {made['normalizer']}, {made['pre_tokenizer']}")
         self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()

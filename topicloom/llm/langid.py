@@ -27,8 +27,6 @@ from topicloom.llm.common import bounded_batches, lean, send
 ORDER = 3
 #: Training texts per language at most, in expectation; the sample is by hash of the id.
 SAMPLE_PER_LANG = 2000
-#: Contexts seen less often, in all languages together, are not used.
-MIN_CONTEXT = 4
 UNKNOWN = "und"
 CHUNK = 1 << 19
 
@@ -159,8 +157,7 @@ class Tree:
 class Model:
     """Frozen context trees of all languages.
 
-    A context is used if it is seen ``MIN_CONTEXT`` times in all languages together,
-    and its shorter ones are used; there is no bound on their number.
+    All contexts of the sample are used, however rare; there is no bound on their number.
     """
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
@@ -168,9 +165,7 @@ class Model:
         gram = gram.astype(np.int64)
         self.contexts = [np.zeros(1, np.int64)]
         for k in range(1, ORDER + 1):
-            key, where = np.unique(_suffix(gram >> 8, k), return_inverse=True)
-            keep = key[np.bincount(where, n, len(key)) >= MIN_CONTEXT]
-            self.contexts.append(keep[_find(self.contexts[-1], _suffix(keep, k - 1))[1]])
+            self.contexts.append(np.unique(_suffix(gram >> 8, k)))
         order = np.argsort(lang, kind="stable")
         ends = np.searchsorted(lang[order], np.arange(len(langs) + 1))
         self.trees = [Tree(self.contexts, gram[own], n[own]) for own in (order[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True))]

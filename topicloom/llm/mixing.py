@@ -100,7 +100,7 @@ def solve(hist: DataFrame, targets: DataFrame, cap: float, n_sources: int) -> Da
     keep = ["skey", "source_size", "target", "mean", "full"]
     for _ in range(MAX_STEPS):
         if state.filter(~F.col("done")).isEmpty():
-            break
+            return state.select(*keep, "lam")
         x = F.col("size") / F.col("mean")
         th = F.tanh(F.col("lam") * x / 2)
         mass = F.col("n") * F.col("size")
@@ -126,6 +126,8 @@ def solve(hist: DataFrame, targets: DataFrame, cap: float, n_sources: int) -> Da
         done = F.col("done") | there
         lam = F.when(done, F.col("lam")).when(F.coalesce(inside & near, F.lit(False)), newton).otherwise(other)
         state = cut(s.select(*keep, lam.alias("lam"), "lo", "hi", done.alias("done")))
+    if not state.filter(~F.col("done")).isEmpty():
+        raise RuntimeError(f"the dual did not settle in {MAX_STEPS} steps")
     return state.select(*keep, "lam")
 
 

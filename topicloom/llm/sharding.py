@@ -22,6 +22,8 @@ SHARDS = 24
 #: How far apart loads may be, as a share of their mean.
 TOLERANCE = 0.0005
 MAP_SCHEMA = "slot int, shard int"
+#: Moves a slot, on average, after which a map counts as one that cannot be edited.
+MOST_MOVES = 4
 
 
 def slot_of(id_col: Column, content: Column, slots: int = SLOTS) -> Column:
@@ -65,10 +67,10 @@ def rebalance(current: dict[int, int], load: dict[int, int], shards: int, tolera
     for slot in sorted(loose, key=lambda s: (-load.get(s, 0), s)):
         move(slot, min(total, key=lambda s: (total[s], s)))
     mean, stuck = sum(total.values()) / shards, set()
-    for _ in range(4 * len(current)):
-        open_ = [s for s in total if s not in stuck]
-        if not open_:
-            break
+    moves = 0
+    while open_ := [s for s in total if s not in stuck]:  # without one no move or exchange makes the shards more equal
+        if (moves := moves + 1) > MOST_MOVES * max(1, len(current)):
+            raise RuntimeError(f"shards are not balanced after {moves} moves: {max(total.values())} and {min(total.values())} bytes")
         high, low = max(open_, key=lambda s: (total[s], s)), min(total, key=lambda s: (total[s], -s))
         gap = total[high] - total[low]
         if gap <= tolerance * mean:
