@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,8 @@ def _index(kind: pa.DataType):
         first = number = 0
         for ids, out, w, edges in held:
             own = codes[first : first + len(w)]
-            texts = [own[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            pack = zstandard.ZstdCompressor(1).compress
+            texts = [pack(own[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
             n = len(texts)
             yield rows(n, block=pa.array(np.full(n, block)), kind=pa.array(np.ones(n, np.int32)), at=pa.array(np.arange(number, number + n)), doc_id=ids, held_out=pa.array(out), ids=pa.array(texts, pa.binary()))
             first, number = first + len(w), number + n
@@ -159,7 +161,8 @@ def _encode(kind: pa.DataType, symbols: Symbols, total: int, distinct: int):
                     symbol, share = symbols.of(words, n)
                     table = symbol, share, n > 0, np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
                 symbol, share, known, base = table
-                codes = [np.frombuffer(x, np.int32) for x in piece.column("ids").to_pylist()]
+                unpack = zstandard.ZstdDecompressor().decompress
+                codes = [np.frombuffer(unpack(x), np.int32) for x in piece.column("ids").to_pylist()]
                 size = len(codes)
                 cols = [
                     piece.column("doc_id"), piece.column("held_out"), pa.array((np.arange(number, number + size) % ROUNDS).astype(np.int32)), pa.array([len(c) for c in codes], pa.int64()),
