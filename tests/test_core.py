@@ -1,4 +1,5 @@
 import math
+from collections import defaultdict
 from dataclasses import replace
 
 import numpy as np
@@ -327,6 +328,60 @@ def test_rows_of_one_document_and_null_ids(spark):
     assert P.encode(df.limit(0), ids, 3).count() == 0
 
 
+def test_a_dictionary_beyond_a_broadcast(spark):
+    """Looked up by blocks of documents it gives the same tokens; no token is shuffled by its word."""
+    rng = np.random.default_rng(13)
+    rows = [(i % 70 if i % 9 else None, " ".join(f"w{int(rng.exponential(20))}" for _ in range(rng.integers(0, 30)))) for i in range(120)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*rows, (500, None), (501, ""), (502, "unknown only")]], "doc_id long, text string, block int, word string")
+    ids = P.word_ids(P.vocabulary(P.term_frequency(df), 3))
+    one, other = P.encode(df, ids, 12), P.encode(df, ids, 12, most=0)
+    assert one.count() > 300 and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty() and one.schema.names == other.schema.names
+    assert "BroadcastHashJoin" in one._jdf.queryExecution().toString() and P.encode(df.limit(0), ids, 12, most=0).count() == 0
+    texts = P._encode_by_block(df, ids, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in texts and "hashpartitioning(word" in texts
+
+
+def test_ranks_inside_keys(spark, monkeypatch):
+    """A key that holds most rows goes over several partitions; ranks go on from one to the next."""
+    rng = np.random.default_rng(14)
+    rows = [(0 if rng.random() < 0.8 else int(rng.integers(1, 6)), int(rng.integers(50)), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v int, i int")
+    per = defaultdict(list)
+    for k, v, i in rows:
+        per[k].append((-v, i))
+    want = {(k, -v, i): n for k, vs in per.items() for n, (v, i) in enumerate(sorted(vs), 1)}
+    small = "spark.sql.adaptive.coalescePartitions.enabled"  # these rows would go to one partition
+    spark.conf.set(small, "false")
+    for most in (lineage.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lineage, "lookup", lambda x, size, most=most: F.broadcast(x) if size <= most else x)
+        got = lineage.ranks(df, "rank", ["k"], F.desc("v"), F.asc("i"))
+        assert {(r.k, r.v, r.i): r["rank"] for r in got.collect()} == want
+    spread = lineage.numbered(df, "k", F.desc("v")).filter("k = 0").select("__p").distinct().count()
+    spark.conf.set(small, "true")
+    assert spread > 1 and lineage.ranks(df.limit(0), "rank", ["k"], "v").count() == 0
+
+
+def test_block_store(spark, docs, tmp_path):
+    """Tables in buckets: summed and joined by block without a shuffle, one bucket read for a block."""
+    ids, enc = P.prepare(docs, Config(min_count=2))
+    blocks = P.doc_blocks(docs, 3)
+    tokens, vocab = enc.join(blocks, "doc_id"), P.block_vocab(enc, blocks, ids)
+    files.store_blocks(tokens, "tokens_by_block", 4, str(tmp_path / "tokens"))
+    files.store_blocks(vocab, "vocab_by_block", 4, str(tmp_path / "vocab"))
+    stored = files.stored_blocks(spark, "tokens_by_block")
+    assert stored.exceptAll(tokens.select(stored.columns)).isEmpty() and tokens.select(stored.columns).exceptAll(stored).isEmpty()
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    local = stored.groupBy("block_id", "word_id").agg(F.count("*").alias("n"))
+    both = files.stored_blocks(spark, "vocab_by_block").hint("merge").join(local, ["block_id", "word_id"])
+    assert "Exchange" not in plan(local) and both.filter("n <> local_tf").isEmpty() and both.count() == vocab.count()
+    by_block = stored.groupBy("block_id").agg(F.count("*").alias("n")).hint("merge").join(files.stored_blocks(spark, "vocab_by_block"), "block_id")
+    assert "Exchange" not in plan(by_block)
+    one = files.stored_blocks(spark, "tokens_by_block", 1)
+    assert one.count() == tokens.filter("block_id = 1").count() and "SelectedBucketsCount: 1 out of 4" in plan(one)
+    spark.sql("DROP TABLE tokens_by_block")
+    spark.sql("DROP TABLE vocab_by_block")
+
+
 def test_dump_round_trip(docs, spark, tmp_path):
     _, enc = P.prepare(docs, Config(min_count=2))
     model = C.word_topic(C.init_topics(enc, 4, 1))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.plans.lineage import cut, dense_ids, lookup
+from topicloom.plans.lineage import BROADCAST_BYTES, bounded_batches, cut, dense_ids, lookup
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
@@ -19,14 +22,13 @@ def tokenize(docs: DataFrame) -> DataFrame:
 def term_frequency(docs: DataFrame) -> DataFrame:
     """``word, tf, df`` of ``text``: occurrences and documents (rows) of each word.
 
-    A document's distinct words are found in its row, so one shuffle by word, of sums
-    combined before it, is all.
+    A document's words are sorted in its row, where the first of each is marked, so one
+    shuffle by word, of sums combined before it, is all.
     """
-    words = T.tokens(F.col("text"))
-    seen = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("t"), F.lit(0).alias("d")))
-    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(0).alias("t"), F.lit(1).alias("d")))
-    x = docs.select(F.explode(F.concat(seen, once)).alias("x"))
-    return x.groupBy(F.col("x.word").alias("word")).agg(F.sum("x.t").alias("tf"), F.sum("x.d").alias("df"))
+    sorted_ = docs.select(F.sort_array(T.tokens(F.col("text"))).alias("ws"))
+    marked = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.when((i > 0) & (w == F.get("ws", i - 1)), 0).otherwise(1).alias("d")))
+    x = sorted_.select(F.explode(marked).alias("x"))
+    return x.groupBy(F.col("x.word").alias("word")).agg(F.count("*").alias("tf"), F.sum("x.d").alias("df"))
 
 
 def drop_stop_words(counts: DataFrame, words: Iterable[str] | DataFrame = T.STOP_WORDS) -> DataFrame:
@@ -40,23 +42,97 @@ def vocabulary(counts: DataFrame, min_count: int) -> DataFrame:
     return counts.filter(F.col("tf") >= min_count)
 
 
+def _shuffled(c: str, seed: int) -> Column:
+    """What rows are ordered by in a seeded shuffle that SQL can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary"))
+
+
 def word_ids(vocab: DataFrame, shuffle_seed: int | None = None) -> DataFrame:
     """``word_id, word, tf, df``; ids from 0 by falling tf, then word, or in a seeded shuffle."""
-    order = [F.desc("tf"), F.asc("word")] if shuffle_seed is None else [F.xxhash64("word", F.lit(shuffle_seed)), F.asc("word")]
+    order = [F.desc("tf"), F.asc("word")] if shuffle_seed is None else [_shuffled("word", shuffle_seed), F.asc("word")]
     return dense_ids(vocab, "word_id", *order).select(F.col("word_id").cast("int").alias("word_id"), "word", "tf", "df")
 
 
-def encode(docs: DataFrame, ids: DataFrame, max_tokens: int) -> DataFrame:
+def dictionary_bytes(ids: DataFrame) -> int:
+    """About what a task holds of a dictionary: its words, and so much a row."""
+    return ids.select(F.sum(F.octet_length("word") + 48)).first()[0] or 0
+
+
+def encode(docs: DataFrame, ids: DataFrame, max_tokens: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id, pos, word_id``: the first tokens of each document that have an id, pos from 1.
 
     Texts, not tokens, are dealt by document: words are looked up and cut where they are.
-    Rows that repeat an id are one document, their tokens in turn by position.
+    Rows that repeat an id are one document, their tokens in turn by position.  A
+    dictionary of more than ``most`` bytes is not broadcast: see ``_encode_by_block``.
     """
-    kept = tokenize(docs.repartition("doc_id")).join(lookup(ids.select("word", "word_id"), ids.count()), "word")
+    if dictionary_bytes(ids) > most:
+        return _encode_by_block(docs, ids, max_tokens)
+    kept = tokenize(docs.repartition("doc_id")).join(F.broadcast(ids.select("word", "word_id")), "word")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "word_id"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= max_tokens).select("doc_id", F.col("rank").alias("pos"), "word_id")
 
 
+def _encode_by_block(docs: DataFrame, ids: DataFrame, max_tokens: int) -> DataFrame:
+    """Documents are dealt to blocks; a block's distinct words, not its tokens, look up their ids.
+
+    A word is asked for once by each block that has it, so no word is hot; its ids come to
+    the block before the block's texts, which are encoded in passing.
+    """
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    x = docs.select("doc_id", block, T.tokens(F.col("text")).alias("words"))
+    asked = x.select("block", F.explode(F.array_distinct("words")).alias("word")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = asked.join(ids.select("word", "word_id"), "word").select("block", F.lit(0).alias("kind"), "word", "word_id", none(kind).alias("doc_id"), none("array<string>").alias("words"))
+    texts = x.select("block", F.lit(1).alias("kind"), none("string").alias("word"), none("int").alias("word_id"), "doc_id", "words")
+    both = bounded_batches(known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "doc_id"))
+    names = ["doc_id", "pos", "word_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, words, ids_, held = None, [], [], []
+
+        def emit() -> pa.RecordBatch:
+            """The document whose rows are held."""
+            doc = held[0][0]
+            pos, word = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            held.clear()
+            word = word[np.lexsort((word, pos))][:max_tokens]
+            n = len(word)
+            return pa.RecordBatch.from_arrays([pa.array([doc] * n, out_type), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(word)], names)
+
+        for b in batches:
+            out_type = b.schema.field("doc_id").type
+            block, what = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edge = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (what[1:] != what[:-1])) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                piece = b.slice(lo, hi - lo)
+                if block[lo] != here:
+                    if held:
+                        yield emit()
+                    here, words, ids_ = block[lo], [], []
+                if not what[lo]:
+                    words.append(piece.column("word"))
+                    ids_.append(piece.column("word_id").to_numpy())
+                    continue
+                table = pa.concat_arrays(words) if words else pa.array([], pa.string())
+                number = np.concatenate(ids_) if ids_ else np.zeros(0, np.int32)
+                tokens = piece.column("words")
+                at = pc.index_in(tokens.flatten(), value_set=table).fill_null(-1).to_numpy()
+                start = tokens.offsets.to_numpy()
+                start = start - start[0]
+                for i, doc in enumerate(piece.column("doc_id").to_pylist()):
+                    if held and held[0][0] != doc:
+                        yield emit()
+                    own = at[start[i] : start[i + 1]]
+                    pos = np.flatnonzero(own >= 0)
+                    held.append((doc, pos, number[own[pos]]))
+        if held:
+            yield emit()
+
+    return both.mapInArrow(run, f"doc_id {kind}, pos int, word_id int")
+
+
 def documents_with_tokens(docs: DataFrame, encoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, words`` (sorted by word id) of every document, empty ones too."""
     per = encoded.groupBy("doc_id").agg(F.sort_array(F.collect_list("word_id")).alias("words"))  # at most max_tokens each
@@ -66,7 +142,7 @@ def documents_with_tokens(docs: DataFrame, encoded: DataFrame) -> DataFrame:
 
 def doc_blocks(docs: DataFrame, block_size: int, shuffle_seed: int | None = None) -> DataFrame:
     """``doc_id, block_id``: runs of ``block_size`` documents in order; the last holds the rest."""
-    order = [F.asc("doc_id")] if shuffle_seed is None else [F.xxhash64("doc_id", F.lit(shuffle_seed)), F.asc("doc_id")]
+    order = [F.asc("doc_id")] if shuffle_seed is None else [_shuffled("doc_id", shuffle_seed), F.asc("doc_id")]
     x = dense_ids(docs.select("doc_id"), "at", *order)
     return x.select("doc_id", F.floor(F.col("at") / block_size).cast("int").alias("block_id"))
 
@@ -75,7 +151,7 @@ def block_vocab(encoded: DataFrame, blocks: DataFrame, ids: DataFrame) -> DataFr
     """``block_id, word_id, global_tf, local_tf``; the local counts are after the cut."""
     local = encoded.join(blocks, "doc_id").groupBy("block_id", "word_id").agg(F.count("*").alias("local_tf"))
     glob = ids.select("word_id", F.col("tf").alias("global_tf"))
-    return local.join(lookup(glob, ids.count()), "word_id").select("block_id", "word_id", "global_tf", "local_tf")
+    return local.join(lookup(glob, ids.count() * 24), "word_id").select("block_id", "word_id", "global_tf", "local_tf")
 
 
 def block_stats(encoded: DataFrame, blocks: DataFrame) -> DataFrame:

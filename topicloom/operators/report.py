@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topicloom.plans.lineage import ranks
+
 
 def topic_words(model: DataFrame, ids: DataFrame, top: int | None = None) -> DataFrame:
     """``topic, rank, word_id, word, cnt, prob``: by count, then id; prob is the share in the topic."""
     total = model.groupBy("topic").agg(F.sum("cnt").alias("total"))
-    x = model.join(F.broadcast(total), "topic").withColumn(  # one row per topic
-        "rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("cnt"), "word_id"))
-    )
-    x = x.filter(F.col("rank") <= top) if top else x
+    x = model.select("topic", "word_id", "cnt").join(F.broadcast(total), "topic")  # one row per topic
+    order = [F.desc("cnt"), F.asc("word_id")]
+    if top:  # each task keeps the first rows of a topic alone
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(*order))).filter(F.col("rank") <= top)
+    else:
+        x = ranks(x, "rank", ["topic"], *order)
     return x.join(ids.select("word_id", "word"), "word_id").select("topic", "rank", "word_id", "word", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
 
 

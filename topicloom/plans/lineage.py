@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that is broadcast at most, as its rows are held.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of an Arrow batch that goes to Python.
 BATCH_BYTES = 8 << 20
+_planning = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,12 +38,15 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     shared_folder(spark)
     if not dealt:
         return df.checkpoint(eager=True)
-    before = spark.conf.get(adaptive)
-    spark.conf.set(adaptive, "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(adaptive, before)
+    with _planning:  # another thread may plan, too
+        before = spark.conf.get(adaptive)
+        spark.conf.set(adaptive, "false")
+        try:
+            planned = df.select("*")
+            planned._jdf.queryExecution().executedPlan()
+        finally:
+            spark.conf.set(adaptive, before)
+    return planned.checkpoint(eager=True)
 
 
 def forget(done: DataFrame) -> None:
@@ -58,9 +64,31 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def lookup(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A side to join with: broadcast if its counted rows are few."""
-    return F.broadcast(df) if rows <= most else df
+def lookup(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A side to join with: broadcast if its counted bytes are few."""
+    return F.broadcast(df) if size <= most else df
+
+
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """The rows (cut) in order over range partitions, with partition ``__p`` and place in it ``__i``."""
+    at = F.monotonically_increasing_id()
+    x = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    return x.withColumn("__p", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+
+
+def ranks(df: DataFrame, name: str, keys: list[str], *order) -> DataFrame:
+    """Rank from 1 inside each key, by order; keys are not null.
+
+    A segmented scan: rows are range-partitioned by key and order, so a key's rows lie in
+    partitions in turn; one row by partition and key carries how many came before.  No task
+    holds a key, however many rows it has.
+    """
+    x = numbered(df, *keys, *order)
+    per = x.groupBy("__p", *keys).agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition that has the key
+    per = cut(per.withColumn("__before", F.coalesce(earlier, F.lit(0))).drop("__n"))
+    got = x.join(lookup(per, per.count() * 24 * (2 + len(keys))), ["__p", *keys])
+    return got.withColumn(name, (F.col("__i") - F.col("__first") + F.col("__before") + 1).cast("int")).drop("__p", "__i", "__first", "__before")
 
 
 def dense_ids(df: DataFrame, name: str, *order) -> DataFrame:
@@ -69,13 +97,11 @@ def dense_ids(df: DataFrame, name: str, *order) -> DataFrame:
     Rows are range-partitioned and sorted; only each partition's count reaches the
     driver.  The checkpoint makes both passes see the same partitions.
     """
-    at = F.monotonically_increasing_id()
-    x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
-    x = cut(x).withColumn("__p", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1))
+    x = numbered(df, *order)
     counts = sorted(map(tuple, x.groupBy("__p").agg(F.count("*")).collect()))
     first, base = 0, []
     for p, n in counts:
         base.append((p, first))
         first += n
     starts = F.broadcast(df.sparkSession.createDataFrame(base, "__p long, __first long"))  # a row per partition
-    return x.join(starts, "__p").withColumn(name, F.col("__i") + F.col("__first")).drop("__at", "__p", "__i", "__first")
+    return x.join(starts, "__p").withColumn(name, F.col("__i") + F.col("__first")).drop("__p", "__i", "__first")

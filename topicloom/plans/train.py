@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -193,6 +195,7 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
     Documents of a block are sampled together with the model rows of its words.
     With ``cfg.staleness`` n an iteration samples against the counts of n iterations
     before the last, or the oldest of this run; a resumed run starts with fresh ones.
+    What an iteration changed is then counted while the next one samples.
     """
     if resume is not None:
         ids, docs, n_words, done, metrics, counts = resume.ids, resume.docs, resume.n_words, resume.done, list(resume.metrics), resume.frozen()
@@ -207,16 +210,22 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
     if written and resume is None:
         written.begin(ids)
     asked, given = cut(by_word(sampler.requests(docs)), dealt=True), (docs, counts) if resume is not None else (None, None)
-    snapshots, model = [counts], Model(cfg, ids, docs, n_words, metrics, done, counts)
+    # One counting after the other, beside the sampling if that need not wait for it.
+    counting = ThreadPoolExecutor(1)
+    after = lambda before, new: counting.submit(inheritable_thread_target(spark)(lambda: before.result().after(new)))
+    snapshots = [counting.submit(lambda: counts)]
+    model = Model(cfg, ids, docs, n_words, metrics, done, counts)
     for it in range(done, done + cfg.iterations):
         began = time.monotonic()
-        old, seen = snapshots[0], Observation()
+        old, seen = snapshots[0].result(), Observation()
         sent = old.send(cfg, n_words)
         new = sampler.sample(docs, asked, old.rows, sent, cfg.seed, it, cfg.mh_steps)
         new = cut(new.observe(seen, F.sum("by_word").alias("by_word"), F.sum("by_doc").alias("by_doc"), F.sum(F.size("words")).alias("tokens"), F.sum(F.size("moved")).alias("moved")))
         sent.destroy()
-        snapshots.append(snapshots[-1].after(new))
-        if len(snapshots) > cfg.staleness + 1 and (gone := snapshots.pop(0)) is not given[1]:
+        snapshots[-1].result()  # has read the documents that go
+        snapshots.append(after(snapshots[-1], new))
+        if len(snapshots) > cfg.staleness + 1 and (gone := snapshots.pop(0).result()) is not given[1]:
+            snapshots[0].result()  # has read the counts that go
             forget(gone.rows)
         if docs is not given[0]:
             forget(docs)
@@ -227,13 +236,16 @@ def fit(corpus: DataFrame | None, cfg: Config, resume: Model | None = None, on_d
         if due(it, cfg.llh_every):
             row |= stats.corpus_llh(unpack(docs), cfg.topics, cfg, n_words)
         metrics.append(row)
-        model = Model(cfg, ids, docs, n_words, metrics, it + 1, snapshots[-1])
+        if written or on_dump and due(it, cfg.dump_every) or it + 1 == done + cfg.iterations:
+            last = snapshots[-1].result()
+            model = Model(cfg, ids, docs, n_words, metrics, it + 1, last)
         if written:
             written.commit(model)
         if on_dump and due(it, cfg.dump_every):
             on_dump(it, model.word_topic())
     for m in snapshots[:-1]:
-        if m is not given[1]:
-            forget(m.rows)
+        if m.result() is not given[1]:
+            forget(m.result().rows)
+    counting.shutdown()
     forget(asked)
     return model

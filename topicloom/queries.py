@@ -120,6 +120,9 @@ BUILD = {
     "dict_meta": lambda s: planning.dict_meta(s.ids, s.cfg.topics, s.cfg.load_factor, s.cfg.clients),
     "dict_meta_by_client": lambda s: planning.dict_meta_by_client(s.ids, s.cfg.topics, s.cfg.load_factor, s.cfg.clients),
     "slice_meta": lambda s: s.slices,
+    "slice_summary": lambda s: planning.slice_summary(s.slices, s.block_vocab),
+    "word_ids_shuffled": lambda s: P.word_ids(s.vocab, s.cfg.seed).select("word_id", "word", "tf", "df"),
+    "doc_blocks_shuffled": lambda s: P.doc_blocks(s.docs, s.cfg.block_size, s.cfg.seed),
     "slice_semi_join": lambda s: planning.slice_rows(s.model, s.slices),
     "slice_requests": lambda s: planning.slice_requests(s.model, s.slices),
     "slice_index": lambda s: planning.slice_index(s.slices),
@@ -393,6 +396,9 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "dict_meta": f"SELECT client_id, word_id, CAST(sum(size) OVER w - size AS BIGINT) AS \"offset\", CAST(sum(size) OVER w AS BIGINT) AS end_offset, capacity, is_dense FROM (SELECT CAST(word_id % {c.clients} AS INTEGER) AS client_id, word_id, CAST({dense} AS INTEGER) AS is_dense, {cap} AS capacity, {size} AS size FROM ids) WINDOW w AS (PARTITION BY client_id ORDER BY word_id)",
         "dict_meta_by_client": f"SELECT CAST(word_id % {c.clients} AS INTEGER) AS client_id, count(*) AS n_words, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum({size}) AS BIGINT) AS memory FROM ids GROUP BY 1",
         "slice_meta": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id FROM sl",
+        "slice_summary": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, min(word_id) AS first_word, max(word_id) AS last_word, count(*) AS n_words, CAST(sum(global_tf) AS BIGINT) AS global_tf, CAST(sum(local_tf) AS BIGINT) AS local_tf FROM sl JOIN bv USING (block_id, word_id) GROUP BY block_id, slice_id",
+        "word_ids_shuffled": f"SELECT CAST(row_number() OVER (ORDER BY md5('{c.seed}:' || word), word) - 1 AS INTEGER) AS word_id, word, tf, df FROM voc",
+        "doc_blocks_shuffled": f"SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY md5('{c.seed}:' || doc_id), doc_id) - 1) / {c.block_size}) AS INTEGER) AS block_id FROM documents",
         "slice_semi_join": "SELECT * FROM ntw WHERE word_id IN (SELECT word_id FROM sl)",
         "slice_requests": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id, topic, cnt FROM sl JOIN ntw USING (word_id)",
         "init_topics": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, word_id, topic FROM init",

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets of a block store.
+BUCKETS = 64
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, path, text``: one document per regular file, empty ones too, not recursive; ids by hash of the path.
 
@@ -44,6 +48,23 @@ def read_block(spark: SparkSession, path: str, block_id: int | None = None) -> D
     return x if block_id is None else x.filter(F.col("block_id") == block_id)
 
 
+def store_blocks(rows: DataFrame, table: str, buckets: int = BUCKETS, path: str | None = None) -> None:
+    """``rows`` with a ``block_id`` as a bucketed table, sorted by block in each bucket.
+
+    However many blocks there are, there are ``buckets`` files a task at most; tables with
+    as many buckets are joined by block, and summed by it, without a shuffle.
+    """
+    sort = [c for c in ("block_id", "doc_id", "word_id", "pos") if c in rows.columns]
+    out = rows.repartition(buckets, "block_id").write.mode("errorifexists").format("parquet").bucketBy(buckets, "block_id").sortBy(*sort)
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
+def stored_blocks(spark: SparkSession, table: str, block_id: int | None = None) -> DataFrame:
+    """A bucketed table, or one block of it, for which one bucket is read."""
+    x = spark.table(table)
+    return x if block_id is None else x.filter(F.col("block_id") == block_id)
+
+
 def write_block_vocab(vocab: DataFrame, path: str) -> None:
     """Vocabulary by block: a table for reading back under ``table``, lines to look at under ``text``."""
     x = vocab.select("block_id", "word_id", "global_tf", "local_tf").repartition("block_id").sortWithinPartitions("block_id", "word_id")
