@@ -83,19 +83,24 @@ t AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS tar
 SELECT d.doc_id, d.size, t.source_size, round(t.target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
 
 
-def media_payloads(unit: int = 64) -> str:
-    """Sizes and digests of padded texts."""
-    return f"""
-SELECT doc_id, n_bytes, n_bytes + pad AS payload_bytes, sha256(coalesce(text, '') || repeat(chr(0), CAST(pad AS INTEGER))) AS payload_sha256
-FROM (SELECT doc_id, text, n_bytes, CASE WHEN n_bytes = 0 THEN {unit} ELSE ({unit} - n_bytes % {unit}) % {unit} END AS pad
-  FROM (SELECT doc_id, text, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents))"""
+def _crc32_of_hex(digits: str) -> str:
+    """Checksum of bytes written as hexadecimal digits, bit by bit."""
+    octets = f"[('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT for i in range(1, length({digits}) // 2 + 1)]"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295)"
 
 
 def _crc32(blob: str) -> str:
-    """Checksum of a BLOB, bit by bit."""
-    octets = f"[('0x' || substr(hex({blob}), 2 * i - 1, 2))::BIGINT for i in range(1, octet_length({blob}) + 1)]"
-    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295)"
+    return _crc32_of_hex(f"hex({blob})")
+
+
+def media_payloads(unit: int = 64) -> str:
+    """Sizes and digests of padded texts, and the checksum of their last bytes."""
+    return f"""
+SELECT doc_id, n_bytes, n_bytes + pad AS payload_bytes, sha256(coalesce(text, '') || repeat(chr(0), CAST(pad AS INTEGER))) AS payload_sha256, {_crc32_of_hex("tail")} AS tail_crc32
+FROM (SELECT *, right(hex(encode(coalesce(text, ''))) || repeat('00', CAST(pad AS INTEGER)), {2 * unit}) AS tail
+  FROM (SELECT doc_id, text, n_bytes, CASE WHEN n_bytes = 0 THEN {unit} ELSE ({unit} - n_bytes % {unit}) % {unit} END AS pad
+    FROM (SELECT doc_id, text, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents)))"""
 
 
 def whitening_deviations(scale: int = whitening.SCALE, components: int = whitening.COMPONENTS) -> str:

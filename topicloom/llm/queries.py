@@ -77,7 +77,7 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op7: what SQL can say of it."""
-    return op7_media_sniffing(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+    return op7_media_sniffing(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
 
 
 def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
