@@ -15,7 +15,7 @@ from topicloom.operators import planning, report, sampler, stats
 from topicloom.operators.alias import CHUNK, Tables, table_mass
 from topicloom.plans import lineage
 from topicloom.plans.lineage import dense_ids
-from topicloom.plans.train import Counts, Log, Model, by_word, changes, fit, unpack
+from topicloom.plans.train import Counts, Log, Model, by_word, changes, fit, pack, unpack
 from topicloom.sources import files
 from topicloom.streaming.infer import infer_stream
 
@@ -118,7 +118,7 @@ def test_a_word_with_a_million_topics(spark):
     model = spark.range(k).select(F.lit(3).alias("word_id"), F.col("id").cast("int").alias("topic"), F.when(F.col("id") < 1000, 400).otherwise(1).cast("long").alias("cnt"))
     docs = spark.createDataFrame([(1, 0, [3, 3, 5], [7, 8, 9])], "doc_id long, block int, words array<int>, topics array<int>")
     sent = spark.sparkContext.broadcast(s)
-    got = [sampler.sample(docs, sampler.requests(docs), model, sent, 1, 0, 4, max_entries=n).first().topics for n in (sampler.MAX_ENTRIES, 1000)]
+    got = [sampler.sample(docs, sampler.requests(docs), model, sent, 1, 0, 4, most=n).first().topics for n in (sampler.MAX_ENTRIES, 400_000)]
     assert got[0] == got[1] and len(got[0]) == 3
 
 
@@ -163,11 +163,28 @@ def test_many_topics_and_chunks_of_the_model(spark):
     m = fit(spark.createDataFrame(texts, "doc_id long, text string"), Config(min_count=1, topics=10_000, iterations=1))
     assert unpack(m.docs).count() == 80 * 60 and unpack(m.docs).agg(F.max("topic")).first()[0] > 5000
     sent, got = m.frozen().send(m.cfg, m.n_words), []
-    for blocks, entries in ((1, 10**9), (7, 50)):
+    for blocks, entries in ((1, 10**9), (7, 2000)):
         docs = m.docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-        out = sampler.sample(docs, sampler.requests(docs), m.word_topic(), sent, 42, 1, 2, max_entries=entries)
-        got.append(sorted((r.doc_id, r.topics, r.by_word, r.by_doc) for r in out.collect()))
+        out = sampler.sample(docs, sampler.requests(docs), m.word_topic(), sent, 42, 1, 2, most=entries)
+        got.append(sorted((r.doc_id, r.topics, r.by_word, r.by_doc, sorted(r.moved)) for r in out.collect()))
     assert got[0] == got[1] and len(got[0]) == 80
+    assert len(sampler.slices(m.word_topic(), 50)) > 20 and sampler.slices(m.word_topic(), 10**9) == [(0, 1 << 31)]
+    drawn = [sorted((r.doc_id, r.topics, r.drawn) for r in sampler.sample(m.docs, sampler.requests(m.docs), m.word_topic(), sent, 42, 1, 2, "chain", n).collect()) for n in (10**9, 2000)]
+    assert drawn[0] == drawn[1] and any(t != d for _, t, d in drawn[0])
+
+
+def test_model_rows_sent_do_not_grow_with_documents(spark):
+    """Twice the documents, as many blocks: each of them is sent a word's rows once."""
+    rng = np.random.default_rng(15)
+    text = lambda: " ".join(f"w{rng.integers(30)}" for _ in range(40))
+    most = sampler.parts_of(spark)
+    sent = []
+    for n in (most * sampler.LEAST_BLOCK // 8, most * sampler.LEAST_BLOCK // 4):
+        docs = spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string")
+        ids, enc = P.prepare(docs, Config(min_count=1))
+        packed = pack(C.init_topics(enc, 4, 1), most // 8)
+        sent.append(sampler.requests(packed).count())
+    assert sent[0] == sent[1] == 30 * (most // 8)
 
 
 def test_resume_from_disk_equals_an_unbroken_run(spark, tmp_path):

@@ -7,10 +7,10 @@ neither the layout of documents nor of the model changes a result.
 
 The model is sparse: rows ``word_id, topic, cnt``.  A word's proposal has two parts: its
 own topics with mass n_tw / (n_t + V beta), and a part that all words share,
-beta / (n_t + V beta); each has its alias table.  Model rows go to the blocks of
-documents that hold their words; a block takes them in order of words, a bounded number
-at a time (``MAX_ENTRIES``), and builds their tables.  Blocks are large, so a row is sent
-to few of them.
+beta / (n_t + V beta); each has its alias table.  The model is cut in slices of words,
+which visit the blocks of documents in turn; a block builds the tables of a slice's
+rows and lets its documents pass.  There are as many blocks as the cluster has work for,
+whatever the number of documents, so what is sent grows with the model, not with them.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.alias import Tables
-from topicloom.plans.lineage import bounded_batches
+from topicloom.plans.lineage import bounded_batches, cut, forget
 
 DOCS = 1024
-#: Documents of a block at most, in expectation, and at least where there are tasks to spare.
-BLOCK, LEAST_BLOCK = 32_768, 256
-#: Entries of model rows that a block holds at a time; a word is never split.
+#: Documents of a block at least, in expectation, and blocks for each task that runs at once at most.
+LEAST_BLOCK, PARTS = 256, 4
+#: Entries of model rows that a slice has, and a block holds; a word is never split.
 MAX_ENTRIES = 4_000_000
 #: Cells of the dense topic counts of a batch of documents; with more topics they are counted as needed.
 MAX_CELLS = 8_000_000
@@ -252,94 +252,99 @@ def requests(docs: DataFrame) -> DataFrame:
     return docs.select("block", F.explode(F.array_distinct("words")).alias("word_id")).distinct()
 
 
-def sample(docs: DataFrame, asked: DataFrame, model: DataFrame, sent: Broadcast, seed: int, iteration: int, steps: int, kind: str = "train", max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``doc_id, block, words, topics, moved, by_word, by_doc`` after one pass over all tokens.
+def slices(model: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of words, from the first to before the last, that cover all, of about ``most`` model rows at most.
+
+    A row is an entry, so quantiles of the word over the rows cut the entries evenly; a
+    word is in one range, however many entries it has.
+    """
+    n = -(-model.count() // most)
+    cuts = model.approxQuantile("word_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    edges = [0, *sorted({int(c) + 1 for c in cuts}), 1 << 31]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def sample(docs: DataFrame, asked: DataFrame, model: DataFrame, sent: Broadcast, seed: int, iteration: int, steps: int, kind: str = "train", most: int = MAX_ENTRIES) -> DataFrame:
+    """``doc_id, block, words, topics, drawn, moved, by_word, by_doc`` after one pass over all tokens.
 
     ``docs``: ``doc_id, block, words, topics``, words sorted; ``asked``: ``requests``;
     ``model``: ``word_id, topic, cnt``; ``sent``: a broadcast ``Shared``, the caller's to
     destroy.  ``moved`` has word, old and new topic of the tokens that changed; ``by_word``
-    and ``by_doc`` count accepted moves.  ``kind`` as in ``Batch.sweep``.
+    and ``by_doc`` count accepted moves.  ``kind`` as in ``Batch.sweep``; chain and propose
+    leave ``topics`` and put what they draw in ``drawn``.
+
+    Slices of the model (``slices``) visit the blocks in turn.  A block holds a slice and
+    lets its documents pass, a batch at a time, so what it holds does not grow with them,
+    and a model row is sent once to each block that has its word.
     """
+    ranges = slices(model, most)
+    empty = F.array().cast("array<struct<word_id:int,old:int,new:int>>")
+    x = docs.select("doc_id", "block", "words", "topics", F.col("topics").alias("drawn"), empty.alias("moved"), F.lit(0).cast("long").alias("by_word"), F.lit(0).cast("long").alias("by_doc"))
+    for i, (first, last) in enumerate(ranges):
+        own = (F.col("word_id") >= first) & (F.col("word_id") < last)
+        new = _visit(x, asked.filter(own), model.filter(own), sent, first, last, seed, iteration, steps, kind)
+        if i == len(ranges) - 1:
+            return new
+        new = cut(new)
+        if i:
+            forget(x)
+        x = new
+    raise AssertionError
+
+
+def _visit(docs: DataFrame, asked: DataFrame, model: DataFrame, sent: Broadcast, first: int, last: int, seed: int, iteration: int, steps: int, kind: str) -> DataFrame:
+    """One slice of the model, words from ``first`` to before ``last``, visits all blocks."""
     none = lambda t: F.lit(None).cast(t)
-    held = docs.select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), none("int").alias("topic"), none("long").alias("cnt"), "words", "topics")
-    pulled = asked.join(model, "word_id").select("block", F.lit(1).alias("kind"), F.col("word_id").cast("long").alias("id"), "topic", "cnt", none("array<int>").alias("words"), none("array<int>").alias("topics"))
-    out = ["doc_id", "block", "words", "topics", "moved", "by_word", "by_doc"]
+    kinds = dict(docs.dtypes)
+    out = ["doc_id", "block", "words", "topics", "drawn", "moved", "by_word", "by_doc"]
+    held = docs.select("block", F.lit(1).alias("kind"), F.col("doc_id").alias("id"), none("int").alias("topic"), none("long").alias("cnt"), *out[2:])
+    pulled = asked.join(model, "word_id").select("block", F.lit(0).alias("kind"), F.col("word_id").cast("long").alias("id"), "topic", "cnt", *[none(kinds[c]).alias(c) for c in out[2:]])
     move = pa.struct([("word_id", pa.int32()), ("old", pa.int32()), ("new", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        k = len(m.nt)
-        parts: list[tuple[np.ndarray, ...]] = []
-        entries, block, first, texts, groups = 0, None, 0, [], []
-
-        def flush(final: bool):
-            nonlocal entries, first
-            word, topic, cnt = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-            # The last word's entries may go on: they wait.
-            n = len(word) if final else int(np.searchsorted(word, word[-1]))
-            last = 1 << 31 if final else int(word[-1])
-            if n or final:
-                got = Rows.of(word[:n], topic[:n], cnt[:n], m)
-                for g in groups:
-                    g.sweep(m, got, first, last, seed, iteration, steps, kind)
-                first = last
-            parts[:] = [(word[n:], topic[n:], cnt[n:])] if n < len(word) else []
-            entries = len(word) - n
-
-        def load():
-            for b in texts:
-                flat = [(b.column(c).offsets.to_numpy(), b.column(c).flatten().to_numpy()) for c in ("words", "topics")]
-                for lo in range(0, b.num_rows, DOCS):
-                    hi = min(lo + DOCS, b.num_rows)
-                    words, topics = ([v[o[i] - o[0] : o[i + 1] - o[0]] for i in range(lo, hi)] for o, v in flat)
-                    groups.append(Batch(b.column("id").to_numpy()[lo:hi], words, topics, k))
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            nonlocal block, first
-            if not groups:
-                load()
-            flush(True)
-            at = 0
-            for b in texts:
-                new, by, sizes, moves = [], [], [], []
-                while len(new) < b.num_rows:
-                    g = groups[at]
-                    new += g.topics(kind)
-                    by.append(g.accepted())
-                    n, cols = g.changed()
-                    sizes.append(n)
-                    moves.append(cols)
-                    groups[at] = None
-                    at += 1
-                by = np.concatenate(by) if by else np.zeros((0, 2), np.int64)
-                flat = [pa.array(np.concatenate(c), pa.int32()) for c in zip(*moves, strict=True)] or [pa.array([], pa.int32())] * 3
-                edges = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-                moved = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(move)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), b.column("words"), pa.array(new, pa.list_(pa.int32())), moved, pa.array(by[:, 0]), pa.array(by[:, 1])], out)
-            texts.clear()
-            groups.clear()
-            block, first = None, 0
+    def sampled(b: pa.RecordBatch, rows: Rows) -> pa.RecordBatch:
+        flat = [(b.column(c).offsets.to_numpy(), b.column(c).flatten().to_numpy()) for c in ("words", "topics", "drawn")]
+        words, topics, drawn = ([v[o[i] - o[0] : o[i + 1] - o[0]] for i in range(b.num_rows)] for o, v in flat)
+        g = Batch(b.column("id").to_numpy(), words, topics, len(sent.value.nt))
+        g.sweep(sent.value, rows, first, last, seed, iteration, steps, kind)
+        new, by, (n, moves) = g.topics(kind), g.accepted(), g.changed()
+        if kind in ("chain", "propose"):  # what this slice has drawn, beside what others have
+            drawn, new = [np.where((w >= first) & (w < last), t, d) for w, t, d in zip(words, new, drawn, strict=True)], topics
+        before, old = b.column("moved"), np.diff(b.column("moved").offsets.to_numpy())
+        edges = np.concatenate([[0], np.cumsum(n + old)])
+        # Moves of earlier slices, then of this one, document by document.
+        doc = np.concatenate([np.repeat(np.arange(len(n)), old), np.repeat(np.arange(len(n)), n)])
+        order = np.argsort(doc, kind="stable")
+        earlier = [before.flatten().field(c).to_numpy() for c in ("word_id", "old", "new")]
+        fields = [pa.array(np.concatenate([e, m])[order], pa.int32()) for e, m in zip(earlier, moves, strict=True)]
+        moved = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(move)))
+        sums = [pa.array(b.column(c).to_numpy() + by[:, k]) for k, c in enumerate(("by_word", "by_doc"))]
+        lists = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), b.column("words"), pa.array(new, lists), pa.array(drawn, lists), moved, *sums], out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, rows = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
             here, what = b.column("block").to_numpy(), b.column("kind").to_numpy()
             edge = [0, *(np.flatnonzero((here[1:] != here[:-1]) | (what[1:] != what[:-1])) + 1).tolist(), b.num_rows]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if block is not None and here[lo] != block:
-                    yield from finish()
-                block, piece = here[lo], b.slice(lo, hi - lo)
+                if here[lo] != block:
+                    block, parts, rows = here[lo], [], None
+                piece = b.slice(lo, hi - lo)
                 if not what[lo]:
-                    texts.append(piece)
+                    parts.append(tuple(piece.column(c).to_numpy() for c in ("id", "topic", "cnt")))
                     continue
-                if not groups:
-                    load()
-                parts.append(tuple(piece.column(c).to_numpy() for c in ("id", "topic", "cnt")))
-                entries += hi - lo
-                if entries >= max_entries:
-                    flush(False)
-        if block is not None:
-            yield from finish()
-
-    x = bounded_batches(held.unionByName(pulled).repartition("block").sortWithinPartitions("block", "kind", "id", "topic"))
-    return x.mapInArrow(run, "doc_id long, block int, words array<int>, topics array<int>, moved array<struct<word_id:int,old:int,new:int>>, by_word long, by_doc long")
+                if rows is None:
+                    rows = Rows.of(*((np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3), sent.value)
+                    parts = []
+                for at in range(0, piece.num_rows, DOCS):
+                    yield sampled(piece.slice(at, DOCS), rows)
+
+    x = held.unionByName(pulled).repartition(parts_of(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "id", "topic")
+    return bounded_batches(x).mapInArrow(run, ", ".join(f"{c} {'long' if c == 'doc_id' else kinds[c]}" for c in out))
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Partitions of blocks: some for each task that runs at once, so that they even out."""
+    return PARTS * spark.sparkContext.defaultParallelism

@@ -35,9 +35,8 @@ def unpack(docs: DataFrame) -> DataFrame:
 
 
 def blocks_of(docs: DataFrame) -> int:
-    """Blocks of at most ``sampler.BLOCK`` documents, as many as tasks run at once where there are documents for them."""
-    n = docs.count()
-    return max(1, -(-n // sampler.BLOCK), min(docs.sparkSession.sparkContext.defaultParallelism, n // sampler.LEAST_BLOCK))
+    """Blocks of documents: as many as the cluster has work for, fewer where documents are few."""
+    return max(1, min(sampler.parts_of(docs.sparkSession), docs.count() // sampler.LEAST_BLOCK))
 
 
 def by_word(counts: DataFrame) -> DataFrame:

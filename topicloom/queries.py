@@ -163,7 +163,7 @@ def _sampled(s: State, kind: str) -> DataFrame:
     docs = cut(pack(s.init, blocks_of(s.docs)))
     sent = s.docs.sparkSession.sparkContext.broadcast(sampler.shared(s.summary, s.cfg.topics, s.n_words, s.cfg.alpha, s.cfg.beta))  # a few numbers per topic
     new = sampler.sample(docs, sampler.requests(docs), s.model, sent, s.cfg.seed, 0, s.cfg.mh_steps, kind)
-    return new.select("doc_id", F.posexplode(F.arrays_zip("words", "topics")).alias("rank", "t")).select("doc_id", "rank", F.col("t.words").alias("word_id"), F.col("t.topics").alias("topic"))
+    return new.select("doc_id", F.posexplode(F.arrays_zip("words", "drawn")).alias("rank", "t")).select("doc_id", "rank", F.col("t.words").alias("word_id"), F.col("t.drawn").alias("topic"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
