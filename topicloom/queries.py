@@ -415,7 +415,6 @@ def oracles(c: Config = CFG) -> dict[str, str]:
         "slice_index": "SELECT block_id, CAST(slice_id AS INTEGER) AS slice_id, word_id, CAST(row_number() OVER (PARTITION BY block_id, slice_id ORDER BY word_id) - 1 AS INTEGER) AS index FROM sl",
         "alias_capacity": f"SELECT word_id, CASE WHEN tf >= {2 * k // 3} THEN {k}::BIGINT ELSE tf END AS planned, CASE WHEN tf >= {2 * k // 3} THEN {k}::BIGINT ELSE coalesce(nnz, 0) END AS refined FROM ids LEFT JOIN (SELECT word_id, count(*) AS nnz FROM ntw GROUP BY word_id) USING (word_id)",
         "summary_apply": "SELECT new_topic AS topic, count(*) AS cnt FROM moved GROUP BY new_topic",
-        "alias_table": f"SELECT word_id, topic, round(mass / sum(mass) OVER (PARTITION BY word_id), 9) AS prob FROM (SELECT word_id, topic, n.cnt / (t.cnt + v * CAST({b} AS DOUBLE)) AS mass FROM ntw n JOIN nt t USING (topic) CROSS JOIN nv)",
         "accept_counters": "SELECT count(*) AS n_tokens, count(*) FILTER (topic <> new_topic) AS n_changes, count(*) FILTER (topic <> new_topic AND accept >= 1) AS n_certain, round(sum(accept) FILTER (topic <> new_topic), 2) AS expected FROM ("
         + (acc % (f"(ws + CAST({b} AS DOUBLE)) * (nt_ + vb)", f"(wt + CAST({b} AS DOUBLE)) * (ns + vb)")).replace("round(least(1.0, up / down), 6) AS accept", "topic, least(1.0, up / down) AS accept").replace("FROM (SELECT doc_id, pos, new_topic, ", "FROM (SELECT doc_id, pos, topic, new_topic, ").replace("SELECT m.doc_id, m.pos, m.new_topic, ", "SELECT m.doc_id, m.pos, m.topic, m.new_topic, ")
         + ")",
@@ -435,6 +434,7 @@ def oracles(c: Config = CFG) -> dict[str, str]:
     out = {n: f"WITH RECURSIVE {mat} {q}" for n, q in ends.items()}
     part = _sampling(c)
     more = f"WITH RECURSIVE {mat}, {', '.join(f'{n} AS MATERIALIZED ({q})' for n, q in _tables(c))}"
+    out["alias_table"] = f"{more} SELECT word_id, topic, round(w::DOUBLE / m, 9) AS prob FROM exc WHERE word_id >= 0"
     out |= {"propose_topics": f"{more} {part['alone'] % 't0'}", "mh_chain": f"{more} {part['alone'] % 'cur'}"}
     final = "SELECT doc_id, unnest(ws) AS word_id, unnest(z) AS topic FROM s WHERE r = total"
     out["train_step"] = f"{more}, {part['swept']} SELECT word_id, topic, count(*) AS cnt FROM ({final}) GROUP BY word_id, topic"
