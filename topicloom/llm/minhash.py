@@ -38,7 +38,7 @@ from topicloom.llm.langid import _texts
 from topicloom.llm.shingles import FULL, SKETCHES, Centre, Sketched, label, needed, word_hashes
 
 SIMILARITY = 0.8
-TILE = 512
+TILE = 640
 STAR = 256
 CHUNK = 1 << 19
 

@@ -7,7 +7,7 @@ import xxhash
 
 WIDTH = 5
 #: Sketches per text and minima per sketch.
-SKETCHES, MINIMA = 32, 2
+SKETCHES, MINIMA = 24, 2
 BINS, FULL = 128, 0xFFFF
 #: Places of a sequence whose bits are held together.
 BLOCK = 4096
