@@ -71,7 +71,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
     finally:
         _passing.reset(token)
         for p in own.paths:
-            _delete(spark, p)
+            remove(spark, p)
         for b in own.sent:
             b.destroy()
         if (outer := _passing.get()) is not None:
@@ -112,7 +112,8 @@ def _file(done: DataFrame) -> str:
     return done._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder of files that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -120,7 +121,7 @@ def _delete(spark: SparkSession, name: str) -> None:
 def forget(done: DataFrame) -> None:
     """Remove the files of a table that ``cut`` returned; nothing that is read later may rest on it."""
     name = _file(done)
-    _delete(done.sparkSession, name)
+    remove(done.sparkSession, name)
     if (own := _passing.get()) is not None and name in own.paths:
         own.paths.remove(name)
 

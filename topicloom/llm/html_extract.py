@@ -31,16 +31,17 @@ combined before the shuffle, so a host with most of the pages is no hot spot.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import SALTS, bounded_batches, cut, lean
+from topicloom.llm.common import SALTS, bounded_batches, cut, lean, remove, scratch_path
 from topicloom.llm.dom import Page
 from topicloom.llm.url_filter import host_of
 
@@ -52,7 +53,7 @@ SHARE = 0.1
 #: Bytes of verdicts that are broadcast at most.
 BROADCAST_BYTES = 64 << 20
 NODE, STYLE, CONTENT = 0, 1, 2
-OBSERVED = "host string, path long, kind int, key long, chain array<long>, decided boolean, inside boolean, outside boolean, heads boolean, occ long, share double"
+OBSERVED = "host string, path long, kind int, key long, chain array<long>, decided boolean, inside boolean, outside boolean, heads boolean, occ long, share double, words array<int>, shows array<int>"
 
 
 @lru_cache(1 << 16)
@@ -61,13 +62,16 @@ def _signed(text: str) -> int:
 
 
 def observe(pages: DataFrame, landmarks: bool = True) -> DataFrame:
-    """``host, html`` -> what each page says of its nodes, styles and contents; equal rows of a batch come once, ``pages`` times."""
-    names = [*(c.split()[0] for c in OBSERVED.split(", ")), "pages"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.int64()]
+    """``host, html`` -> what each page says of its nodes and styles, and what a batch's pages say of a node's contents.
 
-    def seen(source: str | None) -> tuple[dict, Counter, set]:
+    A row of contents has the hashes of a node's words and links, and how many pages show each.
+    """
+    names = [c.split()[0] for c in OBSERVED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def seen(source: str | None) -> tuple[dict, Counter, dict]:
         page = Page(source, landmarks)
-        nodes, styles, found, share = {}, Counter(), set(), Counter()
+        nodes, styles, found, share = {}, Counter(), defaultdict(set), Counter()
         for e in page.elements:
             if e.path not in nodes:
                 nodes[e.path] = [e.chain(), True, True, False, False, 0]
@@ -81,44 +85,60 @@ def observe(pages: DataFrame, landmarks: bool = True) -> DataFrame:
                 for k in e.kids:
                     if k != e.path:
                         share[k] += 1 / len(e.kids)
-            found.update((e.path, _signed(f" {link}")) for link in e.links)
+            if e.links:
+                found[e.path].update(" " + link for link in e.links)
         kept = [e for e, _ in page.blocks if not e.dropped]
         if any(e.main for e in kept):
             for e in kept:
                 nodes[e.path][3] |= not e.main
         for e, text in page.blocks:
-            found.update((e.path, _signed(w)) for w in text.split())
+            found[e.path].update(text.split())
         for p, n in nodes.items():
             n.append(float(share[p]))
         return nodes, styles, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list) -> pa.RecordBatch:
+        def out(rows: list, contents: dict) -> pa.RecordBatch:
+            for (host, path), n in contents.items():
+                words = np.fromiter(map(xxhash.xxh32_intdigest, n), np.uint32, len(n)).view(np.int32)
+                rows.append((host, path, CONTENT, 0, None, None, None, None, None, None, 0.0, words, np.fromiter(n.values(), np.int32, len(n))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for b in batches:
-            rows, contents = [], Counter()
+            rows, contents, size = [], defaultdict(Counter), 0
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes, styles, found = seen(source)
-                rows += [(host, p, NODE, 0, *marks, 1) for p, marks in nodes.items()]
-                rows += [(host, p, STYLE, k, None, None, None, None, None, n, 0.0, 1) for (p, k), n in styles.items()]
-                contents.update((host, p, k) for p, k in found)
-                if len(rows) + len(contents) > 200_000:
-                    yield out(rows + [(h, p, CONTENT, k, None, None, None, None, None, 1, 0.0, n) for (h, p, k), n in contents.items()])
-                    rows, contents = [], Counter()
+                rows += [(host, p, NODE, 0, *marks, None, None) for p, marks in nodes.items()]
+                rows += [(host, p, STYLE, k, None, None, None, None, None, n, 0.0, None, None) for (p, k), n in styles.items()]
+                for p, words in found.items():
+                    contents[host, p].update(words)
+                    size += len(words)
+                if len(rows) + size > 500_000:
+                    yield out(rows, contents)
+                    rows, contents, size = [], defaultdict(Counter), 0
             if rows:
-                yield out(rows + [(h, p, CONTENT, k, None, None, None, None, None, 1, 0.0, n) for (h, p, k), n in contents.items()])
+                yield out(rows, contents)
 
-    return bounded_batches(pages).select("host", "html").mapInArrow(lean(run), OBSERVED + ", pages long")
+    return bounded_batches(pages).select("host", "html").mapInArrow(lean(run), OBSERVED)
 
 
 def style_tree(pages: DataFrame, damping: float = DAMPING, landmarks: bool = True) -> DataFrame:
     """``host, html`` -> ``host, path, pages, decided, inside, outside, heads, presentation, content, importance, share, within``.
 
-    ``share`` is a branch's part of its parent's information, ``within`` the parent's presentation.
+    ``share`` is a branch's part of its parent's information, ``within`` the parent's
+    presentation.  Pages are read once: what they say is written, and read for the nodes
+    and for the contents.
     """
-    counted = observe(pages, landmarks).groupBy("host", "path", "kind", "key").agg(
-        F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), F.sum("share").alias("share"), F.first("chain", True).alias("chain"),
+    spark = pages.sparkSession
+    path = scratch_path(spark, "observed")
+    observe(pages, landmarks).write.option("compression", "zstd").parquet(path)
+    said = spark.read.parquet(path)
+    node = F.xxhash64("host", "path").alias("node")
+    shown = said.filter(F.col("kind") == CONTENT).select(node, F.explode(F.arrays_zip("words", "shows")).alias("x"))
+    shown = shown.groupBy("node", F.col("x.words").alias("word")).agg(F.sum("x.shows").alias("shows"))
+    contents = shown.groupBy("node").agg(F.count("*").alias("texts"), F.sum(F.log("shows")).alias("tlog"), F.sum("shows").alias("shows"), F.sum(F.col("shows") * F.log("shows")).alias("slog"))
+    counted = said.filter(F.col("kind") != CONTENT).groupBy("host", "path", "kind", "key").agg(
+        F.count("*").alias("pages"), F.sum("occ").alias("occ"), F.sum("share").alias("share"), F.first("chain", True).alias("chain"),
         F.min("decided").alias("decided"), F.min("inside").alias("inside"), F.max("outside").alias("outside"), F.max("heads").alias("heads"),
     )
     is_ = lambda k: F.col("kind") == k
@@ -131,14 +151,11 @@ def style_tree(pages: DataFrame, damping: float = DAMPING, landmarks: bool = Tru
         F.min("inside").alias("inside"),
         F.max("outside").alias("outside"),
         F.max("heads").alias("heads"),
-        F.sum(F.when(is_(CONTENT), F.col("pages"))).alias("shows"),
-        F.sum(F.when(is_(CONTENT), F.col("pages") * F.log("pages"))).alias("slog"),
         F.count(F.when(is_(STYLE), 1)).alias("l"),
         F.sum(F.when(is_(STYLE), F.col("occ"))).alias("shown"),
         F.sum(F.when(is_(STYLE), F.col("occ") * F.log("occ"))).alias("olog"),
-        F.count(F.when(is_(CONTENT), 1)).alias("texts"),
-        F.sum(F.when(is_(CONTENT), F.log("pages"))).alias("tlog"),
     )
+    nodes = nodes.withColumn("node", node).join(contents, "node", "left").fillna(0, ["texts"])
     lm = F.log("pages")
     present = F.when(F.col("pages") <= 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log("shown") - F.col("olog") / F.col("shown")) / lm))
     content = F.when(F.col("texts") > 0, F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.col("tlog") / (F.col("texts") * lm)))
@@ -148,6 +165,7 @@ def style_tree(pages: DataFrame, damping: float = DAMPING, landmarks: bool = Tru
     nodes = cut(
         nodes.select("host", "path", "pages", "occ", "share", "chain", "decided", "inside", "outside", "heads", F.when(F.col("l") > 0, present).otherwise(0.0).alias("presentation"), content.alias("content"), told.alias("told"), base.alias("base"), gl.alias("gl"))
     )
+    remove(spark, path)
     # The weight of a node in its parent's composite, then in every ancestor's.
     parent = F.when(F.size("chain") > 1, F.element_at("chain", -2))
     up = nodes.select("host", F.col("path").alias("parent"), F.col("gl").alias("pgl"), F.col("occ").alias("pocc"), F.col("presentation").alias("within"))
