@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The six-term Lanczos series.
+# The six-term Lanczos series, and the unit of the generator's draws.
 LANCZOS = (76.18009172947146, -86.50532032941677, 24.01409824083091, -1.231739572450155, 0.1208650973866179e-2, -0.5395239384953e-5)
 LANCZOS_BASE, LANCZOS_SHIFT, ROOT_TWO_PI = 1.000000000190015, 5.5, 2.5066282746310005
 UNIT = 4.6566125e-10

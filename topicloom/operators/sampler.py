@@ -279,7 +279,8 @@ def sample(docs: DataFrame, asked: DataFrame, model: DataFrame, sent: Broadcast,
     """
     ranges = slices(model, most)
     empty = F.array().cast("array<struct<word_id:int,old:int,new:int>>")
-    x = docs.select("doc_id", "block", "words", "topics", F.col("topics").alias("drawn"), empty.alias("moved"), F.lit(0).cast("long").alias("by_word"), F.lit(0).cast("long").alias("by_doc"))
+    drawn = F.col("topics") if kind in ("chain", "propose") else F.array().cast("array<int>")
+    x = docs.select("doc_id", "block", "words", "topics", drawn.alias("drawn"), empty.alias("moved"), F.lit(0).cast("long").alias("by_word"), F.lit(0).cast("long").alias("by_doc"))
     for i, (first, last) in enumerate(ranges):
         own = (F.col("word_id") >= first) & (F.col("word_id") < last)
         new = _visit(x, asked.filter(own), model.filter(own), sent, first, last, seed, iteration, steps, kind)
