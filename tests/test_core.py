@@ -187,6 +187,30 @@ def test_model_rows_sent_do_not_grow_with_documents(spark):
     assert sent[0] == sent[1] == 30 * (most // 8)
 
 
+def test_no_null_lists_go_to_the_sampler(spark, monkeypatch):
+    """Spark's Arrow writer takes time with the square of a batch's rows over them."""
+    seen = []
+    monkeypatch.setattr(sampler, "bounded_batches", lambda df: seen.append(df) or df)
+    docs = spark.createDataFrame([(1, 0, [3, 4], [0, 1])], "doc_id long, block int, words array<int>, topics array<int>")
+    model = spark.createDataFrame([(3, 0, 2), (3, 1, 1), (4, 1, 5)], "word_id int, topic int, cnt long")
+    sent = spark.sparkContext.broadcast(sampler.Shared(np.full(2, 9), 10, 0.1, 0.01))
+    assert sampler.sample(docs, sampler.requests(docs), model, sent, 1, 0, 2).count() == 1
+    lists = [c for c, t in seen[0].dtypes if t.startswith("array")]
+    assert {"words", "topics", "drawn", "moved"} <= set(lists) and seen[0].filter(" or ".join(f"{c} is null" for c in lists)).isEmpty()
+
+
+def test_counts_by_place_equal_searched_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    nw = rng.poisson(0.7, (30, 8))
+    s, words = sampler.Shared(nw.sum(0) + 1, 50, 0.1, 0.3), np.arange(30) * 3
+    placed = rows_of(nw, s, words)
+    monkeypatch.setattr(sampler, "DENSE", 0)
+    searched = rows_of(nw, s, words)
+    assert placed.dense is not None and searched.dense is None
+    row, topic = placed.place(rng.integers(0, 100, 5000)), rng.integers(0, 8, 5000)
+    assert (row < 0).any() and (placed.count(row, topic) == searched.count(row, topic)).all()
+
+
 def test_resume_from_disk_equals_an_unbroken_run(spark, tmp_path):
     rng = np.random.default_rng(7)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(40)}" for _ in range(30))) for i in range(40)] + [(None, "w1 w2")], "doc_id long, text string")
