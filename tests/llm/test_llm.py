@@ -557,6 +557,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200}
 
 
+def test_edges_of_nodes_with_many_hubs_are_contracted(spark):
+    from topicloom.llm.graph import _starred
+
+    edges = [(1000 + h, i) for i in range(300) for h in range(12)] + [(5000, 5001), (6000, 6000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert _starred(df).count() <= 300 + 12 + 3  # 3,602 before
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {n: 0 for n in [*range(300), *range(1000, 1012)]} | {5000: 5000, 5001: 5000, 6000: 6000}
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a brute-force version on its own input."""
     from collections import Counter

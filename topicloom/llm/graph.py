@@ -10,6 +10,16 @@ from topicloom.llm.common import cut, salted_join
 MAX_ROUNDS = 64
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: each ``dst`` goes to its smallest ``src``, as do its other ones.
+
+    Nodes that share a few hubs leave one edge each, and one for two hubs that they share.
+    """
+    first = edges.groupBy("dst").agg(F.min("src").alias("m"))
+    x = salted_join(edges.select("src", "dst"), first, "dst", "src")
+    return x.select(F.col("m").alias("src"), "dst").union(x.select("m", F.col("src").alias("dst"))).distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``src, dst`` (any orderable type) -> ``node, component`` for nodes with an edge.
 
@@ -20,6 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A hub's edges and the nodes of one label are spread over tasks in the joins; the
     minima are combined before they are shuffled.
     """
+    edges = _starred(edges)
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut(both.distinct())
     labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
