@@ -557,6 +557,15 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200}
 
 
+def test_components_of_a_chain_in_any_order_settle(spark):
+    names = sorted(range(600), key=lambda i: (i * 2_654_435_761) % (1 << 32))
+    edges = [*zip(names[:-1], names[1:], strict=True), (1000, 1001)]  # more than 64 rounds before
+    done = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(map(tuple, done.collect())) == [*((i, 0) for i in range(600)), (1000, 1000), (1001, 1000)]
+    # The size that plans reckon with: rounds of joins multiplied it to thousands of digits before.
+    assert done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
 def test_edges_of_nodes_with_many_hubs_are_contracted(spark):
     from topicloom.llm.graph import _starred
 

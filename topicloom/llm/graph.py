@@ -1,11 +1,11 @@
-"""Connected components by label propagation with pointer jumping, fully distributed."""
+"""Connected components by hooking and pointer jumping, fully distributed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import cut, salted_join
+from topicloom.llm.common import remove, salted_join, stored
 
 MAX_ROUNDS = 64
 
@@ -23,25 +23,28 @@ def _starred(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``src, dst`` (any orderable type) -> ``node, component`` for nodes with an edge.
 
-    A component is named by its smallest node.  In each round a node takes the
-    smallest label among its neighbours' and its own, and then its label's label, so
-    rounds grow with the logarithm of the diameter.  Each round is checkpointed and
-    the loop ends when no label changes.  Self loops and repeated edges do no harm.
-    A hub's edges and the nodes of one label are spread over tasks in the joins; the
-    minima are combined before they are shuffled.
+    A component is named by its smallest node.  An edge leads from its larger node to its
+    smaller one, and a node that is no edge's larger one to itself.  In each round a node
+    goes on to where the smallest node that it leads to leads to at least; so does any other
+    node that it led to, in its stead.  Rounds grow with the logarithm of the diameter,
+    however nodes are named, edges never become more, and the loop ends when each node leads
+    to one alone, which leads to itself.  Each round is stored.  Self loops and
+    repeated edges do no harm.  A hub's edges and the nodes below one node are spread over
+    tasks in the joins; minima and repeats are combined before they are shuffled.
     """
-    edges = _starred(edges)
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut(both.distinct())
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    labels = cut(labels.select("node", F.least("node", "m").alias("label")))
+    low = F.least("src", "dst")
+    ends = F.array(F.struct(F.greatest("src", "dst").alias("node"), low.alias("to")), F.struct(low.alias("node"), low.alias("to")))
+    rows, path = stored(_starred(edges).select(F.explode(ends).alias("x")).select("x.*").distinct(), "components")
     for _ in range(MAX_ROUNDS):
-        heard = salted_join(both, labels.withColumnRenamed("node", "src"), "src", "dst").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("m"))
-        near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        # A label is a node; only nodes that are some node's label are asked for theirs.
-        to = near.join(near.select(F.col("label").alias("node")).distinct(), "node").select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = cut(salted_join(near, to, "label", "node").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        first = rows.groupBy("node").agg(F.min("to").alias("m"))
+        jump = salted_join(first, first.select(F.col("node").alias("m"), F.col("m").alias("far")), "m", "node")
+        x = salted_join(rows, jump, "node", "to").filter((F.col("to") == F.col("m")) | (F.col("to") != F.col("node")))
+        goes = F.when(F.col("to") == F.col("m"), F.col("node")).otherwise(F.col("to"))
+        moved = (F.col("to") != F.col("m")) | (F.col("far") != F.col("m"))
+        last = path
+        rows, path = stored(x.select(goes.alias("node"), F.col("far").alias("to"), moved.alias("moved")).distinct(), "components")
+        remove(edges.sparkSession, last)
+        if rows.filter("moved").isEmpty():
+            return rows.select("node", F.col("to").alias("component"))
+        rows = rows.select("node", "to")
     raise RuntimeError("components did not settle")
