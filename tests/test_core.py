@@ -470,3 +470,19 @@ def test_every_slice_gets_its_model_rows(spark, tmp_path):
     assert {r.block_id for r in got} == {0, 1, 2}
     want = [(a.block_id, a.slice_id, m.word_id, m.topic, m.cnt) for a in asked for m in model if m.word_id == a.word_id]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_corpus_llh_reckons_each_document_once(spark, tmp_path):
+    from topicloom import queries
+
+    rows = [(i, f"alpha beta w{i % 3} w{i % 7} gamma") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")  # some rows repeat
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    s = queries.State(spark, str(tmp_path))
+    assert s.ids.columns == ["word_id", "word", "tf"]
+    k, a, b, n = s.cfg.topics, s.cfg.ll_alpha, s.cfg.beta, s.n_words
+    got = {r.part: r.llh for r in queries._corpus_llh(s).collect()}
+    word = {m: stats.corpus_word_llh(s.model, s.summary, k, b, n, m).first()[0] for m in ("reference", "exact")}
+    assert got["word"] == pytest.approx(word["reference"]) and got["word_exact"] == pytest.approx(word["exact"])
+    # All documents are under the cap; those of repeated rows counted twice before, in SQL once.
+    assert got["doc"] == pytest.approx(stats.corpus_doc_llh(s.doc_counts, k, a).first()[0]) and got["doc_capped"] == pytest.approx(got["doc"])
