@@ -1,4 +1,5 @@
 import math
+import time
 from collections import defaultdict
 from dataclasses import replace
 
@@ -15,7 +16,7 @@ from topicloom.operators import planning, report, sampler, stats
 from topicloom.operators.alias import CHUNK, Tables, table_mass
 from topicloom.plans import lineage
 from topicloom.plans.lineage import dense_ids
-from topicloom.plans.train import Counts, Log, Model, by_word, changes, fit, pack, unpack
+from topicloom.plans.train import Counts, Log, Model, by_word, changes, fit, pack, started, unpack
 from topicloom.sources import files
 from topicloom.streaming.infer import infer_stream
 
@@ -287,6 +288,66 @@ def test_stream_is_folded_in(spark, tmp_path):
     assert {r.doc_id: r.n for r in got} == {i: 30 for i in range(20)}
 
 
+def test_training_keeps_little_on_disk(spark, monkeypatch):
+    """Shuffle files go as soon as what they led to is stored; a pass in slices holds two copies of the documents, of few bytes a token."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(16)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.exponential(300))}" for _ in range(200))) for i in range(1000)], "doc_id long, text string")
+    folder, whole = Path(lineage.shared_folder(spark).removeprefix("file:")), sampler.slices
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {p for d in local for p in Path(d).rglob("shuffle_*")}
+    held = lambda: {p.parent for p in folder.rglob("part-*")}
+    monkeypatch.setattr(sampler, "slices", lambda model, most: whole(model, 1500))
+    most, visit, before = [], sampler._visit, held()
+
+    def visited(*given):
+        most.append(sum(p.stat().st_size for d in held() - before for p in d.glob("part-*")))
+        return visit(*given)
+
+    monkeypatch.setattr(sampler, "_visit", visited)
+    ran = shuffled()
+    m = fit(docs, Config(min_count=1, topics=8, iterations=1))
+    assert len(most) > 2 and max(most) < 200_000 * 8
+    rest = held() - before
+    assert sum(d.name.startswith(("docs-", "swept-")) for d in rest) == 1
+    assert sum(p.stat().st_size for d in rest if d.name.startswith("docs-") for p in d.glob("part-*")) < 200_000 * 4
+    lineage.forget(lineage.cut(docs.groupBy("doc_id").count()))
+    for _ in range(50):  # files go beside what is done next
+        if sum(p.exists() and p.suffix == ".data" for p in shuffled() - ran) < 20:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError("shuffle files stay")
+    assert unpack(m.docs).count() == 200_000 and m.metrics[0]["moved"] == m.docs.select(F.explode("moved")).count() > 0
+
+
+@pytest.mark.parametrize("kind", ["train", "chain"])
+def test_moves_are_told_from_topics(spark, kind):
+    rng = np.random.default_rng(18)
+    docs = spark.createDataFrame([(i, 0, sorted(rng.integers(0, 9, 30).tolist()), rng.integers(0, 200, 30).tolist()) for i in range(20)], "doc_id long, block int, words array<int>, topics array<int>")
+    model = C.word_topic(unpack(docs))
+    sent = spark.sparkContext.broadcast(sampler.shared(C.topic_summary_of(model), 200, 9, 0.1, 0.01))
+    got = sampler.sample(docs, sampler.requests(docs), model, sent, 1, 0, 2, kind, 300)
+    assert dict(got.dtypes)["moved"] == "array<struct<word_id:int,old:int,new:int>>"
+    first = {r.doc_id: r.topics for r in docs.collect()}
+    for r in got.collect():
+        now = r.drawn if kind == "chain" else r.topics
+        assert [tuple(m) for m in r.moved] == [x for x in zip(r.words, first[r.doc_id], now, strict=True) if x[1] != x[2]] != []
+
+
+def test_training_starts_alike_with_any_dictionary(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i % 50 if i % 9 else None, " ".join(f"w{int(rng.exponential(20))}" for _ in range(rng.integers(0, 30)))) for i in range(120)]
+    df, cfg = spark.createDataFrame([*rows, (500, None), (501, "w1 w2 " * 400)], "doc_id long, text string"), Config(min_count=3, max_tokens=40, topics=5)
+    ids, enc = P.prepare(df, cfg)
+    want, names = pack(C.init_topics(enc, 5, cfg.seed)).collect(), ["doc_id", "words", "topics"]
+    for most in (lineage.BROADCAST_BYTES, 0):
+        got, path = started(df, ids, cfg, most)
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[c] for c in names) for r in want)
+        lineage.remove(spark, path)
+
+
 def test_transforming_leaves_no_files(spark):
     from pathlib import Path
 
